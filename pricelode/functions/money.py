@@ -54,31 +54,23 @@ def won(amount: Column) -> Column:
 def one_decimal(value: Column) -> Column:
     """``%.1f`` of the exact binary value, ties to even.
 
-    The double is scaled by a power of two into a whole number, where comparing it
-    with the rounding tie is exact; formatting alone would round the shortest text.
+    JVM formatting rounds the shortest decimal text, which differs from the exact value
+    only when that text ends in a 5 at the second decimal.  There the double is scaled by
+    a power of two to a whole number and compared with the tie exactly.
     """
     size = F.abs(value)
-    return (F.when(value.isNull(), F.lit(None).cast("string"))
-            .when(size < 1, _tenths(value, 58))
-            .when(size < 1024, _tenths(value, 52))
-            .when(size < 1048576, _tenths(value, 42))
-            .otherwise(F.format_string("%.1f", value)))
-
-
-def _tenths(value: Column, bits: int) -> Column:
-    exact = (F.abs(value) * F.lit(float(2 ** bits))).cast("bigint").cast("decimal(20,0)")
-    floor = F.floor(F.abs(value) * F.lit(10.0)).cast("bigint")
-    # The floating product may land one tenth high; step back when it did.
-    unit = F.lit(2 ** bits).cast("decimal(20,0)")
-    low = F.when(floor.cast("decimal(20,0)") * unit > exact * F.lit(10).cast("decimal(2,0)"),
-                 floor - 1).otherwise(floor)
-    tie = (low * 2 + 1).cast("decimal(20,0)") * unit
-    twenty = exact * F.lit(20).cast("decimal(2,0)")
-    tenths = (F.when(twenty > tie, low + 1).when(twenty < tie, low)
-              .otherwise(low + low % 2))
-    sign = F.when((value < 0), F.lit("-")).otherwise(F.lit(""))
-    whole = F.floor(tenths / F.lit(10)).cast("bigint")
-    return F.concat(sign, whole.cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    hundredths = F.round(size * F.lit(100.0)).cast("bigint")
+    at_tie = (size == hundredths / F.lit(100.0)) & (hundredths % 10 == 5) & (size < 2.0 ** 20)
+    scale = F.when(size < 1, F.lit(2.0 ** 57)).when(size < 1024, F.lit(2.0 ** 52)).otherwise(
+        F.lit(2.0 ** 42))
+    exact = (size * scale).cast("bigint").cast("decimal(20,0)") * F.lit(20).cast("decimal(2,0)")
+    tie = (hundredths / F.lit(5)).cast("decimal(12,0)") * scale.cast("decimal(20,0)")
+    below = ((hundredths - 5) / F.lit(10)).cast("bigint")
+    tenths = below + F.when((exact > tie) | ((exact == tie) & (below % 2 == 1)), 1).otherwise(0)
+    text = F.concat((F.floor(tenths / F.lit(10))).cast("string"), F.lit("."),
+                    (tenths % 10).cast("string"))
+    return F.when(at_tie, F.concat(F.when(value < 0, "-").otherwise(""), text)).otherwise(
+        F.when(value.isNotNull(), F.format_string("%.1f", value)))
 
 
 def percent_text(value: Column) -> Column:

@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import fixed
 
@@ -88,7 +89,7 @@ def listing_status(label: Column) -> Column:
 
 # --- condition -------------------------------------------------------------
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc_folded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 

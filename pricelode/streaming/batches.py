@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators import changes, estimator, merge
 from ..session import fresh_path
@@ -51,8 +51,8 @@ class AppendedBatches:
     def read(self, before: int | None = None) -> DataFrame:
         if before == 0:
             return self.spark.createDataFrame([], self.schema)
-        rows = self.spark.read.schema(self.schema.add("batch_id", "long")).option(
-            "basePath", self.path).parquet(self.path)
+        stored = StructType([*self.schema.fields, StructField("batch_id", LongType())])
+        rows = self.spark.read.schema(stored).option("basePath", self.path).parquet(self.path)
         if before is not None:
             rows = rows.where(F.col("batch_id") < before)
         return rows.drop("batch_id")

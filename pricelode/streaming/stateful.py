@@ -1,7 +1,8 @@
 """Keyed state: change detection, lifecycle transitions and the work queue as streams.
 
-State per product is one small tuple, so a product with very many records costs its
-batches, never a growing buffer.  Each group arrives as an iterator of Arrow batches.
+State per product is one small tuple, so it does not grow with a product's records.  A
+micro-batch is ordered per product in memory: bound it at the source with
+``maxFilesPerTrigger`` or ``maxBytesPerTrigger``.
 """
 
 from __future__ import annotations
