@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 NOW = "2001-09-01T00:00:00Z"
 NOW_SQL = "TIMESTAMP '2001-09-01 00:00:00'"
 EVENTS_NOW = "2024-01-31T00:00:00Z"
@@ -123,7 +125,7 @@ def estimate_sql(window_days: int = 90, half_life: float = 21.0, source: str = "
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One classified listing per order; AI columns vary with the keys."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     key = F.col("o_orderkey")
     rows = o.join(texts(spark), F.pmod(F.col("o_custkey"), F.lit(TEXT_COUNT)) == F.col("k"))
     at = F.col("o_orderdate").cast("timestamp")

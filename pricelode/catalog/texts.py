@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import times
 from ..operators.verdict_flow import cheap_decisions, with_text_names
+from ..session import spread
 from . import common as c
 from . import oracle_text as ot
 
@@ -17,7 +18,7 @@ def line_texts(spark, sf_dir) -> DataFrame:
     parts = c.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     lines = c.table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_linestatus", "l_suppkey")
-    rows = lines.join(parts, lines.l_partkey == parts.p_partkey).join(
+    rows = spread(lines).join(parts, lines.l_partkey == parts.p_partkey).join(
         c.texts(spark), F.pmod("l_partkey", F.lit(c.TEXT_COUNT)) == F.col("k"))
     even = F.col("l_linenumber") % 2 == 0
     key = F.col("l_orderkey").cast("string")
@@ -105,7 +106,7 @@ def part_terms(spark, sf_dir):
 
 def document_rules(spark, sf_dir):
     """Every rule over whole documents: names, part terms, condition and scope."""
-    d = c.table(spark, sf_dir, "documents")
+    d = spread(c.table(spark, sf_dir, "documents").select("doc_id", "text"))
     title = F.substring_index("text", "\n", 1)
     text = F.coalesce("text", F.lit(""))
     return d.select(
@@ -115,7 +116,7 @@ def document_rules(spark, sf_dir):
 
 def document_condition(spark, sf_dir):
     """Condition of whole documents in four languages (normalised in Arrow batches)."""
-    d = c.table(spark, sf_dir, "documents")
+    d = spread(c.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", tx.condition_status(F.lit(""), F.coalesce("text", F.lit("")))
                     .alias("condition"))
 

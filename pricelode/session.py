@@ -63,3 +63,13 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when the input has fewer files than the cluster has cores.
+
+    A file of few row groups is read by few tasks, which starves CPU-bound text rules.
+    Inputs of many files are left alone, so large tables are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
