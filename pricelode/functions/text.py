@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from . import fixed
 
 _DIALECT = "(?Ud)(?-u)"
-_STARTS = re.compile(r"(?:\(\?:)*[0-9A-Za-z가-힣\[(]")
+_STARTS = re.compile(r"(?:\(\?:|\((?!\?))*[0-9A-Za-z가-힣\[]")
 _ENDS = re.compile(r"(?<!\\)[0-9A-Za-z가-힣)\]*?+}]$")
 # Fixed value: full-width digits read as ASCII digits in price text.
 _WIDE_DIGITS = "０１２３４５６７８９"
