@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import CONDITIONS, PRICE_SOURCES, SALE_STATUSES, SCOPES
@@ -35,38 +35,39 @@ def _shape_pattern(keys: dict[str, str]) -> str:
     return "^OBJECT<" + ", ".join(f"{k}: {_SHAPES[t]}" for k, t in sorted(keys.items())) + ">$"
 
 
-def read_verdict(text: Column, keys: dict[str, str]) -> Column:
-    """Verdict as a struct, or null when any key, type, enumeration or range is wrong.
+def with_verdict(df: DataFrame, text: str, out: str, keys: dict[str, str]) -> DataFrame:
+    """Add the verdict in column ``text`` as struct ``out``.
 
-    The text is parsed once; one comparison against its schema text checks the exact key
-    set and every JSON type, so ``"true"`` is no boolean and ``480000.0`` no whole number.
+    The struct is null when any key, type, enumeration or range is wrong.  The text is parsed
+    once; one comparison against its schema text checks the exact key set and every JSON
+    type, so ``"true"`` is no boolean and ``480000.0`` no whole number.
     """
-    document = F.try_parse_json(text)
-    values = {k: F.try_variant_get(document, f"$.{k}", _READ_AS[t.rstrip("?")])
-              for k, t in keys.items()}
-    ok = F.coalesce(F.schema_of_variant(document).rlike(_shape_pattern(keys)), F.lit(False))
+    doc = F.col("_doc")
+    raw = F.struct(*[F.try_variant_get(doc, f"$.{k}", _READ_AS[t.rstrip("?")]).alias(k)
+                     for k, t in keys.items()])
+    shaped = F.coalesce(F.schema_of_variant(doc).rlike(_shape_pattern(keys)), F.lit(False))
+    rows = df.withColumn("_doc", F.try_parse_json(F.col(text))).withColumns(
+        {"_raw": F.when(shaped, raw)}).drop("_doc")
+    value = F.col("_raw")
     inside = (
-        values["condition"].isin(*CONDITIONS) & values["scope"].isin(*SCOPES)
-        & values["sale_status"].isin(*SALE_STATUSES)
-        & values["confidence"].between(0, 1) & values["price_confidence"].between(0, 1)
-        & (values["displayed_price"] > 0)
-        & (values["effective_price"].isNull() | (values["effective_price"] > 0)))
+        value["condition"].isin(*CONDITIONS) & value["scope"].isin(*SCOPES)
+        & value["sale_status"].isin(*SALE_STATUSES)
+        & value["confidence"].between(0, 1) & value["price_confidence"].between(0, 1)
+        & (value["displayed_price"] > 0)
+        & (value["effective_price"].isNull() | (value["effective_price"] > 0)))
     if "price_source" in keys:
-        inside = inside & values["price_source"].isin(*PRICE_SOURCES)
-    out = dict(values)
-    out["normalized_product_name"] = F.trim(values["normalized_product_name"])
-    out["reason"] = F.trim(values["reason"])
-    # A document of the wrong shape never reaches the value checks.
-    return F.when(F.when(ok, F.coalesce(inside, F.lit(False))).otherwise(False),
-                  F.struct(*[v.alias(k) for k, v in out.items()]))
+        inside = inside & value["price_source"].isin(*PRICE_SOURCES)
+    texts = ("normalized_product_name", "reason")
+    tidy = F.struct(*[(F.trim(value[k]) if k in texts else value[k]).alias(k) for k in keys])
+    return rows.withColumn(out, F.when(value.isNotNull() & inside, tidy)).drop("_raw")
 
 
-def first_verdict(text: Column) -> Column:
-    return read_verdict(text, FIRST_KEYS)
+def with_first_verdict(df: DataFrame, text: str, out: str = "verdict") -> DataFrame:
+    return with_verdict(df, text, out, FIRST_KEYS)
 
 
-def second_verdict(text: Column) -> Column:
-    return read_verdict(text, SECOND_KEYS)
+def with_second_verdict(df: DataFrame, text: str, out: str = "verdict") -> DataFrame:
+    return with_verdict(df, text, out, SECOND_KEYS)
 
 
 def verdict_name(verdict: Column) -> Column:

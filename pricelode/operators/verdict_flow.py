@@ -15,7 +15,7 @@ from ..functions.text import (
     mentions_part, product_name, rejection_reason, standalone_name)
 from ..functions.verdicts import (
     accepted_columns, applied_columns, backlog_rejection, exclusion_reason, rejected_columns,
-    review_passes, second_verdict, verdict_name)
+    review_passes, verdict_name, with_second_verdict)
 from ..schemas import SEARCH_MARKETPLACE
 from .ordered import latest_per_key
 
@@ -162,7 +162,7 @@ def review_gate(deals: DataFrame, details: DataFrame, verdicts: DataFrame, *,
     usable = verdicts.where((F.col("model") == model) & (F.col("reasoning_effort") == effort)
                             & F.col("success"))
     newest = latest_per_key(usable, keys, "id", ["verdict_json"])
-    newest = newest.select(*keys, second_verdict(F.col("verdict_json")).alias("_verdict"))
+    newest = with_second_verdict(newest, "verdict_json", "_verdict").drop("verdict_json")
     rows = rows.join(newest, keys, "left")
     rows = rows.withColumn("_canonical", verdict_name(F.col("_verdict")))
     ok = review_passes(F.col("_verdict"), F.col("_canonical"), threshold, F.col("price"),
@@ -252,38 +252,25 @@ def repair_listings(listings: DataFrame, verdicts: DataFrame, *, threshold: floa
                     rules: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Repaired classification columns of every listing, with its final ``outcome``."""
     columns = listings.columns
-    routed = repair_routes(listings, rules)
+    routed = repair_routes(listings, rules).withColumn(
+        "_name", F.col("ai_normalized_product_name"))
     review = F.col("outcome") == "review"
     base = routed.withColumns({
         "condition_status": F.when(review, "normal").otherwise(F.col("fresh_condition")),
         "ai_scope": F.lit("unknown")})
-    judged = apply_verdicts(cached_verdict(base, verdicts, model, effort, version), threshold)
-    bad = rejected_columns(F.col("route_reason"),
-                           F.coalesce("route_scope", F.lit("unknown")))
+    # Rows decided by rule carry no fingerprint, so they never meet a verdict.
+    print_ = F.when(review, classification_fingerprint())
+    judged = apply_verdicts(cached_verdict(base, verdicts, model, effort, version, print_),
+                            threshold)
+    bad = rejected_columns(F.col("route_reason"), F.coalesce("route_scope", F.lit("unknown")))
+    bad["condition_status"] = F.col("fresh_condition")
+    bad["ai_normalized_product_name"] = F.col("_name")
     good = accepted_columns(F.col("accepted_name"))
-    # Both rule-based projections read the routed row, the review one the judged row.
-    carried = set(bad) | set(good)
-    joined = judged.withColumns({f"_j_{c}": F.col(c) for c in carried})
-    out = {}
-    for c in sorted(carried):
-        value = F.col(f"_j_{c}")
-        if c in bad:
-            value = F.when(F.col("outcome") == "reject", bad[c]).otherwise(value)
-        elif c == "condition_status":
-            value = F.when(F.col("outcome") == "reject", F.col("fresh_condition")).otherwise(value)
-        else:
-            value = F.when(F.col("outcome") == "reject",
-                           F.col(f"_keep_{c}")).otherwise(value)
-        if c in good:
-            value = F.when(F.col("outcome") == "accept", good[c]).otherwise(value)
-        out[c] = value
-    kept = joined
-    for c in carried:
-        if c not in bad and c != "condition_status":
-            kept = kept.withColumn(f"_keep_{c}", F.col(c))
-    final = kept.withColumns(out)
+    final = judged.withColumns({
+        c: F.when(F.col("outcome") == "reject", bad[c])
+        .when(F.col("outcome") == "accept", good[c]).otherwise(F.col(c)) for c in good})
     return final.select(
-        *columns, F.when(F.col("outcome") != "review", F.col("outcome"))
+        *columns, F.when(~review, F.col("outcome"))
         .when(F.col("ai_reject"), "reject").otherwise("accept").alias("outcome"),
         review.alias("reviewed_by_verdict"), F.col("verdict").isNotNull().alias("cache_hit"))
 
