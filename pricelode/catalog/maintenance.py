@@ -589,8 +589,9 @@ ev AS (SELECT product_id, record_no AS n, ts, CASE event_type WHEN 'signup' THEN
 cur AS (SELECT product_id, arg_max(fp, n) AS fp FROM ev WHERE kind = 'enqueue' GROUP BY 1),
 cutoff AS (SELECT c.product_id, c.fp, MAX(CASE WHEN e.fp <> c.fp THEN e.n END) AS x
   FROM cur c JOIN ev e ON e.product_id = c.product_id AND e.kind = 'enqueue' GROUP BY 1, 2),
-live AS (SELECT e.*, c.fp AS now_fp FROM ev e JOIN cutoff c USING (product_id)
-  WHERE e.n > COALESCE(c.x, -1)),
+since AS (SELECT c.product_id, c.fp, MIN(e.n) AS n0 FROM cutoff c JOIN ev e
+  ON e.product_id = c.product_id AND e.kind = 'enqueue' AND e.n > COALESCE(c.x, -1) GROUP BY 1, 2),
+live AS (SELECT e.*, c.fp AS now_fp FROM ev e JOIN since c USING (product_id) WHERE e.n >= c.n0),
 w AS (SELECT *, last_value(CASE WHEN kind <> 'enqueue' THEN kind END IGNORE NULLS) OVER (
   PARTITION BY product_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
   FROM live),

@@ -11,6 +11,9 @@ from ..schemas import table_schema
 from ..sources import pages as pg
 from ..streaming import batches, stateful
 from . import common as c
+from .maintenance import SQL as _MAINTENANCE
+
+QUEUE_SQL = _MAINTENANCE["work_queue_state"]
 
 EVENTS = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -115,7 +118,8 @@ def queue(spark, sf_dir):
         .alias("classification_fingerprint"))
     path = fresh_path(spark, "queue")
     states = stateful.queue_states(events, stale_seconds=10 ** 6)
-    query = (states.writeStream.outputMode("update").trigger(availableNow=True)
+    # A stream with processing-time timers always has a next batch, so it is run once.
+    query = (states.writeStream.outputMode("update").trigger(once=True)
              .option("checkpointLocation", f"{path}/state")
              .foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{path}/b{i}"))
              .start())
@@ -232,6 +236,9 @@ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, value) = 1""",
     "stream_alerts": """SELECT DISTINCT CAST(user_id AS VARCHAR) AS product_id,
   CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) AS epoch FROM events
 WHERE floor(value / 10.0) <= 1""",
+    "stream_work_queue": "SELECT product_id, state, attempts FROM (" + QUEUE_SQL.replace(
+        f"COALESCE(last = 'start' AND started < {c.EVENTS_NOW_SQL} - INTERVAL 900 SECOND,\n  FALSE)",
+        "FALSE") + ") q",
     "html_cards": """WITH k AS (SELECT o_orderkey AS k, CAST(floor(o_orderkey / 20.0) AS BIGINT)
     AS page_id, 'https://www.example.com/kr/buy-sell/item-' || (o_orderkey % 17) || '-'
     || CAST(floor(o_orderkey / 20.0) AS BIGINT) || '/' AS url,

@@ -99,8 +99,8 @@ def fold_queue(events: DataFrame, chunk: Column, now, timeout_seconds: float = 9
     """Work-queue state from a log of job events (enqueue, start, finish, fail).
 
     Events need product keys, ``event_no`` (total order), ``kind``, ``at``,
-    ``classification_fingerprint`` (enqueue) and ``error`` (fail).  Only events after a
-    product's last content change count, and a start counts only when the job was waiting.
+    ``classification_fingerprint`` (enqueue) and ``error`` (fail).  Only events from a
+    product's last content change on count, and a start counts only when the job was waiting.
     The last counted event then gives the state, so the fold is a few partial aggregates
     instead of a loop over a product's events.
     """
@@ -110,8 +110,11 @@ def fold_queue(events: DataFrame, chunk: Column, now, timeout_seconds: float = 9
     other = (events.where(enqueue).join(last, PRODUCT)
              .where(F.col("classification_fingerprint") != F.col("_current"))
              .groupBy(*PRODUCT).agg(F.max("event_no").alias("_other")))
-    rows = (events.join(last, PRODUCT).join(other, PRODUCT, "left")
-            .where(F.col("event_no") > F.coalesce(F.col("_other"), F.lit(-1))))
+    since = (events.where(enqueue).join(other, PRODUCT, "left")
+             .where(F.col("event_no") > F.coalesce(F.col("_other"), F.lit(-1)))
+             .groupBy(*PRODUCT).agg(F.min("event_no").alias("_since")))
+    rows = (events.join(last.join(since, PRODUCT), PRODUCT)
+            .where(F.col("event_no") >= F.col("_since")))
     rows = carried_last(rows, PRODUCT, chunk, [F.col("event_no")],
                         {"_before": F.when(F.col("kind") != "enqueue", F.col("kind"))})
     waiting = F.col("_before").isNull() | (F.col("_before") == "fail")
