@@ -78,7 +78,7 @@ def observations(spark: SparkSession, sf_dir: str, name: str = "p_brand") -> Dat
         F.col("l_orderkey").cast("string").alias("product_id"),
         F.col("_name").alias("normalized_product_name"),
         F.floor("l_extendedprice").alias("observed_price"),
-        F.col("l_shipdate").cast("timestamp").alias("observed_at"),
+        F.col("l_shipdate").alias("observed_at"),
         "l_linenumber", "l_suppkey")
 
 

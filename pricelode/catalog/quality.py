@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.money import change_percent
 from ..functions.prints import classification_fingerprint
 from ..operators import lifecycle, merge, quality
+from ..operators.ordered import beside
 from . import common as c
 from .maintenance import _FAIL_SQL, _JOBS_SQL, _failures, _jobs
 
@@ -34,13 +35,13 @@ def price_moves(spark, sf_dir):
 def _metrics(spark, sf_dir):
     e = c.event_records(spark, sf_dir)
     run = _runs(spark, sf_dir)
-    return e.agg(
+    return beside(e.agg(
         F.count("*").alias("search_records"),
         F.count_if(F.col("event_type") == "click").alias("valid_observations"),
         F.count_if(F.col("event_type").isin("error", "view")).alias("ai_candidates"),
         F.count_if(F.col("event_type") == "error").alias("ai_failures"),
         F.lit(0).cast("bigint").alias("parsing_anomalies"),
-    ).crossJoin(quality.prior_valid_observations(run))
+    ), quality.prior_valid_observations(run))
 
 
 def _runs(spark, sf_dir):

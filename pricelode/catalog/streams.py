@@ -156,8 +156,8 @@ def _card_pages(spark, sf_dir):
                                                                      card.alias("c")))),
                                  lambda x: x["c"]), "").alias("cards"))
     base = c.table(spark, sf_dir, "pages").select(F.col("page_id").alias("_p"), "html")
-    size = base.agg(F.count("*").alias("_n"))
-    rows = groups.crossJoin(size).withColumn("_p", F.pmod("page_id", "_n")).join(base, "_p")
+    size = base.agg(F.count("*")).scalar()
+    rows = groups.withColumn("_n", size).withColumn("_p", F.pmod("page_id", "_n")).join(base, "_p")
     return rows.select(
         "page_id", F.lit("https://www.example.com/kr/buy-sell/s/?q=x").alias("url"),
         F.concat("html", F.lit("<ul>"), "cards", F.lit("</ul>")).alias("html"),

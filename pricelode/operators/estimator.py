@@ -55,8 +55,11 @@ def recent(observations: DataFrame, now, window_days: int) -> DataFrame:
     rows = observations
     if "valid" in observations.columns:
         rows = rows.where(F.col("valid"))
-    rows = rows.withColumn("observed_at", as_timestamp(F.col("observed_at"), kind))
     start = instant(now) - F.make_dt_interval(F.lit(window_days))
+    if isinstance(kind, T.TimestampNTZType):
+        # Compare in the stored type: a cast column would keep the filter out of the scan.
+        rows = rows.where(F.col("observed_at") >= start.cast("timestamp_ntz"))
+    rows = rows.withColumn("observed_at", as_timestamp(F.col("observed_at"), kind))
     return rows.where((F.col("observed_at") >= start) & (F.col("observed_price") > 0))
 
 

@@ -155,6 +155,14 @@ def look_back(df: DataFrame, keys: Sequence[str], position: str, rows_back: int,
     return copies.where(F.col("_span") == F.col("_own")).drop("_span", "_own")
 
 
+def beside(*rows: DataFrame) -> DataFrame:
+    """One-row tables side by side as one row, by a union and one aggregate."""
+    stacked = rows[0]
+    for other in rows[1:]:
+        stacked = stacked.unionByName(other, allowMissingColumns=True)
+    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
+
+
 def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
     """1-based global rank: a range sort, stored once, plus per-partition offsets."""
     rows = cut_lineage(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()))

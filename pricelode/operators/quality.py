@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import instant
 from ..schemas import JOB_STATES
-from .ordered import look_back, numbered
+from .ordered import beside, look_back, numbered
 
 # Anomaly thresholds.
 WARN_PERCENT, SEVERE_PERCENT, SEVERE_COUNT = 30, 60, 3
@@ -57,8 +57,7 @@ def last_delivery(deliveries: DataFrame, listings: DataFrame) -> DataFrame:
               .agg(F.max(F.struct(F.col("notified_at").alias("delivered_at"),
                                   F.col("n").alias("listing_count"),
                                   F.lit("email").alias("channel"))).alias("_mark")))
-    # One row on each side.
-    both = logged.crossJoin(marked)
+    both = beside(logged, marked)
     best = F.coalesce("_log", "_mark")
     return both.select(best.alias("_best")).where(F.col("_best").isNotNull()).select("_best.*")
 
@@ -90,8 +89,7 @@ def assess_anomalies(moves: DataFrame, metrics: DataFrame) -> DataFrame:
         F.when(F.col("parsing_anomalies") > 0, "parsing_or_schema_anomaly")))
     broad = ((F.col("_severe") >= SEVERE_COUNT)
              & (F.col("_severe") * 2 >= F.greatest(F.lit(1), F.col("_moves"))))
-    # Both sides are single rows.
-    return (totals.crossJoin(metrics).withColumn("reasons", evidence)
+    return (beside(totals, metrics).withColumn("reasons", evidence)
             .select("price_warnings", (broad & (F.size("reasons") > 0)).alias("safety_halt"),
                     "reasons"))
 
@@ -132,15 +130,8 @@ def status_summary(listings: DataFrame, runs: DataFrame, deliveries: DataFrame,
     queue = jobs.agg(
         *[F.count_if(F.col("state") == s).alias(f"queue_{s}") for s in JOB_STATES],
         F.count_if(F.col("state").isin("pending", "retry")).alias("pending_ai"))
-    out = per_market
-    for side in (run, delivered, queue, recent_failures(verdicts, now),
-                 latest_pricing_update(observations)):
-        out = out.crossJoin(side)
-    return out
-
-
-def _to_fixed(value: Column, digits: int) -> Column:
-    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value))
+    return beside(per_market, run, delivered, queue, recent_failures(verdicts, now),
+                  latest_pricing_update(observations))
 
 
 def work_metrics(timings: DataFrame, keys: list[str], chunk: Column,

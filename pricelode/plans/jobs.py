@@ -13,6 +13,7 @@ from ..functions.text import is_pricing_identity, product_name
 from ..functions.times import instant
 from ..functions.verdicts import backlog_candidate, exclusion_reason
 from ..operators import changes, deals, estimator, lifecycle, merge, quality, verdict_flow
+from ..operators.ordered import beside
 from ..session import stage_table
 from .settings import Settings
 
@@ -102,8 +103,8 @@ def repair(listings: DataFrame, observations: DataFrame, verdicts: DataFrame, *,
         observations, stored.where(F.col("source_key").startswith(prefix)),
         settings.confidence_threshold)
     rows = merge.history(rebuilt)
-    summary = verdict_flow.repair_summary(repaired).crossJoin(
-        rows.agg(F.count("*").alias("history_rows")))
+    summary = beside(verdict_flow.repair_summary(repaired),
+                     rows.agg(F.count("*").alias("history_rows")))
     return RepairResult(stored, rebuilt, rows, summary)
 
 

@@ -12,6 +12,7 @@ from ..functions.money import change_percent, comparable_name
 from ..functions.times import instant, parse_iso
 from ..functions.verdicts import reliable_content, unreliable_columns
 from ..operators import changes, deals, estimator, merge, quality, verdict_flow
+from ..operators.ordered import beside
 from ..schemas import LISTING_DEFAULTS, LISTINGS, conform
 from ..session import stage_table
 from ..sources import search
@@ -104,8 +105,8 @@ def run_scan(payloads: DataFrame, details: DataFrame, listings: DataFrame,
     metrics = counters.agg(
         F.coalesce(F.sum("records_fetched"), F.lit(0)).alias("search_records"),
         F.coalesce(F.sum("price_observations"), F.lit(0)).alias("valid_observations"))
-    metrics = metrics.crossJoin(quality.prior_valid_observations(runs)).crossJoin(
-        judged_rows.agg(F.count("*").alias("ai_candidates"),
-                        F.lit(0).alias("ai_failures"), F.lit(0).alias("parsing_anomalies")))
+    metrics = beside(metrics, quality.prior_valid_observations(runs), judged_rows.agg(
+        F.count("*").alias("ai_candidates"), F.lit(0).alias("ai_failures"),
+        F.lit(0).alias("parsing_anomalies")))
     return ScanResult(rows, processed, stored, fresh, waiting, estimates, found, counters, marks,
                       quality.assess_anomalies(moves, metrics))
