@@ -416,7 +416,47 @@ def backlog_rows(spark, sf_dir):
     return merge.backlog_listings(c.listings(spark, sf_dir)).select("id", "title", "price")
 
 
+def one_product(spark, sf_dir):
+    return merge.listing_by_product(c.listings(spark, sf_dir), "bunjang", "7").select(
+        "id", "title", "price", "listing_status")
+
+
+def one_history(spark, sf_dir):
+    return merge.observations_of(_stored_observations(spark, sf_dir), "RTX 3070").select(
+        "id", "observed_price", "observed_at")
+
+
+def rescoped(spark, sf_dir):
+    """Listings with the scope that the audit derived from their texts."""
+    rows = c.listings(spark, sf_dir)
+    audit = merge.audit_contamination(_stored_observations(spark, sf_dir), rows,
+                                      _verdict_versions(spark, sf_dir), "v6")
+    return merge.rescope_listings(rows, audit).select("id", "ai_scope")
+
+
+def retry_queue(spark, sf_dir):
+    """Retryable entries of one query after folding all failures, some products cleared."""
+    empty = conform(_failures(spark, sf_dir).where(F.lit(False)), RETRIES)
+    folded = merge.fold_retries(empty, _failures(spark, sf_dir), c.EVENTS_NOW)
+    done = _failures(spark, sf_dir).where(
+        _MOD(F.col("product_id").cast("bigint"), F.lit(4)) == 0).select(
+        "marketplace", "product_id").distinct()
+    return merge.due_retries(merge.clear_retries(folded, done), "q1").select(
+        "product_id", "attempts", "retry_count", "error_category")
+
+
+def new_rows(spark, sf_dir):
+    """Insert-or-ignore of line items per order: first by line number, known orders skipped."""
+    lines = c.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        F.max("l_partkey").alias("l_partkey"))
+    stored = c.table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(
+        F.col("o_orderkey").alias("l_orderkey"))
+    return merge.insert_or_ignore(stored, lines, ["l_orderkey"], [F.col("l_linenumber")])
+
+
 QUERIES = {
+    "listing_by_product": one_product, "observations_of_product": one_history,
+    "rescope_listings": rescoped, "retry_queue": retry_queue, "insert_or_ignore": new_rows,
     "merge_processed": processed, "merge_backfill": backfilled, "merge_backlog": backlogged,
     "merge_repair": repaired, "lifecycle_merge": checked, "mark_unavailable": unavailable,
     "constraint_rejects": violations, "conform_listings": conformed,
@@ -450,6 +490,22 @@ audited AS (SELECT id, CASE WHEN reviewed THEN reason IS NULL ELSE valid END AS
   CASE WHEN reviewed THEN scope END AS scope, reviewed AND NOT cur AS rescoped FROM a)"""
 
 SQL = {
+    "listing_by_product": f"""WITH {c.LISTINGS_SQL} SELECT id, title, price, listing_status
+FROM listings WHERE product_id = '7'""",
+    "observations_of_product": f"""WITH {_STORED_SQL} SELECT id, observed_price, observed_at
+FROM obs WHERE name = 'RTX 3070' AND valid ORDER BY observed_at""",
+    "rescope_listings": f"""WITH {_AUDIT_SQL} SELECT l.id, COALESCE(a.scope, l.ai_scope) AS ai_scope
+FROM listings l LEFT JOIN (SELECT id, scope FROM audited WHERE rescoped) a ON l.id = a.id""",
+    "retry_queue": f"""WITH {_FAIL_SQL}, g AS (SELECT product_id, COUNT(*) AS events,
+  SUM(retry_count) AS retries, MAX(record_no) AS last FROM fails GROUP BY 1)
+SELECT g.product_id, CAST(events AS INT) AS attempts, CAST(retries + events - 1 AS INT)
+  AS retry_count, f.cat AS error_category FROM g JOIN fails f ON g.last = f.record_no
+WHERE f.query_key = 'q1' AND f.cat IN ('read_timeout', 'connect_timeout', '429', '5xx')
+  AND CAST(g.product_id AS BIGINT) % 4 <> 0""",
+    "insert_or_ignore": """WITH g AS (SELECT l_orderkey, l_linenumber, MAX(l_partkey) AS l_partkey
+  FROM lineitem GROUP BY 1, 2)
+SELECT * FROM g WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) = 1""",
     "merge_processed": f"WITH {_INCOMING_SQL} " + _merged(
         {**_CONTENT, **_LIFE, "effective_price": "i.effective_price",
          "notified_at": "CASE WHEN i.state = 'updated' AND i.price < i.was THEN NULL "

@@ -8,6 +8,7 @@ from ..functions.money import change_percent
 from ..functions.prints import classification_fingerprint
 from ..operators import lifecycle, merge, quality
 from ..operators.ordered import beside
+from ..sources.tables import run_rows
 from . import common as c
 from .maintenance import _FAIL_SQL, _JOBS_SQL, _failures, _jobs
 
@@ -163,8 +164,16 @@ def fingerprint_groups(spark, sf_dir):
         F.countDistinct("print").alias("contents"), F.count("*").alias("n"))
 
 
+def run_log(spark, sf_dir):
+    """Run-log rows as they are appended, with long details cut."""
+    rows = _runs(spark, sf_dir).withColumn(
+        "detail", F.repeat(F.col("event_type"), (F.pmod("id", F.lit(900))).cast("int")))
+    return run_rows(rows).select("id", "status", "safety_halt", F.length("detail").cast("bigint")
+                                 .alias("detail_length"))
+
+
 QUERIES = {
-    "price_moves": price_moves, "anomaly_assessment": anomaly, "last_successful_run": last_run,
+    "run_log": run_log, "price_moves": price_moves, "anomaly_assessment": anomaly, "last_successful_run": last_run,
     "queue_counts": queue, "retry_statistics": retry_stats, "counts_by_marketplace": by_marketplace,
     "listing_count": count, "latest_pricing_update": pricing_update,
     "verdict_telemetry": telemetry, "recent_failures": failures, "last_delivery": delivery,
@@ -176,6 +185,10 @@ _WORK_SQL = """work AS (SELECT ts AS classified_at, event_type <> 'error' AS suc
   record_no % 4 = 0 AS cached, CAST(price AS DOUBLE) AS seconds FROM recs)"""
 
 SQL = {
+    "run_log": f"""WITH {c.EVENTS_SQL}, r AS (SELECT MAX(record_no) AS id, event_type
+  FROM recs GROUP BY updated_at, event_type)
+SELECT id, CASE event_type WHEN 'error' THEN 'failed' ELSE 'success' END AS status,
+  FALSE AS safety_halt, least(2000, len(event_type) * (id % 900)) AS detail_length FROM r""",
     "price_moves": f"WITH {_MOVES_SQL} SELECT * FROM moves",
     "anomaly_assessment": f"""WITH {_MOVES_SQL},
 runs AS (SELECT MAX(record_no) AS id, COUNT(*) * 1000 AS valid_observations,

@@ -277,6 +277,12 @@ def repair(spark, sf_dir):
                       "reviewed_by_verdict")
 
 
+def repair_totals(spark, sf_dir):
+    return flow.repair_summary(flow.repair_listings(
+        c.listings(spark, sf_dir), _verdict_log(spark, sf_dir), threshold=0.9, model=MODEL,
+        effort=EFFORT, version=VERSION))
+
+
 def unreliable(spark, sf_dir):
     rows = c.listings(spark, sf_dir)
     ok = v.reliable_content()
@@ -292,7 +298,7 @@ QUERIES = {
     "backlog_rejections": backlog_gates, "backlog_candidates": stored_backlog,
     "verdict_cache": cache_lookup, "review_prechecks": prechecks, "review_gate": gate,
     "approved_reviews": approved, "repair_routes": routes, "repair_listings": repair,
-    "unreliable_content": unreliable,
+    "unreliable_content": unreliable, "repair_summary": repair_totals,
 }
 
 _REASON = """CASE WHEN listing_status <> 'active' THEN 'status:' || listing_status
@@ -425,3 +431,9 @@ SELECT fid AS id, CASE WHEN rr IS NOT NULL THEN 'reject' WHEN acc IS NOT NULL TH
   CASE WHEN ok THEN ai_scope ELSE 'unknown' END AS ai_scope,
   CASE WHEN ok THEN effective_price END AS effective_price FROM k""",
 }
+
+SQL["repair_summary"] = f"""SELECT COUNT(*) AS reviewed,
+  COUNT(*) FILTER (WHERE outcome = 'accept') AS accepts,
+  COUNT(*) FILTER (WHERE outcome = 'reject') AS rejects,
+  COUNT(*) FILTER (WHERE reviewed_by_verdict AND ({_CACHE_SQL}) IS NOT NULL) AS cache_hits
+FROM ({SQL['repair_listings']}) r"""
