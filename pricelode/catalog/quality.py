@@ -173,7 +173,8 @@ def run_log(spark, sf_dir):
 
 
 QUERIES = {
-    "run_log": run_log, "price_moves": price_moves, "anomaly_assessment": anomaly, "last_successful_run": last_run,
+    "run_log": run_log, "price_moves": price_moves,
+    "anomaly_assessment": anomaly, "last_successful_run": last_run,
     "queue_counts": queue, "retry_statistics": retry_stats, "counts_by_marketplace": by_marketplace,
     "listing_count": count, "latest_pricing_update": pricing_update,
     "verdict_telemetry": telemetry, "recent_failures": failures, "last_delivery": delivery,

@@ -262,13 +262,13 @@ def rejection_reason(status: Column, condition: Column, scope: Column, text: Col
                      title_name: Column, description_name: Column) -> Column:
     """First deterministic reason to reject a listing before any verdict is sought."""
     return (
-        F.when(status != "active", F.concat(F.lit("rule-based listing status is "), status))
+        F.when(status != "active", F.concat(F.lit(fixed.RULE_REASONS["status"]), status))
         .when(condition != "normal",
-              F.concat(F.lit("rule-based condition status is "), condition))
-        .when(scope.isNotNull(), F.concat(F.lit("rule-based listing scope is "), scope))
-        .when(~mentions_part(text), F.lit("rule-based computer-part match missing"))
+              F.concat(F.lit(fixed.RULE_REASONS["condition"]), condition))
+        .when(scope.isNotNull(), F.concat(F.lit(fixed.RULE_REASONS["scope"]), scope))
+        .when(~mentions_part(text), F.lit(fixed.RULE_REASONS["part"]))
         .when(title_name != description_name,
-              F.lit("rule-based model mismatch between title and description"))
+              F.lit(fixed.RULE_REASONS["mismatch"]))
     )
 
 

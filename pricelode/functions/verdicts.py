@@ -95,7 +95,7 @@ def verdict_rejects(verdict: Column, canonical: Column, evidenced: Column, price
 
 def applied_columns(verdict: Column, canonical: Column, title_name: Column,
                     description_name: Column, threshold: float,
-                    failure: Column | str = "Codex CLI classification failed"
+                    failure: Column | str = fixed.VERDICT_REASONS["failed"]
                     ) -> dict[str, Column]:
     """Listing columns after a first-stage verdict; a null verdict fails closed.
 
@@ -108,17 +108,17 @@ def applied_columns(verdict: Column, canonical: Column, title_name: Column,
     rejected = verdict_rejects(verdict, canonical, evidenced, price, floor)
     reason = (
         F.when(given.isNotNull() & canonical.isNull(), F.concat(
-            F.lit("AI normalized product cannot be canonicalized: "), given))
+            F.lit(fixed.VERDICT_REASONS["canonical"]), given))
         .when(canonical.isNotNull() & ~evidenced,
-              F.lit("AI normalized product is not evidenced by exact listing text"))
+              F.lit(fixed.VERDICT_REASONS["evidence"]))
         .when(canonical.isNotNull() & ~is_pricing_identity(canonical),
               F.lit(fixed.BUCKET_REASON))
         .when(verdict["displayed_price"] != price,
-              F.lit("AI displayed price does not match fetched marketplace price"))
+              F.lit(fixed.VERDICT_REASONS["price"]))
         .when(verdict["price_bait"],
-              F.lit("AI identified a placeholder, bait, or otherwise misleading price"))
+              F.lit(fixed.VERDICT_REASONS["bait"]))
         .when(verdict["hidden_price_condition"],
-              F.lit("AI identified an unresolved hidden pricing condition"))
+              F.lit(fixed.VERDICT_REASONS["hidden"]))
         .otherwise(verdict["reason"]))
     unsure = (verdict["confidence"] < floor) | canonical.isNull()
     have = verdict.isNotNull()
@@ -152,7 +152,7 @@ def accepted_columns(name: Column) -> dict[str, Column]:
         "condition_status": F.lit("normal"), "ai_is_computer_part": F.lit(True),
         "ai_normalized_product_name": name, "ai_confidence": F.lit(1.0),
         "ai_reject": ~priceable,
-        "ai_reason": F.when(priceable, "rule-based clear active standalone part")
+        "ai_reason": F.when(priceable, fixed.RULE_REASONS["accept"])
         .otherwise(fixed.BUCKET_REASON),
         "ai_scope": F.lit("standalone"), "ai_sale_status": F.lit("active"),
         "ai_usable_for_market_price": priceable,

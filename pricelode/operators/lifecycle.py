@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions.times import age_days, as_timestamp, instant
 from ..schemas import SEARCH_MARKETPLACE
 from .ordered import carried_last, running_total
@@ -142,7 +143,7 @@ def fold_queue(events: DataFrame, chunk: Column, now, timeout_seconds: float = 9
                    F.nullif(F.substring("_error", 1, 1000), F.lit("")))
     return folded.select(
         *PRODUCT, "classification_fingerprint", state.alias("state"), "attempts",
-        F.coalesce(error, F.when(stale, "stale processing recovery"), F.lit(""))
+        F.coalesce(error, F.when(stale, fixed.AUDIT_REASONS["stale"]), F.lit(""))
         .alias("last_error"),
         F.when(stale, at).otherwise(F.coalesce(later, F.col("_queued"))).alias("available_at"),
         F.when(state == "processing", F.col("_started")).alias("started_at"),

@@ -20,7 +20,7 @@ from .ordered import latest_per_key
 
 PRODUCT = ["marketplace", "product_id"]
 OBSERVATION_KEY = [*PRODUCT, "normalized_product_name", "observed_at"]
-REBUILD_REASON = "superseded by offline market-price repair"
+REBUILD_REASON = fixed.AUDIT_REASONS["rebuild"]
 
 # Columns a processed listing brings along (identity, content, classification, price).
 CONTENT = ["listing_id", "url", "title", "price", "location", "source_type", "description",
@@ -280,7 +280,7 @@ def recover_stale(jobs: DataFrame, now, timeout_seconds: float) -> DataFrame:
     stale = F.coalesce((F.col("state") == "processing") & (F.col("started_at") < cutoff),
                        F.lit(False))
     return jobs.withColumns({
-        "last_error": F.when(stale & (F.col("last_error") == ""), "stale processing recovery")
+        "last_error": F.when(stale & (F.col("last_error") == ""), fixed.AUDIT_REASONS["stale"])
         .otherwise(F.col("last_error")),
         "available_at": F.when(stale, at).otherwise(F.col("available_at")),
         "updated_at": F.when(stale, at).otherwise(F.col("updated_at")),
@@ -411,10 +411,10 @@ def audit_contamination(observations: DataFrame, listings: DataFrame, verdicts:
                              F.col("_desc_name"))
     reason = (
         F.when(~status.isin(*LISTING_STATUSES) | (status != "active"),
-               F.concat(F.lit("listing status is "), status))
+               F.concat(F.lit(fixed.AUDIT_REASONS["status"]), status))
         .when(F.col("scope") != "standalone",
-              F.concat(F.lit("listing scope is "), F.col("scope")))
-        .when(mismatch, F.lit("normalized product does not match listing text")))
+              F.concat(F.lit(fixed.AUDIT_REASONS["scope"]), F.col("scope")))
+        .when(mismatch, F.lit(fixed.AUDIT_REASONS["mismatch"])))
     reviewed = F.coalesce(F.col("_found"), F.lit(False))
     rows = rows.withColumns({"reviewed": reviewed, "_reason": reason})
     out = [c for c in observations.columns if c not in ("valid", "invalid_reason")]

@@ -62,7 +62,7 @@ def cached_verdict(listings: DataFrame, verdicts: DataFrame, model: str, effort:
 
 
 def apply_verdicts(listings: DataFrame, threshold: float,
-                   failure: Column | str = "Codex CLI classification failed") -> DataFrame:
+                   failure: Column | str = fixed.VERDICT_REASONS["failed"]) -> DataFrame:
     """Project listings through their ``verdict`` struct; null verdicts fail closed."""
     columns = listings.columns
     rows = with_text_names(listings).withColumn("_canonical", verdict_name(F.col("verdict")))
@@ -130,18 +130,18 @@ def review_prechecks(deals: DataFrame, details: DataFrame, minimum_discount_perc
     supported = (F.coalesce(F.col("marketplace") == marketplace, F.lit(False))
                  & F.col("product_id").isNotNull())
     reason = (
-        F.when(~F.col("_first_stage"), "listing did not pass first-stage bargain filters")
-        .when(~supported, "unsupported final-review listing")
+        F.when(~F.col("_first_stage"), fixed.REVIEW_REASONS["first_stage"])
+        .when(~supported, fixed.REVIEW_REASONS["unsupported"])
         .when(F.col("discount_percent") < minimum_discount_percent,
-              "listing no longer meets final-review discount threshold")
-        .when(~F.col("refreshed"), "current Bunjang detail request failed")
-        .when(F.col("listing_status") != "active", "current Bunjang listing is not active")
+              fixed.REVIEW_REASONS["discount"])
+        .when(~F.col("refreshed"), fixed.REVIEW_REASONS["request"])
+        .when(F.col("listing_status") != "active", fixed.REVIEW_REASONS["inactive"])
         .when(F.col("price") != F.col("_listed_price"),
-              "current Bunjang displayed price changed")
+              fixed.REVIEW_REASONS["price"])
         .when(~exact_model(F.col("normalized_name"), F.col("_title_name"), F.col("_desc_name")),
-              "current Bunjang detail no longer matches product identity")
+              fixed.REVIEW_REASONS["identity"])
         .when(now_off < minimum_discount_percent,
-              "effective price no longer meets discount threshold"))
+              fixed.REVIEW_REASONS["effective"]))
     return (rows.withColumn("precheck", reason)
             .withColumn("discount_percent", F.when(F.col("precheck").isNull(), now_off)
                         .otherwise(F.col("discount_percent")))
@@ -173,7 +173,7 @@ def review_gate(deals: DataFrame, details: DataFrame, verdicts: DataFrame, *,
     return rows.withColumns({
         "passed": clear & ok, "review_status": status,
         "review_reason": F.coalesce("precheck", "_verdict.reason",
-                                    F.lit("text AI review failed")),
+                                    F.lit(fixed.REVIEW_REASONS["failed"])),
     }).drop("_verdict", "_canonical", "precheck")
 
 
@@ -227,13 +227,13 @@ def repair_routes(listings: DataFrame,
     named = F.coalesce("_title_name", "_desc_name")
     reject = (
         F.when(F.col("listing_status") != "active",
-               F.concat(F.lit("rule-based listing status is "), F.col("listing_status")))
+               F.concat(F.lit(fixed.RULE_REASONS["status"]), F.col("listing_status")))
         .when(F.col("_scope").isNotNull(),
-              F.concat(F.lit("rule-based listing scope is "), F.col("_scope")))
+              F.concat(F.lit(fixed.RULE_REASONS["scope"]), F.col("_scope")))
         .when(F.col("_fresh").isin("broken", "risky"),
-              F.concat(F.lit("rule-based condition status is "), F.col("_fresh")))
-        .when(~mentions_part(text), F.lit("rule-based computer-part match missing"))
-        .when(named.isNull(), F.lit("rule-based supported exact model match missing"))
+              F.concat(F.lit(fixed.RULE_REASONS["condition"]), F.col("_fresh")))
+        .when(~mentions_part(text), F.lit(fixed.RULE_REASONS["part"]))
+        .when(named.isNull(), F.lit(fixed.RULE_REASONS["model"]))
         .when(~is_pricing_identity(named), F.lit(fixed.BUCKET_REASON)))
     rows = rows.withColumn("_reject", reject)
     agreed = F.col("_desc_name").isNull() | (F.col("_desc_name") == F.col("_title_name"))
