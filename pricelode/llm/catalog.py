@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .decontamination import find_contamination
+from .hilbert_shards import assign_shards, quantised_name, quantised_size
+from .line_quality import line_quality
 from .piece_ids import encode_pieces
 from .token_counts import count_tokens
 from .token_files import token_file_digest
@@ -23,6 +27,30 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(spark, docs, public_tokenizers.path(BYTE_BPE))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = line_quality(_documents(spark, sf_dir, "doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept", "lost_chars")
+
+
+def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "doc_id", "text", "lang", "source")
+    rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+                       F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"), "lang", "source")
+    cells = [quantised_name(F.col("lang")), quantised_name(F.col("source")), quantised_size(F.col("size"))]
+    placed = assign_shards(rows, cells, ["text_crc32", "doc_id"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "doc_id", "text")
     return count_tokens(docs, public_tokenizers.path(BYTE_BPE)).drop("text")
@@ -35,6 +63,9 @@ def op10_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_decontamination": op2_decontamination,
+    "op5_line_quality": op5_line_quality,
+    "op6_hilbert_shards": op6_hilbert_shards,
     "op8_token_counts": op8_token_counts,
     "op10_piece_ids": op10_piece_ids,
 }
