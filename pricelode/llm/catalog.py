@@ -6,13 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import is_held_out, table
 from .decontamination import find_contamination
 from .hilbert_shards import assign_shards, quantised_name, quantised_size
 from .line_quality import line_quality
 from .piece_ids import encode_pieces
 from .token_counts import count_tokens
 from .token_files import token_file_digest
+from .toxicity import score_toxicity, train_toxicity
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -35,6 +36,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    model = train_toxicity(docs, table(spark, sf_dir, "labels"), lambda key: ~is_held_out(key, 5, 0))
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", is_held_out("doc_id", 5, 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = line_quality(_documents(spark, sf_dir, "doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -64,6 +73,7 @@ def op10_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_decontamination": op2_decontamination,
+    "op3_toxicity": op3_toxicity,
     "op5_line_quality": op5_line_quality,
     "op6_hilbert_shards": op6_hilbert_shards,
     "op8_token_counts": op8_token_counts,
