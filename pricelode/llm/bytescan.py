@@ -130,12 +130,7 @@ def shingle_hashes(word: np.ndarray, width: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     count = len(word) - width + 1
     out = np.zeros(count, np.uint64)
+    steps = np.arange(1, width + 1, dtype=np.uint64) * _GOLDEN
     for k in range(width):
-        out = mixed(out + word[k:k + count] + _GOLDEN * np.uint64(k + 1))
+        out = mixed(out + word[k:k + count] + steps[k])
     return out
-
-
-def folded(hashes: np.ndarray) -> int:
-    """One 64-bit hash of a whole sequence of word hashes."""
-    place = mixed(np.arange(1, len(hashes) + 1, dtype=np.uint64) * _GOLDEN)
-    return int(mixed(np.array([np.sum(mixed(hashes ^ place)) + np.uint64(len(hashes))], np.uint64))[0])

@@ -10,6 +10,7 @@ from .common import is_held_out, table
 from .decontamination import find_contamination
 from .hilbert_shards import assign_shards, quantised_name, quantised_size
 from .line_quality import line_quality
+from .ngram_join import ngram_join
 from .piece_ids import encode_pieces
 from .token_counts import count_tokens
 from .token_files import token_file_digest
@@ -44,6 +45,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_documents(spark, sf_dir, "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = line_quality(_documents(spark, sf_dir, "doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -74,6 +79,7 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_decontamination": op2_decontamination,
     "op3_toxicity": op3_toxicity,
+    "op4_ngram_join": op4_ngram_join,
     "op5_line_quality": op5_line_quality,
     "op6_hilbert_shards": op6_hilbert_shards,
     "op8_token_counts": op8_token_counts,
