@@ -12,6 +12,7 @@ from .hilbert_shards import assign_shards, quantised_name, quantised_size
 from .line_quality import line_quality
 from .ngram_join import ngram_join
 from .piece_ids import encode_pieces
+from .suffix_tree_lm import language_model_scores
 from .token_counts import count_tokens
 from .token_files import token_file_digest
 from .toxicity import score_toxicity, train_toxicity
@@ -65,6 +66,13 @@ def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    scored = language_model_scores(docs, lambda key: ~is_held_out(key, 7, 2)).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", is_held_out("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known",
+                         "train_tokens", "base_score", "score")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "doc_id", "text")
     return count_tokens(docs, public_tokenizers.path(BYTE_BPE)).drop("text")
@@ -82,6 +90,7 @@ QUERIES = {
     "op4_ngram_join": op4_ngram_join,
     "op5_line_quality": op5_line_quality,
     "op6_hilbert_shards": op6_hilbert_shards,
+    "op7_suffix_tree_lm": op7_suffix_tree_lm,
     "op8_token_counts": op8_token_counts,
     "op10_piece_ids": op10_piece_ids,
 }
