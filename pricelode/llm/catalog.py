@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .common import is_held_out, table
 from .decontamination import find_contamination
 from .hilbert_shards import assign_shards, quantised_name, quantised_size
+from .license_scan import scan_licenses
 from .line_quality import line_quality
 from .ngram_join import ngram_join
 from .piece_ids import encode_pieces
@@ -78,6 +79,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path(BYTE_BPE)).drop("text")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_documents(spark, sf_dir, "doc_id", "text")).withColumnRenamed("id", "doc_id").drop("licenses")
+
+
 def op10_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "doc_id", "text")
     return encode_pieces(docs, public_tokenizers.path(PIECE_BPE), digests=True).drop("text")
@@ -92,6 +97,7 @@ QUERIES = {
     "op6_hilbert_shards": op6_hilbert_shards,
     "op7_suffix_tree_lm": op7_suffix_tree_lm,
     "op8_token_counts": op8_token_counts,
+    "op9_license_scan": op9_license_scan,
     "op10_piece_ids": op10_piece_ids,
 }
 
