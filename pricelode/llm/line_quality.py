@@ -24,41 +24,56 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_LOST_PERCENT = 50
 
-PUNCTUATION = r"[\p{P}\p{S}]"
+PLAIN = r"[\p{L}\p{N}\p{M}\s]+"
 NAVIGATION = (r"(?i)^\W*(?:home|menu|search|next|prev(?:ious)?|back(?: to top)?|log ?in|log ?out|sign (?:in|up)|register"
               r"|share|print|skip to (?:main )?content|read more|click here|contact(?: us)?|about(?: us)?|sitemap)\b")
-SEPARATOR = r"[|»«›‹•·→←]|\s[>/]\s"
-BOILERPLATE = (r"(?i)all rights reserved|\bcookies?\b.*\b(?:accept|use|policy|consent)\b|\b(?:accept|use)\b.*\bcookies?\b"
-               r"|privacy policy|terms of (?:use|service)|enable javascript|subscribe to (?:our|the)|sign up for (?:our|the)"
-               r"|powered by wordpress|lorem ipsum|follow us on|share (?:this|on) ")
+SEPARATORS = "|»«›‹•·→←>"
+BOILERPLATE = ["all rights reserved", "cookie", "privacy policy", "terms of use", "terms of service",
+               "enable javascript", "subscribe to our", "subscribe to the", "sign up for our", "sign up for the",
+               "powered by wordpress", "lorem ipsum", "follow us on", "share this", "share on "]
 
 
-def _squeezed(text: Column) -> Column:
-    """The text without ASCII white space."""
-    return F.translate(text, WHITE, "")
+def _without(text: Column, characters: str) -> Column:
+    """The text without some characters; a plain byte search for each."""
+    for c in characters:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
 
 
-def line_fails(line: Column) -> Column:
-    """Whether one line is to go; False for lines without words.
+def _phrase(low: Column) -> Column:
+    """Whether a phrase of site notices stands in a text in lower case."""
+    found = F.contains(low, F.lit(BOILERPLATE[0]))
+    for phrase in BOILERPLATE[1:]:
+        found = found | F.contains(low, F.lit(phrase))
+    return found
 
-    * punctuation: over 30 % of its characters outside white space (12 or more) are punctuation or
-      symbols, or it has no letter at all;
+
+def line_facts(line: Column) -> list[Column]:
+    """A line's characters outside white space, and the string of those that are no letters or digits."""
+    return [F.length(_without(line, WHITE)).alias("size"), F.regexp_replace(line, PLAIN, "").alias("odd")]
+
+
+def _count(text: Column, characters: str) -> Column:
+    return F.length(text) - F.length(_without(text, characters))
+
+
+def line_fails(line: Column, size: Column, odd: Column, notices: bool) -> Column:
+    """Whether one line is to go; False for lines without words. `size` and `odd` are its `line_facts`.
+
+    * punctuation: over 30 % of its characters outside white space (12 or more) are no letters or
+      digits, or it has no letter at all;
     * symbols: over 8 % of them are among ``#*$%&|<>``;
-    * navigation: at most 8 words that begin like a menu entry, or three or more separators of a
-      menu or a table;
-    * boilerplate: a phrase of site notices.
+    * navigation: it has at most 8 blanks and begins like a menu entry, or it has three or more
+      separators of a menu or a table;
+    * boilerplate: a phrase of site notices (not sought unless `notices`, the whole text has one).
     """
-    body = _squeezed(line)
-    size = F.length(body)
-    marks = size - F.length(F.regexp_replace(body, PUNCTUATION, ""))
-    symbols = size - F.length(F.translate(body, SYMBOLS, ""))
-    gaps = F.length(F.trim(line)) - F.length(F.translate(F.trim(line), " \t", ""))
-    separators = F.regexp_count(line, F.lit(SEPARATOR))
-    return (size > 0) & (((size >= 12) & (marks * 10 > size * 3)) | ~line.rlike(r"\p{L}") | (symbols * 100 > size * 8)
-                         | (separators >= 3) | ((gaps < 8) & line.rlike(NAVIGATION)) | line.rlike(BOILERPLATE))
+    boilerplate = _phrase(F.lower(line)) if notices else F.lit(False)
+    return (size > 0) & (((size >= 12) & (F.length(odd) * 10 > size * 3)) | ~line.rlike(r"\p{L}")
+                         | (_count(odd, SYMBOLS) * 100 > size * 8) | (_count(odd, SEPARATORS) >= 3)
+                         | ((_count(line, " ") <= 8) & line.rlike(NAVIGATION)) | boilerplate)
 
 
-def repeated_words(words: Column, windows: Column) -> Column:
+def repeated_words(windows: Column) -> Column:
     """The words inside any run of three that occurs twice or more; `windows` has a hash per run.
 
     Equal hashes are brought together by sorting (hash, place), so the cost is n log n a text.
@@ -82,28 +97,38 @@ def line_quality(docs: DataFrame, text: str = "text", cleaned: str = "cleaned",
     work = docs.select(F.struct(*rest).alias("r") if rest else F.struct(F.lit(0).alias("_")).alias("r"),
                        column(docs, text).cast("string").alias("raw"))
     full = F.coalesce(F.col("raw"), F.lit(""))
-    work = work.select("r", "raw", full.alias("t"),
+    work = work.select("r", "raw", full.alias("t"), F.lower(full).alias("low"),
                        F.array_remove(F.split(full, r"[\x20\x09-\x0D]+"), "").alias("w"),
                        F.split(full, "\n").alias("lines"))
     count = F.size("w")
     runs = F.when(count >= 3, F.transform(F.sequence(F.lit(0), count - 3), lambda i: F.xxhash64(
         F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).otherwise(F.array().cast("array<bigint>"))
-    worded = F.filter("lines", lambda x: F.length(_squeezed(x)) > 0)
-    work = work.select("r", "raw", "t", "lines", count.cast("long").alias("n_words"), F.col("w"), runs.alias("runs"),
-                       worded.alias("worded"), F.filter("lines", lambda x: ~line_fails(x)).alias("good"))
+    # Each line with its facts, so that rules don't scan it again.
+    facts = F.transform("lines", lambda x: F.struct(x.alias("x"), *line_facts(x)))
+    work = work.select("r", "raw", "t", count.cast("long").alias("n_words"), F.col("w"), runs.alias("runs"),
+                       facts.alias("lines"), _phrase(F.col("low")).alias("notices"))
+
+    def judged(notices: bool) -> Column:
+        return F.transform("lines", lambda x: F.struct(
+            x["x"].alias("x"), x["size"].alias("size"), _count(x["odd"], SYMBOLS).alias("symbols"),
+            line_fails(x["x"], x["size"], x["odd"], notices).alias("fails")))
+
+    work = work.select("r", "raw", "t", "n_words", "w", "runs", F.when(
+        F.col("notices"), judged(True)).otherwise(judged(False)).alias("lines"))
+    worded = F.transform(F.filter("lines", lambda x: x["size"] > 0), lambda x: x["x"])
     # Only texts with some repeated run pay for the sort.
     twice = F.size(F.array_distinct("runs")) < F.size("runs")
-    work = work.select("r", "raw", "t", "n_words", "w", "worded", "good", F.when(twice, F.sort_array(F.transform(
-        "runs", lambda h, i: F.struct(h.alias("h"), i.alias("at"))))).alias("windows"))
-    body = F.length(_squeezed(F.col("t")))
+    work = work.select("r", "raw", "t", "n_words", "w", "lines", worded.alias("worded"), F.when(
+        twice, F.sort_array(F.transform("runs", lambda h, i: F.struct(h.alias("h"), i.alias("at"))))).alias("windows"))
+    bad = F.filter("lines", lambda x: x["fails"])
     work = work.select(
-        "r", "raw", "n_words", "good", body.cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        "r", "raw", "n_words", F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + x["symbols"]).alias("n_symbols"),
         (F.size("worded") - F.size(F.array_distinct("worded"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("windows").isNull(), 0).otherwise(
-            repeated_words(F.col("w"), F.col("windows"))).cast("long").alias("n_repeat_words"),
-        F.array_join("good", "\n").alias("left"))
-    work = work.select("*", (F.col("word_chars") - F.length(_squeezed(F.col("left")))).cast("long").alias("lost"))
+            repeated_words(F.col("windows"))).cast("long").alias("n_repeat_words"),
+        F.array_join(F.transform(F.filter("lines", lambda x: ~x["fails"]), lambda x: x["x"]), "\n").alias("left"),
+        F.aggregate(bad, F.lit(0).cast("long"), lambda n, x: n + x["size"]).alias("lost"))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
     kept = ~failed & (F.col("lost") * 100 <= F.col("word_chars") * max_lost_percent)
     values = [F.col("n_words"), F.col("word_chars"), F.col("n_symbols"), F.col("n_dup_lines"),
