@@ -46,14 +46,17 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
     schema = T.StructType([*(f for f in df.schema.fields if f.name in kept),
                            *(T.StructField(name, kind) for name, kind in added)])
 
+    names_in = df.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = function(batch)
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            made = function(batch.rename_columns(names_in))
+            columns = [batch.column(names_in.index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, *made], names=[*kept, *(n for n, _ in added)])
 
     small_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    # Numbered names: the input's own may hold dots.
+    return df.toDF(*(f"c{k}" for k in range(len(names_in)))).mapInArrow(run, schema)
 
 
 def small_batches(spark: SparkSession) -> None:
