@@ -55,6 +55,11 @@ def test_cards_and_descriptions(spark):
             for r in rows] == [("First card", 10000, "Seoul", "a-1", "hello"),
                                ("Second", 20000, "Busan", "2", ""),
                                ("Pic", 30, "Home", "4", "")]
+    deep = "<p>" * 5000 + '<li><a href="/articles/9"><h3>Deep</h3></a><span>7원</span></li>'
+    odd = spark.createDataFrame(
+        [(2, "https://www.example.com/x", deep, "index", "Home"), (3, "bad url", "<<<a href=/articles/1>", "i", "H")],
+        df.schema)
+    assert [(r["page_id"], r["title"], r["price"]) for r in pages.listing_cards(odd).collect()] == [(2, "Deep", 7)]
     assert pages.meta_descriptions(df).first()["description"] == "page text"
 
 
