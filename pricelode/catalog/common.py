@@ -16,37 +16,49 @@ NOW_SQL = "TIMESTAMP '2001-09-01 00:00:00'"
 EVENTS_NOW = "2024-01-31T00:00:00Z"
 EVENTS_NOW_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
 
-# Hand-sized listing texts (key, title, description).
-TEXTS = [
-    (0, "4070s 팝니다", ""),
-    (1, "3060ti 그래픽카드", ""),
-    (2, "라이젠 5600x CPU", ""),
-    (3, "Samsung 980 NVMe 500GB", ""),
-    (4, "삼성 980 SSD 500기가", ""),
-    (5, "DDR5-5600 32GB 램", ""),
-    (6, "RTX 3080 Ti 그래픽카드", ""),
-    (7, "14700K", ""),
-    (8, "RTX 4070 SUPER", "어제까지 잘 쓰다가 작동 안됨. 부품용 고장품입니다."),
-    (9, "RTX 4070 SUPER", "정상 작동 확인했고 화면 출력과 팬 모두 문제 없습니다."),
-    (10, "RTX 4070 SUPER", "작동 미확인 / as-is"),
-    (11, "RTX 4070 SUPER", ""),
-    (12, "GTX 1050", "쿨링팬이 있어 발열 해소에 좋고 정상 작동합니다."),
-    (13, "ASUS ROG RTX 4060 게이밍 노트북", ""),
-    (14, "RTX4060 그래픽카드 삽니다", ""),
-    (15, "컬러풀 RTX 4060 박스", ""),
-    (16, "라이젠7800X3D RTX5060TI 고사양 컴퓨터",
-     "사진상 사양 확인해주세요. 구입시기 25년 7월."),
-    (17, "RTX 4060 Ti 8GB MSI 벤투스 판매합니다",
-     "정상 작동, 채굴 없음. 본체에서 분리한 그래픽카드 본품입니다."),
-    (18, "RTX 4060 Ti MSI 벤투스", "정상 작동, 문제 없습니다. RTX 4060 Ti 단품"),
-    (19, "라이젠5 5600 정품", "정상 작동 확인, 벌크 아님"),
-    (20, "B650 메인보드", "정상 작동합니다"),
-    (21, "RTX 3070", "RTX 3070 Ti 정상 작동"),
-    (22, "데스크탑 PC 부품 정리", "CPU: 5600X\nRAM: 16GB\nGPU: 3060"),
-    (23, "모니터 암", "정상 사용, 나눔 아님"),
-    (24, "보드 CPU 세트", "라이젠 5600 + 램 16기가 정상 작동"),
-    (25, "RTX 3080 artifacting", "screen issue, sold as is"),
+# Own listing titles: one for every product-name pattern, then bare models, parts without a
+# name, and titles for the listing scopes.
+TITLES = [
+    "RTX 3080 화이트", "3070 Ti 두 팬", "RTX3070 미니", "RTX 3060 Ti 레드", "4060ti 새 상품", "rtx 4060 한 달 씀",
+    "RX 7800 XT 실버", "7700xt 저소음", "RX6800XT 레퍼런스", "rx 6700 xt 이팬", "4070 super 백색",
+    "라이젠 7 7800X3D 멀티팩", "Ryzen 5800X3D 쿨러 없음", "ryzen 7 5700x3d 알뜰", "라이젠7700X 국내 유통",
+    "Ryzen 5 7600X 직구", "라이젠 5 7600 테이프 그대로", "라이젠 7500F 트레이", "Ryzen 7 5700X 한정", "라이젠5 5600X 급처",
+    "ryzen 5600 저렴히", "core i7-14700K 새것급", "i5 14600k 교체분", "13700K 인텔", "i5-13600K 여분", "core i7 12700k 예비",
+    "12600K 남는 것", "DDR5 32GB 방열판", "ddr5 64기가 두 장", "990 PRO 2TB 발열판", "Samsung 980 PRO 2테라",
+    "WD Black SN850X 2TB 게임용", "SK hynix Platinum P41 2TB", "NVMe 2TB 저장장치", "B650 어로스", "B550 토마호크",
+    "Z790 에이스", "B760 프라임", "Samsung 980 SSD 500GB 미사용", "삼성 980 500기가 두 개",
+    "13600k", "5600", "DDR4 16GB 한 장", "GTX 1660 두 개", "기계식 키보드", "RX 580 아이스",
+    "RTX 3070 구합니다", "RTX 4060 달린 노트북", "TUF gaming F15 4060", "RTX 3070 박스", "RTX 3070 풀박스 구성",
+    "PC 부품 모음 4060", "조립 컴퓨터 RTX 3060 Ti", "라이젠 5600 보드 세트", "Ryzen 5600 + 램 16기가", "데스크탑 RTX 3080 정리",
 ]
+
+# Own descriptions: one for every condition rule, then some without any, and part lists.
+NOTES = [
+    "고장 없습니다 깨끗함", "불량 아님 보증 가능", "파손 없고 깔끔", "오늘까지 정상 동작", "문제 없음 바로 사용",
+    "it is broken since may", "defective unit", "damaged in transit", "not working at all", "it doesn't work here",
+    "no power on my board", "it won't turn on", "needs repair soon", "parts only please", "sold for parts", "total junk",
+    "dead card", "팬 고장", "램 불량", "모서리 파손", "작동 안됨", "작동 불가 상태", "전원 안 들어옴", "전원 불량 의심",
+    "수리 필요", "부품용 으로 가져가세요", "정크 물건", "고장품 그대로",
+    "small display issue", "fan noise at night", "artifacts in games", "artefacts in games", "overheating in summer",
+    "intermittent failure", "two bent pins", "water damage inside", "cracked pcb corner", "pcb crack seen", "화면 이상 조금",
+    "출력 이상 있음", "팬 소음 큼", "아티팩트 보임", "발열 심함", "여름에 과열", "간헐 멈춤", "핀 휨 하나", "침수 이력",
+    "액체 유입 흔적", "기판 크랙", "pcb 균열",
+    "unknown working condition", "working condition unknown", "untested", "not tested yet", "as is sale", "no return",
+    "작동 미확인", "작동여부 미확인", "미테스트 물건", "테스트 안 함", "확인 못함", "정확히 확인은 안 해봄", "정확하지 않음",
+    "잘 될 거라고 봄", "사용 상태 미확인", "현상태 판매", "노클레임", "노리턴", "as-is",
+    "", "상자와 설명서 함께", "보증 석 달 남음", "bought last spring, quiet card",
+    "CPU: 7600\nRAM: 32기가\nSSD: 1테라", "라이젠과 DDR5, B650 보드, NVMe, 650W 파워, 윈도우 11", "RTX 3070 Ti 아님",
+]
+
+
+def _combined() -> list[tuple[int, str, str]]:
+    """As many rows as notes and titles together: each note once, each title once more."""
+    rows = [(TITLES[k % len(TITLES)], note) for k, note in enumerate(NOTES)]
+    rows += [(title, NOTES[-1 - k % 7]) for k, title in enumerate(TITLES)]
+    return [(k, *row) for k, row in enumerate(rows)]
+
+
+TEXTS = _combined()
 TEXT_COUNT = len(TEXTS)
 
 
@@ -63,7 +75,7 @@ TEXTS_SQL = "texts(k, title, description) AS (VALUES " + ", ".join(
 
 
 def texts(spark: SparkSession) -> DataFrame:
-    """The fixed text rows; a proven small build side (26 rows)."""
+    """The own text rows; a build side of fixed size (TEXT_COUNT rows)."""
     return F.broadcast(spark.createDataFrame(TEXTS, "k int, title string, description string"))
 
 
