@@ -28,6 +28,13 @@ def by_part(spark, sf_dir):
     return estimator.estimate_prices(obs, None, now=c.NOW, window_days=400, half_life_days=90)
 
 
+def long_window(spark, sf_dir):
+    """Ten years at a half-life of three weeks: many parts have old observations only."""
+    obs = c.observations(spark, sf_dir, "p_partkey").withColumn(NAME, F.col(NAME).cast("string"))
+    return estimator.estimate_prices(obs, None, now=c.NOW, window_days=3650, half_life_days=21,
+                                     estimator="weighted_mean")
+
+
 def wide(spark, sf_dir):
     return estimator.estimate_prices(
         c.observations(spark, sf_dir), c.manual_prices(spark, sf_dir), now=c.NOW,
@@ -54,6 +61,7 @@ QUERIES = {
     "price_estimate_weighted_median": weighted_median,
     "price_estimate_weighted_mean": weighted_mean,
     "price_estimate_by_part": by_part,
+    "price_estimate_long_window": long_window,
     "price_estimate_wide_products": wide,
     "price_estimate_both": both,
     "price_used_observations": used,
@@ -82,6 +90,16 @@ SELECT name AS normalized_product_name, CASE WHEN n >= 5 THEN weighted_median EN
   n AS valid_observation_count,
   CASE WHEN n >= 5 THEN 'weighted_median' ELSE 'manual_fallback' END AS estimator,
   n >= 5 AS automatic, oldest AS oldest_observed_at, newest AS newest_observed_at FROM est""",
+    "price_estimate_long_window": f"""WITH obs AS (SELECT CAST(l_partkey AS VARCHAR) AS name,
+  CAST(floor(l.l_extendedprice) AS BIGINT) AS price, l.l_shipdate AS seen
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey), {c.estimate_sql(3650, 21.0)},
+relative AS (SELECT name, price, seen, pow(0.5, (age - MIN(age) OVER (PARTITION BY name)) / 21.0) AS w
+  FROM used),
+means AS (SELECT name, COUNT(*) AS n, MIN(seen) AS oldest, MAX(seen) AS newest,
+  CAST(round_even(SUM(price * w) / SUM(w), 0) AS BIGINT) AS mean FROM relative GROUP BY name)
+SELECT name AS normalized_product_name, CASE WHEN n >= 5 THEN mean END AS price,
+  n AS valid_observation_count, CASE WHEN n >= 5 THEN 'weighted_mean' ELSE 'manual_fallback' END AS estimator,
+  n >= 5 AS automatic, oldest AS oldest_observed_at, newest AS newest_observed_at FROM means""",
     "price_estimate_both": f"""WITH {c.OBS_SQL}, {c.estimate_sql(prefix='a')},
 again AS (SELECT name, price, seen FROM aused),
 {c.estimate_sql(source='again', prefix='b')}

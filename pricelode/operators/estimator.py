@@ -29,6 +29,9 @@ MAD_BOUND = 3.5
 MIN_TRIM_COUNT = 3
 ESTIMATORS = ("weighted_median", "weighted_mean")
 
+#: Weights are kept to scale within blocks of so many half-lives of age.
+BLOCK_HALVINGS = 40
+
 
 def check_settings(window_days: int, half_life_days: float, minimum_observations: int,
                    estimator: str) -> None:
@@ -39,9 +42,9 @@ def check_settings(window_days: int, half_life_days: float, minimum_observations
 
 
 def weight_type(window_days: int, half_life_days: float) -> T.DecimalType:
-    """Decimal type that keeps twelve digits of the smallest weight in the window."""
-    halvings = window_days / half_life_days
-    scale = 12 if halvings <= 6 else min(26, 12 + math.ceil(halvings * math.log10(2)))
+    """Decimal type that keeps twelve digits of the smallest weight in the window, or in a block of it."""
+    halvings = min(window_days / half_life_days, BLOCK_HALVINGS)
+    scale = 12 if halvings <= 6 else 12 + math.ceil(halvings * math.log10(2))
     return T.DecimalType(scale + 2, scale)
 
 
@@ -65,15 +68,34 @@ def recent(observations: DataFrame, now, window_days: int) -> DataFrame:
 
 def price_histogram(observations: DataFrame, now, window_days: int,
                     half_life_days: float) -> DataFrame:
-    weight = decay_weight(age_days(F.col("observed_at"), now), half_life_days)
-    return (
+    """Count, decayed weight and time span of every (product, price).
+
+    Weights only matter relative to each other within a product. In windows of more than
+    ``BLOCK_HALVINGS`` half-lives they are summed per block of age and then taken relative to the
+    product's newest block, so a product with old observations only keeps its full weights.
+    """
+    age = age_days(F.col("observed_at"), now)
+    blocks = window_days / half_life_days > BLOCK_HALVINGS
+    block_days = half_life_days * BLOCK_HALVINGS
+    block = F.floor(age / F.lit(float(block_days))) if blocks else F.lit(0)
+    weight = decay_weight(age - block * F.lit(float(block_days)) if blocks else age, half_life_days)
+    kind = weight_type(window_days, half_life_days)
+    hist = (
         recent(observations, now, window_days)
         .select(NAME, F.col("observed_price").cast("bigint").alias("price"), "observed_at",
-                weight.cast(weight_type(window_days, half_life_days)).alias("w"))
-        .groupBy(NAME, "price")
+                block.alias("_block"), weight.cast(kind).alias("w"))
+        .groupBy(NAME, "price", *(["_block"] if blocks else []))
         .agg(F.count("*").alias("n"), F.sum("w").alias("w"),
              F.min("observed_at").alias("oldest"), F.max("observed_at").alias("newest"))
     )
+    if not blocks:
+        return hist
+    newest = hist.groupBy(NAME).agg(F.min("_block").alias("_newest"))
+    behind = (F.col("_block") - F.col("_newest")) * BLOCK_HALVINGS
+    scaled = hist.join(newest, NAME).withColumn(
+        "w", (F.col("w").cast("double") * F.pow(F.lit(0.5), behind)).cast(T.DecimalType(38, kind.scale)))
+    return scaled.groupBy(NAME, "price").agg(
+        F.sum("n").alias("n"), F.sum("w").alias("w"), F.min("oldest").alias("oldest"), F.max("newest").alias("newest"))
 
 
 def with_bounds(hist: DataFrame, *carry: str) -> DataFrame:

@@ -56,6 +56,23 @@ def test_decay_prefers_recent_prices(spark):
     assert median["price"] == 300_000 and mean["price"] < 350_000
 
 
+def test_only_old_observations_keep_their_weights(spark):
+    items = [("a", p, 2400 + k * 30) for k, p in enumerate((300, 310, 305, 295, 302, 100, 304))]
+    items += [("b", p, k) for k, p in enumerate((500, 510, 505, 495, 502))] + [("b", 900, 2500)]
+    obs = _rows(spark, items)
+    for name in ("weighted_mean", "weighted_median"):
+        got = {r[0]: r["price"] for r in estimator.estimate_prices(
+            obs, now=NOW, window_days=3650, half_life_days=21, estimator=name).collect()}
+        for product in "ab":
+            sample = [(p, age) for n, p, age in items if n == product]
+            least = min(age for _, age in sample)
+            kept = [(p, 0.5 ** ((age - least) / 21)) for p, age in _trim(sample)]
+            total = sum(w for _, w in kept)
+            mean = round(sum(p * w for p, w in kept) / total)
+            median = next(p for k, (p, _) in enumerate(sorted(kept)) if 2 * sum(w for _, w in sorted(kept)[:k + 1]) >= total)
+            assert got[product] == (mean if name == "weighted_mean" else median)
+
+
 def test_manual_fallback_and_missing_names(spark):
     obs = _rows(spark, [("a", 300_000, 1)] * 4)
     manual = estimator.manual_price_table(spark, {"a": 420_000, "b": 7})
