@@ -142,15 +142,17 @@ def digest(deals: DataFrame, sources: DataFrame, reviews: DataFrame | None = Non
            link_template: str = fixed.PRODUCT_LINK) -> DataFrame:
     """Digest rows, best discount first, every field as shown to the reader.
 
-    ``reviews`` has (product_id, second_stage_confidence, reason).
+    ``reviews`` has (product_id, second_stage_confidence, reason), and marketplace where several
+    are mixed; one review per key, the most confident, is shown.
     """
     missing = F.lit("Not available")
     rows = deals.join(sources.select("normalized_name", "pricing_source"),
                       "normalized_name", "left")
     if reviews is not None:
-        rows = rows.join(reviews.select(
-            "product_id", F.col("second_stage_confidence").alias("_second"),
-            F.col("reason").alias("_reason")), "product_id", "left")
+        keys = [k for k in ("marketplace", "product_id") if k in reviews.columns and k in rows.columns]
+        best = reviews.groupBy(*keys).agg(
+            F.max(F.struct(F.col("second_stage_confidence").alias("_second"), F.col("reason").alias("_reason"))).alias("_r"))
+        rows = rows.join(best.select(*keys, "_r.*"), keys, "left")
     else:
         rows = rows.withColumns({"_second": F.lit(None).cast("double"),
                                  "_reason": F.lit(None).cast("string")})

@@ -71,6 +71,17 @@ def apply_verdicts(listings: DataFrame, threshold: float,
     return rows.withColumns(out).select(*columns)
 
 
+def _detail_rows(details: DataFrame) -> tuple[DataFrame, list[str]]:
+    """One row of detail fields per product, and its key: (marketplace, product_id) where details
+    name their marketplace. Of several rows of a key the greatest counts."""
+    keys = [k for k in ("marketplace", "product_id") if k in details.columns]
+    fields = F.struct(
+        F.trim("name").alias("_name"), F.trim("description").alias("_description"),
+        F.col("price").alias("_price"), F.coalesce("saleStatus", "status").alias("_status"))
+    rows = details.select(*keys, fields.alias("_d")).groupBy(*keys).agg(F.max("_d").alias("_d"))
+    return rows.select(*keys, "_d.*", F.lit(True).alias("_has")), keys
+
+
 def overlay_detail(candidates: DataFrame, details: DataFrame,
                    rules: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Candidates with title, price, description, status and condition of their details.
@@ -78,13 +89,10 @@ def overlay_detail(candidates: DataFrame, details: DataFrame,
     Absent detail fields keep the search values, except the description; the search
     ``updated_at`` always stays, because the detail time has another precision.
     """
-    d = details.select(
-        "product_id", F.trim("name").alias("_name"), F.trim("description").alias("_description"),
-        F.col("price").alias("_price"), F.coalesce("saleStatus", "status").alias("_status"),
-        F.lit(True).alias("_has"))
+    d, keys = _detail_rows(details)
     keep = [c for c in candidates.columns
             if c not in ("title", "price", "description", "listing_status", "condition_status")]
-    rows = candidates.join(d, "product_id").select(
+    rows = candidates.join(d, keys).select(
         *keep, F.coalesce("_name", "title").alias("title"),
         F.coalesce("_price", "price").alias("price"),
         F.coalesce("_description", F.lit("")).alias("description"),
@@ -98,12 +106,9 @@ def refresh_detail(listings: DataFrame, details: DataFrame) -> DataFrame:
 
     Adds ``refreshed`` (a detail payload was present).
     """
-    d = details.select(
-        "product_id", F.trim("name").alias("_name"), F.trim("description").alias("_description"),
-        F.col("price").alias("_price"), F.coalesce("saleStatus", "status").alias("_status"),
-        F.lit(True).alias("_has"))
+    d, keys = _detail_rows(details)
     has = F.coalesce(F.col("_has"), F.lit(False))
-    rows = listings.join(d, "product_id", "left")
+    rows = listings.join(d, keys, "left")
     return rows.select(
         *[c for c in listings.columns if c not in ("title", "price", "description",
                                                    "listing_status")],

@@ -40,6 +40,32 @@ def candidates_of(payloads: DataFrame, settings: Settings) -> tuple[DataFrame, D
     return rows, judged
 
 
+def read_sources(rows: DataFrame, payloads: DataFrame, watermarks: DataFrame, overlap_pages: int) -> DataFrame:
+    """The records a scan keeps, source after source, with ``duplicate``.
+
+    A source stops at its watermark on the pages it really has, those without a usable record
+    included; a record is a duplicate only of one kept before, of an earlier source or its own.
+    The loop runs over the configured sources, not over data.
+    """
+    order = payloads.select("source_key", "source_order").distinct()
+    pages = payloads.select("source_key", "source_order", "page_no").distinct()
+    rows = rows.join(order, "source_key")
+    ranks = [F.col("source_order"), F.col("page_no"), F.col("pos")]
+    kept = None
+    for (rank,) in order.select("source_order").distinct().orderBy("source_order").collect():
+        mine = changes.mark_duplicates(rows.where(F.col("source_order") == rank), merge.PRODUCT, ranks)
+        if kept is not None:
+            seen = kept.select(*merge.PRODUCT, F.lit(True).alias("_seen")).dropna().distinct()
+            mine = mine.join(seen, merge.PRODUCT, "left").withColumn(
+                "duplicate", F.col("duplicate") | F.coalesce("_seen", F.lit(False))).drop("_seen")
+        mine = changes.stop_at_watermark(mine, watermarks, overlap_pages,
+                                         pages.where(F.col("source_order") == rank))
+        mine = stage_table(mine, "scan-source")
+        kept = mine if kept is None else kept.unionByName(mine)
+    return kept if kept is not None else rows.withColumns(
+        {"duplicate": F.lit(False), "stopped_at_watermark": F.lit(False)})
+
+
 def run_scan(payloads: DataFrame, details: DataFrame, listings: DataFrame,
              observations: DataFrame, verdicts: DataFrame, watermarks: DataFrame,
              manual: DataFrame | None, runs: DataFrame, *, now, settings: Settings,
@@ -51,16 +77,11 @@ def run_scan(payloads: DataFrame, details: DataFrame, listings: DataFrame,
     and are returned in ``waiting`` for a later verdict run.
     """
     rows, judged = candidates_of(payloads, settings)
-    order = payloads.select("source_key", "source_order").distinct()
     if settings.record_limit is not None:
         rows = changes.limit_per_source(rows, settings.record_limit)
-    rows = rows.join(order, "source_key")
-    ranks = [F.col("source_order"), F.col("page_no"), F.col("pos")]
-    rows = changes.mark_duplicates(rows, merge.PRODUCT, ranks)
     rows = changes.candidate_state(rows, listings, verdicts)
-    rows = changes.stop_at_watermark(rows, watermarks, settings.overlap_pages)
     # The state of every record is read by several outputs; store it once.
-    rows = stage_table(rows, "scan-records")
+    rows = stage_table(read_sources(rows, payloads, watermarks, settings.overlap_pages), "scan-records")
 
     todo = rows.where(~F.col("duplicate") & (F.col("state") != "unchanged"))
     base = conform(todo.drop("state", "previous_price"), LISTINGS, LISTING_DEFAULTS)
