@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pricelode import catalog
@@ -25,7 +26,7 @@ HEADLINE = [
 def main() -> None:
     spark = build_session(
         "bench", f"local[{CPUS}]",
-        **{"spark.sql.shuffle.partitions": CPUS, "spark.ui.enabled": "false",
+        **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-"), "spark.sql.shuffle.partitions": CPUS, "spark.ui.enabled": "false",
            "spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g"),
            "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_fallback_dir: str | None = None
-
 
 def build_session(app: str = "pricelode", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators assume (UTC, AQE, skew joins)."""
@@ -28,20 +25,11 @@ def build_session(app: str = "pricelode", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, named by ``spark.checkpoint.dir``.
-
-    A temporary folder is made only when the setting is absent *and* the session
-    runs in a single local process; on a cluster the setting is required.
-    """
-    global _fallback_dir
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or the context's checkpoint folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    if _fallback_dir is None:
-        _fallback_dir = tempfile.mkdtemp(prefix="spark-")
-    return _fallback_dir
+    return folder.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -65,11 +53,16 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SMALL_INPUT_BYTES = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core when the input has fewer files than the cluster has cores.
+    """Deal a small input out to all cores; a file of one row group would keep one core busy.
 
-    A file of few row groups is read by few tasks, which starves CPU-bound text rules.
-    Inputs of many files are left alone, so large tables are never shuffled for this.
+    Only inputs that the optimizer knows to be below `SMALL_INPUT_BYTES` are moved, so no large
+    table is ever shuffled for this, whatever its number of files.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > SMALL_INPUT_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
