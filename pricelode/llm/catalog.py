@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import comparison_sql
 from .common import is_held_out, table
 from .decontamination import find_contamination
 from .hilbert_shards import assign_shards, quantised_name, quantised_size
@@ -101,4 +102,9 @@ QUERIES = {
     "op10_piece_ids": op10_piece_ids,
 }
 
-SQL: dict[str, str] = {}
+#: The others need a library's tokenizer, a trained model or a curve index and have tests instead.
+SQL: dict[str, str] = {
+    "op2_decontamination": comparison_sql.DECONTAMINATION,
+    "op4_ngram_join": comparison_sql.NGRAM_JOIN,
+    "op5_line_quality": comparison_sql.LINE_QUALITY,
+}
