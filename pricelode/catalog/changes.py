@@ -293,6 +293,25 @@ def first_wins(spark, sf_dir):
                               total)
 
 
+def _first_wins_sql(rounds: int = 12) -> str:
+    """Insert-or-ignore round by round; a row that no round decides comes out as a row of nulls."""
+    names = ["l_shipdate", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity",
+             "l_tax", "l_discount"]
+    columns = ", ".join(names)
+    parts = [f"""todo0 AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {columns}) AS place
+  FROM (SELECT DISTINCT {columns} FROM lineitem))"""]
+    for k in range(rounds):
+        parts.append(f"""won{k} AS MATERIALIZED (SELECT * FROM todo{k}
+  QUALIFY place = MIN(place) OVER (PARTITION BY l_orderkey, l_linenumber)
+    AND place = MIN(place) OVER (PARTITION BY l_partkey, l_suppkey)),
+todo{k + 1} AS MATERIALIZED (SELECT t.* FROM todo{k} t
+  ANTI JOIN won{k} a ON t.l_orderkey = a.l_orderkey AND t.l_linenumber = a.l_linenumber
+  ANTI JOIN won{k} b ON t.l_partkey = b.l_partkey AND t.l_suppkey = b.l_suppkey)""")
+    chosen = "\nUNION ALL ".join(f"SELECT {columns} FROM won{k}" for k in range(rounds))
+    left = ", ".join("NULL" for _ in names)
+    return f"WITH {', '.join(parts)}\n{chosen}\nUNION ALL SELECT {left} FROM todo{rounds}"
+
+
 QUERIES = {
     "candidate_state": candidate_states,
     "known_listings": known,
@@ -315,6 +334,7 @@ QUERIES = {
 }
 
 SQL = {
+    "first_wins_dedupe": _first_wins_sql(),
     "candidate_state": f"""WITH {_SPLIT_SQL},
 v AS (SELECT marketplace, product_id, arg_max(record_no % 8 <> 0, record_no) AS success
   FROM recs WHERE record_no % 3 = 1 GROUP BY 1, 2),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.times import comparison_value
-from .ordered import cut_after_run, descending_check, latest_per_key
+from .ordered import cut_after_run, descending_check, latest_per_key, numbered
 
 PRODUCT = ["marketplace", "product_id"]
 PAGES_PER_CHUNK = 512
@@ -89,10 +89,8 @@ def mark_duplicates(candidates: DataFrame, keys: Sequence[str],
 
 def limit_per_source(candidates: DataFrame, cap: int) -> DataFrame:
     """The first ``cap`` records per source, duplicates counted."""
-    place = F.row_number().over(
-        Window.partitionBy("source_key").orderBy("page_no", "pos"))
-    return (candidates.withColumn("_place", place).where(F.col("_place") <= cap)
-            .drop("_place"))
+    rows = numbered(candidates, ["source_key"], page_chunk(), [F.col("page_no"), F.col("pos")], "_place")
+    return rows.where(F.col("_place") <= cap).select(*candidates.columns)
 
 
 def sample_records(candidates: DataFrame, size: int) -> DataFrame:
