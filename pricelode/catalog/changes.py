@@ -36,24 +36,29 @@ _RECORDS_SQL = f"""{c.EVENTS_SQL}, paged AS (SELECT *, 's' || (record_no % {_SOU
 
 
 def _split(spark, sf_dir):
-    """(stored rows, new candidates): the log cut at the start of its last third."""
+    """(stored rows, new candidates): the log cut at the start of its last third.
+
+    Later records of every third product are candidates too, so some products are unseen.
+    """
     rows = _records(spark, sf_dir)
     cut = F.lit("2024-01-21 00:00:00").cast("timestamp")
     first = F.lit("2024-01-04 00:00:00").cast("timestamp")
-    stored = rows.where((F.col("updated_at") < cut) & (
+    known = (F.col("updated_at") < cut) & (
         (F.pmod(F.col("product_id").cast("bigint"), F.lit(3)) != 0)
-        | (F.col("updated_at") < first))).select(
+        | (F.col("updated_at") < first))
+    stored = rows.where(known).select(
         F.col("record_no").alias("id"), "marketplace", "product_id", "listing_id", "url", "price",
         "updated_at", "search_fingerprint",
         F.when(F.pmod("record_no", F.lit(4)) != 0, F.lit(True)).alias("ai_is_computer_part"))
-    return stored, rows.where(F.col("updated_at") >= cut)
+    return stored, rows.where(~known)
 
 
 _SPLIT_SQL = f"""{_RECORDS_SQL},
 stored AS (SELECT record_no AS id, *, CASE WHEN record_no % 4 <> 0 THEN TRUE END AS part FROM paged
   WHERE updated_at < TIMESTAMP '2024-01-21' AND (CAST(product_id AS BIGINT) % 3 <> 0
     OR updated_at < TIMESTAMP '2024-01-04')),
-cand AS (SELECT * FROM paged WHERE updated_at >= TIMESTAMP '2024-01-21'),
+cand AS (SELECT * FROM paged WHERE NOT (updated_at < TIMESTAMP '2024-01-21'
+  AND (CAST(product_id AS BIGINT) % 3 <> 0 OR updated_at < TIMESTAMP '2024-01-04'))),
 latest AS (SELECT * FROM stored QUALIFY row_number() OVER (
   PARTITION BY marketplace, product_id ORDER BY id DESC) = 1)"""
 

@@ -144,29 +144,33 @@ def conformed(spark, sf_dir):
 # --- observations -------------------------------------------------------------
 
 def _stored_observations(spark, sf_dir):
-    """Stored observations: one per listing with even id, some invalid."""
+    """Stored observations: one per listing, some invalid; those of odd ids are of other products."""
     rows = c.listings(spark, sf_dir)
     i = F.col("id")
     name = (F.when(_MOD(i, F.lit(8)) < 3, "RTX 4070 SUPER").when(_MOD(i, F.lit(8)) < 5, "RTX 3070")
             .when(_MOD(i, F.lit(8)) == 6, "RTX 4060 Ti").otherwise("B650 Motherboard"))
-    return rows.where(_MOD(i, F.lit(2)) == 0).select(
+    odd = _MOD(i, F.lit(2)) == 1
+    return rows.select(
         "id", "marketplace",
         F.when(_MOD(i, F.lit(30)) == 0, F.concat(F.lit("gone"), "product_id"))
-        .otherwise(F.col("product_id")).alias("product_id"),
+        .when(odd, F.concat(F.lit("other"), "product_id")).otherwise(F.col("product_id")).alias("product_id"),
         name.alias("normalized_product_name"), F.col("price").alias("observed_price"),
         F.col("updated_at").alias("observed_at"), "first_seen_at",
-        F.col("updated_at").alias("source_updated_at"), "listing_id",
+        F.col("updated_at").alias("source_updated_at"),
+        F.when(odd, F.concat(F.lit("other"), "listing_id")).otherwise(F.col("listing_id")).alias("listing_id"),
         (_MOD(i, F.lit(6)) != 0).alias("valid"),
         F.when(_MOD(i, F.lit(6)) == 0, "old").alias("invalid_reason"))
 
 
 _STORED_SQL = f"""{c.LISTINGS_SQL},
 obs AS (SELECT id, marketplace,
-  CASE WHEN id % 30 = 0 THEN 'gone' || product_id ELSE product_id END AS product_id,
+  CASE WHEN id % 30 = 0 THEN 'gone' || product_id WHEN id % 2 = 1 THEN 'other' || product_id
+    ELSE product_id END AS product_id,
   CASE WHEN id % 8 < 3 THEN 'RTX 4070 SUPER' WHEN id % 8 < 5 THEN 'RTX 3070'
     WHEN id % 8 = 6 THEN 'RTX 4060 Ti' ELSE 'B650 Motherboard' END AS name,
-  price AS observed_price, updated_at AS observed_at, listing_id, id % 6 <> 0 AS valid,
-  CASE WHEN id % 6 = 0 THEN 'old' END AS invalid_reason FROM listings WHERE id % 2 = 0)"""
+  price AS observed_price, updated_at AS observed_at,
+  CASE WHEN id % 2 = 1 THEN 'other' || listing_id ELSE listing_id END AS listing_id, id % 6 <> 0 AS valid,
+  CASE WHEN id % 6 = 0 THEN 'old' END AS invalid_reason FROM listings)"""
 
 
 def _verdict_versions(spark, sf_dir):
@@ -234,11 +238,13 @@ def observed_flags(spark, sf_dir):
 
 def _jobs(spark, sf_dir):
     i = F.col("id")
-    rows = c.listings(spark, sf_dir).where(_MOD(i, F.lit(2)) == 0)
+    rows = c.listings(spark, sf_dir)
     state = (F.when(_MOD(i, F.lit(8)) == 0, "pending").when(_MOD(i, F.lit(8)) == 2, "processing")
              .when(_MOD(i, F.lit(8)) == 4, "retry").otherwise("completed"))
+    # Jobs of odd ids are of products that the listings don't have.
+    product = F.when(_MOD(i, F.lit(2)) == 1, F.concat(F.lit("other"), "product_id")).otherwise(F.col("product_id"))
     rows = rows.select(
-        "marketplace", "product_id", F.col("search_fingerprint")
+        "marketplace", product.alias("product_id"), F.col("search_fingerprint")
         .alias("classification_fingerprint"), state.alias("state"),
         _MOD(i, F.lit(3)).cast("int").alias("attempts"),
         F.when(_MOD(i, F.lit(5)) == 0, "boom").otherwise("").alias("last_error"),
@@ -248,13 +254,14 @@ def _jobs(spark, sf_dir):
     return conform(rows, JOBS)
 
 
-_JOBS_SQL = f"""{c.LISTINGS_SQL}, jobs AS (SELECT id, marketplace, product_id,
+_JOBS_SQL = f"""{c.LISTINGS_SQL}, jobs AS (SELECT id, marketplace,
+  CASE WHEN id % 2 = 1 THEN 'other' || product_id ELSE product_id END AS product_id,
   search_fingerprint AS classification_fingerprint,
   CASE id % 8 WHEN 0 THEN 'pending' WHEN 2 THEN 'processing' WHEN 4 THEN 'retry' ELSE 'completed'
     END AS state, CAST(id % 3 AS INT) AS attempts,
   CASE WHEN id % 5 = 0 THEN 'boom' ELSE '' END AS last_error, updated_at AS available_at,
   CASE WHEN id % 8 = 2 THEN updated_at END AS started_at, CAST(NULL AS TIMESTAMP) AS completed_at,
-  updated_at FROM listings WHERE id % 2 = 0)"""
+  updated_at FROM listings)"""
 _JOB_COLS = ["product_id", "state", "attempts", "last_error", "available_at", "started_at",
              "updated_at"]
 
@@ -382,7 +389,7 @@ def notified_once(spark, sf_dir):
     rows = c.event_records(spark, sf_dir)
     states = lifecycle.replay_states(rows, F.date_trunc("day", "ts"),
                                      [F.col("ts"), F.col("record_no")])
-    deals = rows.where(F.col("price") <= 4).select(
+    deals = rows.select(
         "marketplace", "product_id", "record_no", "price")
     return lifecycle.notify_once(deals, states, "record_no",
                                  F.floor(F.col("record_no") / F.lit(500)))
@@ -673,7 +680,7 @@ SELECT product_id, fp AS classification_fingerprint, CASE WHEN last IS NULL THEN
 e AS (SELECT *, SUM(CASE WHEN was IS NOT NULL AND was <> (updated_at, price, search_fingerprint)
   AND price < was_price THEN 1 ELSE 0 END) OVER (PARTITION BY product_id ORDER BY record_no)
   AS epoch FROM w)
-SELECT marketplace, product_id, record_no, price FROM e WHERE price <= 4
+SELECT marketplace, product_id, record_no, price FROM e
 QUALIFY row_number() OVER (PARTITION BY product_id, epoch ORDER BY record_no) = 1""",
     "notification_candidates": f"""WITH {c.LISTINGS_SQL} SELECT id, url FROM listings
 WHERE listing_status = 'active' AND ai_scope = 'standalone' AND notified_at IS NULL""",

@@ -73,7 +73,7 @@ def last_run(spark, sf_dir):
 
 
 def queue(spark, sf_dir):
-    return quality.queue_counts(_jobs(spark, sf_dir).where(F.col("state") != "retry"))
+    return quality.queue_counts(_jobs(spark, sf_dir))
 
 
 def retry_stats(spark, sf_dir):
@@ -212,7 +212,7 @@ SELECT warn AS price_warnings, severe >= 3 AND severe / greatest(1, n) >= 0.5 AN
 ORDER BY id DESC LIMIT 1""",
     "queue_counts": f"""WITH {_JOBS_SQL}, s(state) AS (VALUES ('pending'), ('processing'), ('retry'),
   ('completed')) SELECT s.state, COUNT(j.id) AS n FROM s LEFT JOIN jobs j ON s.state = j.state
-  AND j.state <> 'retry' GROUP BY 1""",
+  GROUP BY 1""",
     "retry_statistics": f"""WITH {_FAIL_SQL}, t AS (SELECT cat, cat NOT IN ('read_timeout',
   'connect_timeout', '429', '5xx') AS terminal FROM fails WHERE query_key = 'q1')
 SELECT cat AS error_category, COUNT(*) FILTER (WHERE NOT terminal) AS queued_count,

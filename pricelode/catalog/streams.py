@@ -99,7 +99,7 @@ def alerts(spark, sf_dir):
     """Alerts per product and day, each sent once."""
     schema = table_schema("marketplace string, product_id string, epoch bigint")
     sent = batches.AppendedBatches(spark, fresh_path(spark, "sent"), schema)
-    stream = _stream(spark, sf_dir).where(F.col("price") <= 1).select(
+    stream = _stream(spark, sf_dir).select(
         "marketplace", "product_id", F.unix_date(F.col("ts").cast("date")).cast("bigint")
         .alias("epoch"))
     batches.drain(stream, batches.alert_once(sent, lambda rows: None), "alerts")
@@ -234,8 +234,7 @@ SELECT name AS normalized_product_name, CASE WHEN n >= 5 THEN weighted_median EN
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, value) = 1""",
     "stream_duplicates": "SELECT DISTINCT CAST(user_id AS VARCHAR) AS product_id FROM events",
     "stream_alerts": """SELECT DISTINCT CAST(user_id AS VARCHAR) AS product_id,
-  CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) AS epoch FROM events
-WHERE floor(value / 10.0) <= 1""",
+  CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) AS epoch FROM events""",
     "stream_work_queue": "SELECT product_id, state, attempts FROM (" + QUEUE_SQL.replace(
         f"COALESCE(last = 'start' AND started < {c.EVENTS_NOW_SQL} - INTERVAL 900 SECOND,\n  FALSE)",
         "FALSE") + ") q",
