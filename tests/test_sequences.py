@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 
 from pyspark.sql import functions as F
@@ -112,3 +113,25 @@ def test_queue_counts_are_zero_filled(spark):
     jobs = spark.createDataFrame([("pending",), ("pending",), ("retry",)], "state string")
     got = {r["state"]: r["n"] for r in quality.queue_counts(jobs).collect()}
     assert got == {"pending": 2, "processing": 0, "retry": 1, "completed": 0}
+
+
+def test_sources_are_cut_before_duplicates_are_marked(spark):
+    from pricelode.plans.scan import read_sources
+    day = dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc)
+
+    def record(source, page, product, state, age):
+        return source, page, 0, "m", product, state, day - dt.timedelta(days=age)
+
+    rows = spark.createDataFrame(
+        [record("a", 0, "p1", "unchanged", 5), record("a", 2, "p2", "unchanged", 6), record("a", 3, "p3", "new", 7),
+         record("b", 0, "q1", "unchanged", 5), record("b", 1, "q2", "unchanged", 6), record("b", 2, "y", "new", 7),
+         record("c", 0, "y", "new", 0), record("c", 1, "p3", "new", 1)],
+        "source_key string, page_no bigint, pos bigint, marketplace string, product_id string, state string, "
+        "updated_at timestamp")
+    payloads = spark.createDataFrame(  # page 1 of source a has no usable record
+        [(s, k, p) for k, (s, n) in enumerate((("a", 4), ("b", 3), ("c", 2))) for p in range(n)],
+        "source_key string, source_order int, page_no bigint")
+    marks = spark.createDataFrame([("a", day), ("b", day)], "source_key string, updated_at timestamp")
+    kept = {(r["source_key"], r["product_id"]): r["duplicate"] for r in read_sources(rows, payloads, marks, 1).collect()}
+    assert kept == {("a", "p1"): False, ("a", "p2"): False, ("a", "p3"): False, ("b", "q1"): False, ("b", "q2"): False,
+                    ("c", "y"): False, ("c", "p3"): True}
