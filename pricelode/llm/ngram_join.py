@@ -8,16 +8,18 @@ Words are ``[^\x20\x09-\x0D]+`` in lower ASCII case; a text's set is its distinc
    Tokens are ordered by (count of their class, hash); classes well above the mean count are
    frequent.
 3. A set of n tokens can miss at most n - ceil(0.75 n) tokens of a partner. Its prefix is extended
-   in that order until that many tokens can go and a signature is still left: a rare token is a
-   signature by itself; frequent tokens are dealt into groups by hash, and the signatures are all
-   pairs inside a group (a group gives one less than its size). The number of groups goes with the
-   size band of the set (powers of four); sets near the top of a band also sign for the next one.
-   Two linked sets always share a signature, however frequent their tokens are.
-4. Signatures held by one node only go. Among the rest, a node is first compared with the one node
-   that most of its signatures point to, then components are formed; this is done twice with other
-   pivots. Then *all* pairs that share a signature and aren't yet in one component are compared,
-   so a group of near copies costs a few comparisons a member and no link is lost.
-5. Comparisons are exact intersections of the whole sets.
+   in that order until that many tokens can go and `spare(n)` signatures are still left: a rare
+   token is a signature by itself; frequent tokens are dealt into groups by hash, and the
+   signatures are all pairs inside a group (a group gives one less than its size at least). The
+   number of groups goes with the size band of the set (powers of four); sets near the top of a
+   band also sign for the next one. Two linked sets always share as many signatures as the smaller
+   of their spares, however frequent their tokens are.
+4. Signatures held by one node only go, then nodes with fewer signatures left than any partner
+   would share with them. Among the rest, a node is first compared with the one node that most of
+   its signatures point to, then components are formed; this is done twice with other pivots. Then
+   *all* pairs that share enough signatures and aren't yet in one component are compared, so a
+   group of near copies costs a few comparisons a member and no link is lost.
+5. Comparisons are exact intersections of the whole sets, made from the two texts.
 
 Defined cases: null and wordless texts have an empty set and are linked with nothing; rows with a
 null id keep their count, have no component and link nothing; repeated rows and equal texts share
@@ -40,7 +42,8 @@ from .components import components
 
 WIDTH = 5
 CLASSES = 1 << 18
-FREQUENT = 4
+#: A class is frequent from so many standard deviations above the mean count on.
+FREQUENT = 6
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -99,9 +102,9 @@ def _class_counts(docs: DataFrame, width: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["class", "n"])
 
     rows = docs.select("id", "text").mapInArrow(run, "class long, n long")
-    found = rows.groupBy("class").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.groupBy("class").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(CLASSES, np.int64)
-    counts[found["class"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    counts[found["class"].to_numpy()] = found["n"].to_numpy()
     return counts
 
 
@@ -114,10 +117,15 @@ def missing(size: int | np.ndarray) -> int | np.ndarray:
     return size - (3 * size + 3) // 4
 
 
+def spare(size):
+    """How many signatures two linked sets share at least, by the smaller of their values."""
+    return 1 + size // 16
+
+
 def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """Signatures of one set whose tokens are in global order, frequent ones last."""
     size = len(tokens)
-    need = int(missing(size)) + 1
+    need = int(missing(size) + spare(size))
     rare = int(len(tokens) - frequent.sum())
     out = [tokens[:min(need, rare)]]
     if need > rare:
@@ -147,7 +155,8 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 def _postings(docs: DataFrame, width: int, counts: np.ndarray) -> DataFrame:
     """(signature, node, set size) of all texts."""
-    bar = FREQUENT * counts.sum() / CLASSES + 16
+    mean = counts.sum() / CLASSES
+    bar = mean + FREQUENT * (mean ** 0.5 + 3) if FREQUENT else -1
 
     def make(ids, node, doc, token):
         load = counts[_class_of(token)]
@@ -155,7 +164,7 @@ def _postings(docs: DataFrame, width: int, counts: np.ndarray) -> DataFrame:
         doc, token, often = doc[order], token[order], load[order] > bar
         size = np.bincount(doc, minlength=len(node))
         first = np.cumsum(size) - size
-        need = missing(size) + 1
+        need = missing(size) + spare(size)
         rare = size - np.bincount(doc, weights=often, minlength=len(node)).astype(np.int64)
         simple = rare >= need
         place = np.arange(len(doc)) - first[doc]
@@ -175,15 +184,20 @@ def _postings(docs: DataFrame, width: int, counts: np.ndarray) -> DataFrame:
     return _scan(docs, width, make, "sig long, node long, n int")
 
 
-def _bodies(docs: DataFrame, width: int) -> DataFrame:
-    """(node, whole token set) of all texts."""
-    def make(ids, node, doc, token):
-        ends = np.cumsum(np.bincount(doc, minlength=len(node)))
-        offsets = np.concatenate([[0], ends]).astype(np.int32)
-        return {"node": pa.array(node.view(np.int64)),
-                "body": pa.ListArray.from_arrays(pa.array(offsets), pa.array(token.view(np.int64)))}
+def _texts(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the wanted nodes, one text each."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            nodes = [_sets(lowered(data[offsets[a]:offsets[b]]), offsets[a:b + 1] - offsets[a], width)[0]
+                     for a, b in slices(offsets)]
+            nodes = np.concatenate(nodes) if nodes else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), batch.column(0)], names=["node", "text"])
 
-    return _scan(docs, width, make, "node long, body array<long>")
+    named = docs.where("id IS NOT NULL").select("text").mapInArrow(run, "node long, text string")
+    return named.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
 def _rows(docs: DataFrame, width: int) -> DataFrame:
@@ -199,20 +213,28 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
     """(a, b, linked) of node pairs, by exact intersection of the whole sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())],
+            linked = [np.empty(0, bool)]
+            (x, at), (y, to) = utf8(batch.column(2)), utf8(batch.column(3))
+            for a, b in slices(at + to):
+                _, one, left = _sets(lowered(x[at[a]:at[b]]), at[a:b + 1] - at[a], width)
+                _, two, right = _sets(lowered(y[to[a]:to[b]]), to[a:b + 1] - to[a], width)
+                pair, token = np.concatenate([one, two]), np.concatenate([left, right])
+                order = np.lexsort((token, pair))
+                pair, token = pair[order], token[order]
+                same = (pair[1:] == pair[:-1]) & (token[1:] == token[:-1])
+                both = np.bincount(pair[1:][same], minlength=b - a)
+                union = np.bincount(pair, minlength=b - a) - both
+                linked.append((100 * both >= percent * union) & (union > 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(linked))],
                                              names=["a", "b", "linked"])
 
-    left = bodies.select(F.col("node").alias("a"), F.col("body").alias("x"))
-    right = bodies.select(F.col("node").alias("b"), F.col("body").alias("y"))
+    small_batches(pairs.sparkSession)
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return joined.mapInArrow(run, "a long, b long, linked boolean")
 
@@ -227,6 +249,17 @@ def _labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
     return known.join(spans.where("low < high").select("sig"), "sig")
 
 
+def _spare(size: Column) -> Column:
+    return F.lit(1) + F.floor(size / 16)
+
+
+def _held_twice(postings: DataFrame) -> DataFrame:
+    """Postings of signatures that more than one node has."""
+    same = Window.partitionBy("sig")
+    both = postings.withColumn("low", F.min("node").over(same)).withColumn("high", F.max("node").over(same))
+    return both.where("low < high").select("sig", "node", "n")
+
+
 def _pivot_pairs(open_: DataFrame, percent: int, highest: bool) -> DataFrame:
     """For each node the node that most of its open signatures point to; at most one pair a node."""
     pick = F.max if highest else F.min
@@ -239,11 +272,13 @@ def _pivot_pairs(open_: DataFrame, percent: int, highest: bool) -> DataFrame:
 
 
 def _open_pairs(open_: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """All pairs that share a signature, may be similar by size, and aren't in one component yet."""
+    """All pairs that share enough signatures, may be similar by size, and aren't in one component yet."""
     other = open_.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
     pairs = open_.withColumnRenamed("node", "a").join(other, "sig").where(F.col("a") < F.col("b"))
     pairs = pairs.where(F.col("label") != F.col("other")).where(_fits(F.col("n"), F.col("m"), percent))
-    return pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+    enough = _spare(F.least(F.min("n"), F.min("m")))
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), enough.alias("enough"))
+    return pairs.where("k >= enough").select("a", "b").join(tested, ["a", "b"], "left_anti")
 
 
 def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -256,17 +291,18 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     rows = stage_table(_rows(docs, width), "ngram-rows")
     counts = _class_counts(docs, width)
     postings = _postings(docs, width, counts)
-    same = Window.partitionBy("sig")
-    shared = postings.withColumn("low", F.min("node").over(same)).withColumn("high", F.max("node").over(same))
-    shared = stage_table(shared.where("low < high").select("sig", "node", "n").distinct(), "ngram-shared")
-    wanted = shared.select("node").distinct()
-    bodies = stage_table(_bodies(docs, width).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "ngram-bodies")
+    shared = stage_table(_held_twice(postings).distinct(), "ngram-postings")
+    # A partner has at least 75 % of the size, so it shares this many signatures or more.
+    wanted = shared.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
+    wanted = wanted.where(F.col("k") >= _spare(F.floor(F.col("n") * 0.75))).select("node")
+    shared = stage_table(_held_twice(shared.join(wanted, "node", "left_semi")), "ngram-shared")
+    texts = stage_table(_texts(docs, width, shared.select("node").distinct()), "ngram-texts")
 
     tested = labels = None
     for step in range(3):
         open_ = _labelled(shared, labels)
         pairs = _pivot_pairs(open_, percent, step == 1) if step < 2 else _open_pairs(open_, tested, percent)
-        found = stage_table(_verified(pairs, bodies, percent), "ngram-tested")
+        found = stage_table(_verified(pairs, texts, percent, width), "ngram-tested")
         tested = found if tested is None else tested.unionByName(found)
         links = tested.where("linked").select("a", "b")
         labels = components(links)
