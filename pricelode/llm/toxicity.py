@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,14 +65,19 @@ def _normal(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarr
 
 def windows(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     """The windows of all texts in order, and the first window of each text and the total."""
-    clean, starts, ends, first = _normal(texts)
-    counts = np.diff(first)
-    many = np.where(counts > 0, (np.maximum(counts - WINDOW, 0) + STEP - 1) // STEP + 1, 0)
-    total = np.concatenate([[0], np.cumsum(many)])
-    begin = np.repeat(first[:-1], many) + STEP * (np.arange(int(total[-1])) - np.repeat(total[:-1], many))
-    last = np.minimum(begin + WINDOW, np.repeat(first[1:], many)) - 1
-    cuts = zip((starts[begin] - 1).tolist(), (ends[last] + 1).tolist(), strict=True)
-    return [clean[a:b] for a, b in cuts], total
+    pieces: list[bytes] = []
+    counted = [np.zeros(1, np.int64)]
+    for part in _parts(texts):
+        clean, starts, ends, first = _normal(part)
+        counts = np.diff(first)
+        many = np.where(counts > 0, (np.maximum(counts - WINDOW, 0) + STEP - 1) // STEP + 1, 0)
+        total = np.cumsum(many)
+        begin = np.repeat(first[:-1], many) + STEP * (np.arange(int(many.sum())) - np.repeat(total - many, many))
+        last = np.minimum(begin + WINDOW, np.repeat(first[1:], many)) - 1
+        cuts = zip((starts[begin] - 1).tolist(), (ends[last] + 1).tolist(), strict=True)
+        pieces += [clean[a:b] for a, b in cuts]
+        counted.append(many)
+    return pieces, np.cumsum(np.concatenate(counted))
 
 
 @dataclass
@@ -137,28 +143,43 @@ def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
 
 
 def _contexts(texts: list[bytes]) -> tuple[dict[int, int], dict[int, bytes], int]:
-    """In how many different contexts each word stands; their strings; the sum."""
-    clean, starts, ends, first = _normal(texts)
-    if not len(starts):
-        return {}, {}, 0
-    data = np.frombuffer(clean, np.uint8)
-    whole = word_hashes(data, starts, ends)
-    edge = np.zeros(len(starts) + 1, bool)
-    edge[first] = True
-    before = np.where(edge[:-1], np.uint64(1), np.roll(whole, 1))
-    after = np.where(edge[1:], np.uint64(2), np.roll(whole, -1))
-    counts: dict[int, int] = {}
-    strings: dict[int, bytes] = {}
-    key = whole * np.uint64(7) + before * np.uint64(3) + after * np.uint64(5)
-    distinct = np.unique(key, return_index=True)[1]
-    found, at, number = np.unique(whole[distinct], return_index=True, return_counts=True)
+    """In how many different contexts each word stands; the strings of the frequent ones; the sum.
+
+    Texts are read in slices, so the driver holds the hashes of the sample but no tables as long
+    as its text.
+    """
+    keys, units = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+    for part in _parts(texts):
+        clean, starts, ends, first = _normal(part)
+        whole = word_hashes(np.frombuffer(clean, np.uint8), starts, ends)
+        edge = np.zeros(len(starts) + 1, bool)
+        edge[first] = True
+        before = np.where(edge[:-1], np.uint64(1), np.roll(whole, 1))
+        after = np.where(edge[1:], np.uint64(2), np.roll(whole, -1))
+        keys.append(whole * np.uint64(7) + before * np.uint64(3) + after * np.uint64(5))
+        units.append(whole)
+    distinct = np.unique(np.concatenate(keys), return_index=True)[1]
+    found, number = np.unique(np.concatenate(units)[distinct], return_counts=True)
     often = number >= MIN_CONTEXTS
-    for u, k, n in zip(found[often].tolist(), distinct[at[often]].tolist(), number[often].tolist(), strict=True):
-        counts[u] = n
-        strings[u] = b" " + clean[starts[k]:ends[k]] + b" "
+    counts = dict(zip(found[often].tolist(), number[often].tolist(), strict=True))
+    strings: dict[int, bytes] = {}
+    for part in _parts(texts):
+        clean, starts, ends, _ = _normal(part)
+        whole = word_hashes(np.frombuffer(clean, np.uint8), starts, ends)
+        at = np.unique(whole, return_index=True)[1]
+        for unit, k in zip(whole[at].tolist(), at.tolist(), strict=True):
+            if unit in counts and unit not in strings:
+                strings[unit] = b" " + clean[starts[k]:ends[k]] + b" "
     return counts, strings, int(number.sum())
 
 
+def _parts(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in runs of about `SLICE_BYTES`."""
+    sizes = np.cumsum([0] + [len(t) for t in texts])
+    for a, b in slices(sizes):
+        yield texts[a:b]
+
+
 def _typical(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     """Samples for the toxic dictionary, most typical first, each as often as it has contexts."""
     one, strings, a = _contexts(toxic)
