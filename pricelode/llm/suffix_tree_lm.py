@@ -213,17 +213,37 @@ def _indexed(tree: SuffixTree):
     return _indexes[tree.name]
 
 
+def _columns(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The columns key and n of a bounded table, without Python objects for its rows."""
+    found = rows.select("key", "n").toArrow()
+    return found["key"].to_numpy(), found["n"].to_numpy()
+
+
+def _frequent(counts: DataFrame, end: int, head: int) -> DataFrame:
+    """The end and all tokens from a count on, at most `head` of them.
+
+    The bar comes from a histogram of counts on a logarithmic scale (under a thousand rows), so
+    the driver gets the head alone and no candidates of each task.
+    """
+    step = F.floor(F.log2(F.col("n").cast("double")) * 16)
+    held, bar = 0, None
+    for row in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True):
+        held += row.k
+        if held >= head:
+            break
+        bar = row.step
+    return counts.where((F.col("key") == end) | (step >= bar if bar is not None else F.lit(False)))
+
+
 def train_suffix_tree(docs: DataFrame, depth: int = DEPTH, symbols: int = SYMBOLS,
                       head: int = HEAD) -> tuple[SuffixTree, DataFrame]:
     """The tree, and the table (key, n) of all token counts; `docs` has columns id and text."""
     counts = stage_table(_counted(docs, lambda tokens, borders: tokens), "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    # At most `head` rows come to the driver; the end is always among the symbols.
     end = int(END.astype(np.int64))
-    first = F.when(F.col("key") == end, 0).otherwise(1)
-    top = counts.orderBy(first, F.col("n").desc(), "key").limit(head).toPandas()
-    keys = top["key"].to_numpy(np.int64).view(np.uint64)
-    number = top["n"].to_numpy(np.int64)
+    keys, number = _columns(_frequent(counts, end, head))
+    order = np.lexsort((keys, -number, keys != end))  # the end is always among the symbols
+    keys, number = keys[order].view(np.uint64), number[order]
     used = min(symbols, len(keys))
     other = total + distinct + 1 - float((number[:used] + 1).sum())
     tree = SuffixTree(total, distinct, keys, number, used, other, [])
@@ -246,8 +266,9 @@ def train_suffix_tree(docs: DataFrame, depth: int = DEPTH, symbols: int = SYMBOL
             return state[at].astype(np.uint64) * tree.width + symbol[at].astype(np.uint64)
 
         # Entries with at least ENTRY_SHARE of all tokens: at most 1 / ENTRY_SHARE rows.
-        rows = _counted(docs, transitions).where(F.col("n") >= least_entry).toPandas().sort_values("key")
-        entries, number = rows["key"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(float)
+        entries, number = _columns(_counted(docs, transitions).where(F.col("n") >= least_entry))
+        order = np.argsort(entries)
+        entries, number = entries[order].view(np.uint64), number[order].astype(float)
         tree.depths[-1] = _fitted(tree, contexts, entries, number, sizes, suffixes)
         context, symbol = (entries // tree.width).astype(np.int64), (entries % tree.width).astype(np.int64)
         spoken = symbol < used
