@@ -3,20 +3,27 @@ r"""Language-model scores from a probabilistic suffix tree over words.
 Tokens are the words ``[^\x20\x09-\x0D]+`` of a text in lower ASCII case, then one end. Counts of
 all tokens give the base distribution (c + 1) / (N + V + 1), which is also the tree's root.
 
-The tree's symbols are the `SYMBOLS` most frequent tokens, the end, and one class of all other
-words; inside the class a word has its share of the base distribution. A context (the last 1 to
-`DEPTH` symbols of the text) is a candidate when it makes up at least `CONTEXT_SHARE` of all
-tokens; its next-symbol counts are kept from `ENTRY_SHARE` of all tokens on. These shares bound
-the tree at every size of the corpus: at most 1 / CONTEXT_SHARE contexts and 1 / ENTRY_SHARE
-counts per depth. A candidate is retained when the divergence of its smoothed distribution from
-that of its suffix, times its count, exceeds half a logarithm of the count per kept entry.
-Distributions are smoothed by absolute discounting: what is taken off the counts, and the mass of
-entries that aren't kept, goes to the suffix's distribution, so each sums to 1. A token is scored
-in the longest retained suffix of what stands before it.
-
-Counting passes combine inside their task before the shuffle. Counts of the `HEAD` most frequent
-tokens (a fixed number) are sent to the tasks; all rarer tokens of a text are looked up by a join,
-where no key can be hot.
+The tree grows with the corpus. A context (the last 1 to `DEPTH` words of the text, any words) is a
+candidate when it occurs `LEAST_CONTEXT` times; its next-token counts are kept from `LEAST_ENTRY`
+on. Both are fixed numbers, so a context that is a candidate stays one in a larger corpus. A
+candidate is retained when the divergence of its smoothed distribution from that of its suffix,
+times its count, exceeds half a logarithm of the count per kept entry. Distributions are smoothed
+by absolute discounting: what is taken off the counts, and the mass of entries that aren't kept,
+goes to the suffix's distribution, so each sums to 1. A token is scored in the longest retained
+suffix of what stands before it.
+
+Contexts and entries are Spark tables keyed by the hash of their words; entries meet their context
+and their suffix's entry by joins. A score is a sum over keys: the token's base logarithm, for each
+retained context in front of it the logarithm of the mass it hands down, and for each kept entry
+what it adds to that. So scoring is one join of (text, key, count) with the model.
+
+Shortcuts of a fixed size change the cost and never a result: the `HEAD` most frequent tokens and
+`TREE_HEAD` most frequent tree keys are sent to the tasks, all others are joined; bit tables tell
+most keys that no table has. Counting passes combine inside their task before the shuffle, and the
+joins broadcast the `JOIN_HEAD` keys with most rows, so no key that is shuffled is hot.
+
+`train_suffix_tree` is the same tree in the driver's memory, over the most frequent tokens and with
+thresholds that are shares of the corpus; scoring doesn't use it.
 
 Words are told apart by 64-bit hashes. Defined cases: a null or wordless text is one end; null ids
 are learned from; repeated rows count and score row by row; an empty table stays empty; with
@@ -40,6 +47,8 @@ from .common import column, small_batches
 
 SYMBOLS = 1 << 14
 HEAD = 1 << 18
+TREE_HEAD = 1 << 20
+JOIN_HEAD = 1 << 18
 DEPTH = 3
 CONTEXT_SHARE, LEAST_CONTEXT = 2.0 ** -17, 8
 ENTRY_SHARE, LEAST_ENTRY = 2.0 ** -19, 2
@@ -219,20 +228,25 @@ def _columns(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found["key"].to_numpy(), found["n"].to_numpy()
 
 
-def _frequent(counts: DataFrame, end: int, head: int) -> DataFrame:
-    """The end and all tokens from a count on, at most `head` of them.
+def _often(counts: DataFrame, head: int, n: str = "n") -> Column:
+    """Condition on the column `n` that holds for the largest values, in at most `head` rows of `counts`.
 
     The bar comes from a histogram of counts on a logarithmic scale (under a thousand rows), so
     the driver gets the head alone and no candidates of each task.
     """
-    step = F.floor(F.log2(F.col("n").cast("double")) * 16)
+    step = F.floor(F.log2(F.col(n).cast("double")) * 16)
     held, bar = 0, None
     for row in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True):
         held += row.k
         if held >= head:
             break
         bar = row.step
-    return counts.where((F.col("key") == end) | (step >= bar if bar is not None else F.lit(False)))
+    return step >= bar if bar is not None else F.lit(False)
+
+
+def _frequent(counts: DataFrame, end: int, head: int) -> DataFrame:
+    """The end and all tokens from a count on, at most `head` of them."""
+    return counts.where((F.col("key") == end) | _often(counts, head))
 
 
 def train_suffix_tree(docs: DataFrame, depth: int = DEPTH, symbols: int = SYMBOLS,
@@ -323,58 +337,250 @@ def _suffixes(tree: SuffixTree, depth: int) -> np.ndarray:
     return HashIndex(tree.depths[depth - 2].contexts).find(shorter * tree.width + symbol).astype(np.int64)
 
 
-def score_texts(docs: DataFrame, tree: SuffixTree, counts: DataFrame) -> DataFrame:
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (
+    0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+#: Tells a context's key from the key of the same words as an entry.
+_CONTEXT = np.uint64(0x5DEECE66D1234567)
+#: Words of 64 bits in a bit table (16 MB).
+_BIT_WORDS = 1 << 21
+
+
+def _hash_long(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of a long."""
+    def turned(y: np.ndarray, by: int) -> np.ndarray:
+        return (y << np.uint64(by)) | (y >> np.uint64(64 - by))
+
+    h = (seed + _P5 + np.uint64(8)) ^ (turned(x * _P2, 31) * _P1)
+    h = turned(h, 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def gram_keys(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Keys of word runs from those of the runs without their last and first word: xxhash64(prefix, suffix)."""
+    return _hash_long(suffix, _hash_long(prefix, np.full(1, 42, np.uint64)))
+
+
+def _runs(tokens: np.ndarray, borders: np.ndarray, depth: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Keys of the runs of 1 to `depth` tokens that end at each token, and the token's place in its text."""
+    place = np.arange(len(tokens)) - np.repeat(borders[:-1], np.diff(borders))
+    keys = [tokens]
+    for d in range(1, depth):
+        at = np.flatnonzero(place >= d)
+        longer = np.zeros(len(tokens), np.uint64)
+        longer[at] = gram_keys(keys[-1][at - 1], keys[-1][at])
+        keys.append(longer)
+    return keys, place
+
+
+class Bits:
+    """A bit table of keys, of fixed size: False only for keys that aren't among them."""
+
+    def __init__(self, keys: DataFrame):
+        word = F.shiftrightunsigned("key", 6).bitwiseAND(F.lit(_BIT_WORDS - 1))
+        bit = F.expr("shiftleft(1L, cast(key & 63 AS int))")
+        rows = keys.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        self.bits = np.zeros(_BIT_WORDS, np.uint64)
+        self.bits[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+
+    def may(self, keys: np.ndarray) -> np.ndarray:
+        word = self.bits[((keys >> np.uint64(6)) & np.uint64(_BIT_WORDS - 1)).astype(np.int64)]
+        return (word >> (keys & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _met(rows: DataFrame, table: DataFrame, on: str, most: str) -> DataFrame:
+    """Inner join with a table of distinct keys, of which those largest by `most` are broadcast.
+
+    `most` orders the keys by (a bound of) their number of rows; it isn't part of the result.
+    """
+    often = _often(table, JOIN_HEAD, most)
+    few, rest = table.where(often).drop(most), table.where(~often).drop(most)
+    near = rows.join(F.broadcast(few.withColumn("_near", F.lit(True))), on, "left")
+    names = [*rows.columns, *(c for c in few.columns if c != on)]
+    far = near.where("_near IS NULL").select(rows.columns).join(rest, on)
+    return near.where("_near").select(names).unionByName(far.select(names))
+
+
+def _dropped(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _entries(docs: DataFrame, d: int, wide: Bits, seen: Bits) -> DataFrame:
+    """(prefix, suffix, n) of the runs of d + 1 tokens; runs that can't be kept are left out if the bit tables tell."""
+    def add(state: dict) -> None:
+        if len(state.get("parts", [])) > 1:
+            prefix, suffix, n = (np.concatenate(x) for x in zip(*state["parts"], strict=True))
+            _, first, at = np.unique(gram_keys(prefix, suffix), return_index=True, return_inverse=True)
+            state["parts"] = [(prefix[first], suffix[first], np.bincount(at, weights=n).astype(np.int64))]
+        state["size"] = len(state["parts"][0][0]) if state.get("parts") else 0
+
+    def rows(state: dict):
+        prefix, suffix, n = state["parts"].pop()
+        state["size"] = 0
+        order = np.lexsort((suffix, prefix))
+        return [pa.array(x[order].view(np.int64)) for x in (prefix, suffix, n)]
+
+    def make(state: dict, ids, tokens, borders):
+        keys, place = _runs(tokens, borders, d)
+        at = np.flatnonzero(place >= d)
+        prefix, suffix = keys[-1][at - 1], keys[-1][at]
+        kept = wide.may(prefix) & seen.may(suffix)
+        prefix, suffix = prefix[kept], suffix[kept]
+        state.setdefault("parts", []).append((prefix, suffix, np.ones(len(prefix), np.int64)))
+        state["size"] = state.get("size", 0) + len(prefix)
+        if state["size"] > _WAITING:
+            add(state)
+            if 2 * state["size"] > _WAITING:
+                return rows(state)
+        return None
+
+    def finish(state: dict):
+        add(state)
+        return rows(state) if state.get("parts") else None
+
+    made = _scan(docs, make, "prefix long, suffix long, n long", finish)
+    return made.groupBy("prefix", "suffix").agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class SuffixTables:
+    """The trained model: (key, n, plus, value) of all tokens and of the tree's contexts and entries."""
+
+    total: int
+    distinct: int
+    counts: DataFrame
+    tree: DataFrame
+
+
+def train_suffix_tables(docs: DataFrame, depth: int = DEPTH, least_context: int = LEAST_CONTEXT,
+                        least_entry: int = LEAST_ENTRY) -> SuffixTables:
+    """The tree over all words as Spark tables; `docs` has columns id and text."""
+    counts = stage_table(_counted(docs, lambda tokens, borders: tokens), "token-counts")
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    base = float(np.log10(total + distinct + 1))
+    plus = F.log10(F.col("n") + 1.0)
+    below = counts.select("key", "n", (plus - base).alias("log"))
+    tree = []
+    for d in range(1, depth + 1):
+        wide = below.where(F.col("n") >= least_context)
+        bits = Bits(wide.select("key")), Bits(below.where(F.col("n") >= least_entry).select("key"))
+        found = _entries(docs, d, *bits).where(F.col("n") >= least_entry)
+        found = stage_table(found, "tree-entries")
+        sizes = found.groupBy("prefix").agg(F.count(F.lit(1)).alias("kept"), F.sum("n").alias("held"))
+        sizes = sizes.join(wide.select(F.col("key").alias("prefix"), F.col("n").alias("size")), "prefix")
+        rest = (DISCOUNT * F.col("kept") + F.col("size") - F.col("held")) / F.col("size")
+        rest = F.least(F.greatest(rest, F.lit(1e-12)), F.lit(1.0))
+        sizes = stage_table(sizes.withColumn("rest", rest), "tree-contexts")
+        rows = _met(found, sizes.select("prefix", "size", "rest", "kept"), "prefix", "kept")
+        rows = _met(rows, below.select(F.col("key").alias("suffix"), F.col("log").alias("lower"),
+                                         F.col("n").alias("most")), "suffix", "most")
+        chance = (F.col("n") - DISCOUNT) / F.col("size") + F.col("rest") * F.pow(F.lit(10.0), F.col("lower"))
+        rows = stage_table(rows.select("prefix", F.xxhash64("prefix", "suffix").alias("key"), "n", "lower",
+                                       F.log10(chance).alias("log")), "tree-fitted")
+        gain = rows.groupBy("prefix").agg(F.sum(F.col("n") * (F.col("log") - F.col("lower"))).alias("gain"))
+        enough = (F.col("gain") * float(np.log(10)) + (F.col("size") - F.col("held")) * F.log("rest")
+                  > F.col("kept") * F.log(F.greatest("size", F.lit(2))) / 2)
+        judged = sizes.join(gain, "prefix").select("prefix", "size", "kept", F.log10("rest").alias("handed"),
+                                                   enough.alias("retained"))
+        judged = stage_table(judged, "tree-judged")
+        fitted, rows = rows, _met(rows, judged.drop("size"), "prefix", "kept")
+        # The entry's own logarithm where its context is retained, and what it has over the mass handed down.
+        rows = stage_table(rows.select(
+            "key", "n", F.when(F.col("retained"), F.col("log")).otherwise(F.col("lower")).alias("log"),
+            F.when(F.col("retained"), F.col("log") - F.col("handed") - F.col("lower")).alias("value")), "tree-level")
+        _dropped(found, sizes, fitted)
+        contexts = judged.where("retained").select(
+            F.col("prefix").bitwiseXOR(F.lit(int(_CONTEXT.astype(np.int64)))).alias("key"),
+            F.col("size").alias("n"), F.lit(0.0).alias("plus"), F.col("handed").alias("value"))
+        entries = rows.where("value IS NOT NULL").select("key", "n", F.lit(0.0).alias("plus"), "value")
+        tree += [contexts, entries]
+        below = rows.select("key", "n", "log")
+    made = tree[0]
+    for part in tree[1:]:
+        made = made.unionByName(part)
+    return SuffixTables(total, distinct, counts.select("key", "n", plus.alias("plus"), F.lit(0.0).alias("value")), made)
+
+
+def score_texts(docs: DataFrame, model: SuffixTables, depth: int = DEPTH, head: int = HEAD,
+                tree_head: int = TREE_HEAD) -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) of every row of `docs` (id, text)."""
-    root = tree.root()
+    end = int(END.astype(np.int64))
+    every = model.counts.unionByName(model.tree)
+    bits = Bits(every.select("key"))
+    parts = [(rows, (F.col("key") == end) | _often(rows, many))
+             for rows, many in ((model.counts, head), (model.tree, tree_head))]
+    sent = [rows.where(often).select("key", "plus", "value").toArrow() for rows, often in parts]
+    keys = np.concatenate([x["key"].to_numpy() for x in sent]).view(np.uint64)
+    plus_of = np.concatenate([x["plus"].to_numpy() for x in sent])
+    value_of = np.concatenate([x["value"].to_numpy() for x in sent])
+    name = uuid.uuid4().hex
+    del sent
 
     def make(state, ids, tokens, borders):
-        words_, depths = _indexed(tree)
-        row, symbol = _symbols(tree, words_, tokens)
-        log = root[symbol]
-        for level, index, context in zip(tree.depths, depths, tree.states(depths, symbol, borders, len(tree.depths)),
-                                         strict=True):
-            at = np.flatnonzero(context >= 0)
-            at = at[level.retained[context[at]]]
-            found = index[1].find(context[at].astype(np.uint64) * tree.width + symbol[at].astype(np.uint64))
-            value = level.log_rest[context[at]] + log[at]
-            hit = found >= 0
-            value[hit] = level.log_entry[found[hit]]
-            log[at] = value
-        inner = row >= tree.symbols  # frequent words of the class; rarer ones are joined later
-        known = row >= 0
-        plus = np.zeros(len(row))
-        plus[known] = np.log10(tree.head_count[row[known]] + 1.0)
+        if name not in _indexes:
+            _indexes.clear()
+            _indexes[name] = HashIndex(keys)
+        index = _indexes[name]
+        value, left, whose = np.zeros(len(tokens)), [], []
+
+        def look(at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The tokens for which the model may have the key, and the head's row or -1."""
+            able = np.flatnonzero(bits.may(key))
+            row = index.find(key[able])
+            left.append(key[able[row < 0]])
+            whose.append(at[able[row < 0]])
+            return able, row
+
+        runs, place = _runs(tokens, borders, depth + 1)
+        able, row = look(np.arange(len(tokens)), tokens)
+        known = able[row >= 0]
+        plus = np.zeros(len(tokens))
+        plus[known] = plus_of[row[row >= 0]]
+        for d in range(1, depth + 1):
+            at = np.flatnonzero(place >= d)
+            able, row = look(at, runs[d - 1][at - 1] ^ _CONTEXT)
+            at = at[able]
+            value[at[row >= 0]] += value_of[row[row >= 0]]
+            able, row = look(at, runs[d][at])
+            at = at[able]
+            value[at[row >= 0]] += value_of[row[row >= 0]]
 
         def per_text(values: np.ndarray) -> np.ndarray:
             return np.diff(np.concatenate([[0.0], np.cumsum(values)])[borders])
 
-        rare = np.flatnonzero(~known)
-        ends = np.cumsum(np.bincount(np.searchsorted(borders, rare, "right") - 1, minlength=len(borders) - 1))
-        return [ids, pa.array(np.diff(borders)), pa.array(per_text(known).round().astype(np.int64)),
-                pa.array(per_text(plus)), pa.array(per_text(log + np.where(inner, plus, 0.0))),
-                pa.array(per_text(symbol == tree.symbols).round().astype(np.int64)),
-                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)),
-                                         pa.array(tokens[rare].view(np.int64)))]
+        owner, rare = np.concatenate(whose), np.concatenate(left)
+        order = np.argsort(owner, kind="stable")
+        ends = np.searchsorted(owner[order], borders)
+        return [ids, pa.array(np.diff(borders)),
+                pa.array(np.diff(np.searchsorted(known, borders))), pa.array(per_text(plus)),
+                pa.array(per_text(value)),
+                pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(rare[order].view(np.int64)))]
 
-    scanned = _scan(docs, make, "id long, n_tokens long, known long, plus double, log double, others long, "
-                                "rare array<bigint>")
+    scanned = _scan(docs, make, "id long, n_tokens long, known long, plus double, value double, rare array<bigint>")
     scanned = stage_table(scanned.withColumn("row", F.monotonically_increasing_id()), "scored-texts")
-    rare = scanned.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("k"))
-    met = rare.join(counts, "key").groupBy("row").agg(
-        F.sum("k").alias("rare_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("rare_plus"))
-    base = float(np.log10(tree.total + tree.distinct + 1))
-    inside = float(np.log10(max(tree.other_mass, 1.0)))
-    joined = scanned.drop("rare").join(met, "row", "left").fillna(0, ["rare_known", "rare_plus"])
-    return joined.select(
-        "id", "n_tokens", (F.col("known") + F.col("rare_known")).alias("n_known"),
-        (F.col("plus") + F.col("rare_plus") - F.col("n_tokens") * base).alias("base_score"),
-        (F.col("log") + F.col("rare_plus") - F.col("others") * inside).alias("score"))
+    rare = scanned.select("row", F.explode("rare").alias("key"))
+    others = parts[0][0].where(~parts[0][1]).unionByName(parts[1][0].where(~parts[1][1]))
+    # Token keys alone have a logarithm of their own.
+    met = rare.join(others, "key").groupBy("row").agg(
+        F.sum((F.col("plus") > 0).cast("long")).alias("rare_known"), F.sum("plus").alias("rare_plus"),
+        F.sum("value").alias("rare_value"))
+    base = float(np.log10(model.total + model.distinct + 1))
+    joined = scanned.drop("rare").join(met, "row", "left").fillna(0, ["rare_known", "rare_plus", "rare_value"])
+    score = F.col("plus") + F.col("rare_plus") - F.col("n_tokens") * base
+    return joined.select("id", "n_tokens", (F.col("known") + F.col("rare_known")).alias("n_known"),
+                         score.alias("base_score"), (score + F.col("value") + F.col("rare_value")).alias("score"))
 
 
 def language_model_scores(docs: DataFrame, learn_from: Callable[[str], Column], key: str = "doc_id",
                           text: str = "text") -> DataFrame:
     """Train on the rows for which `learn_from("id")` holds and score all rows."""
     rows = docs.select(column(docs, key).alias("id"), column(docs, text).cast("string").alias("text"))
-    tree, counts = train_suffix_tree(rows.where(learn_from("id")))
-    scored = score_texts(rows.select(F.col("id").cast("long").alias("id"), "text"), tree, counts)
-    return scored.withColumn("train_tokens", F.lit(tree.total).cast("long"))
+    model = train_suffix_tables(rows.where(learn_from("id")))
+    scored = score_texts(rows.select(F.col("id").cast("long").alias("id"), "text"), model)
+    return scored.withColumn("train_tokens", F.lit(model.total).cast("long"))

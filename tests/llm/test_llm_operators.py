@@ -25,7 +25,8 @@ from pricelode.llm.license_scan import scan_licenses  # noqa: E402
 from pricelode.llm.line_quality import line_quality  # noqa: E402
 from pricelode.llm.piece_ids import Chunks, encode_pieces  # noqa: E402
 from pricelode.llm.pretokens import Pretokens, prepared  # noqa: E402
-from pricelode.llm.suffix_tree_lm import language_model_scores, train_suffix_tree  # noqa: E402
+from pricelode.llm.suffix_tree_lm import (  # noqa: E402
+    language_model_scores, score_texts, train_suffix_tables, train_suffix_tree)
 from pricelode.llm.token_counts import count_tokens  # noqa: E402
 from pricelode.llm.token_files import ShardReader, fetch_documents, read_token_files, write_token_files  # noqa: E402
 from pricelode.llm.toxicity import fit_toxicity, score_toxicity, windows  # noqa: E402
@@ -418,6 +419,67 @@ def test_suffix_tree_distributions_sum_to_one(spark):
             assert abs(chance.sum() - 1) < 1e-9
 
 
+def brute_scores(train, texts, depth=3, least_context=8, least_entry=2, discount=0.75):
+    """Scores of the tree over all words, from dictionaries of whole word runs."""
+    def split(t):
+        return [*SPACED.findall((t or "").translate(LOWER)), "\n"]
+
+    runs = collections.Counter(tuple(w[i:i + n]) for w in map(split, train) for n in range(1, depth + 2)
+                               for i in range(len(w) - n + 1))
+    one = {k[0]: n for k, n in runs.items() if len(k) == 1}
+    total = sum(one.values()) + len(one) + 1
+    following, kept = collections.defaultdict(dict), {}
+    for run, n in runs.items():
+        if len(run) > 1 and n >= least_entry and runs[run[:-1]] >= least_context:
+            following[run[:-1]][run[-1]] = n
+
+    def chance(context, word):
+        if not context:
+            return (one.get(word, 0) + 1) / total
+        return inside(context, word) if kept.get(context) else chance(context[1:], word)
+
+    def rest(context):
+        next_, size = following[context], runs[context]
+        return (discount * len(next_) + size - sum(next_.values())) / size
+
+    def inside(context, word):
+        own = max(following[context].get(word, 0) - discount, 0) / runs[context]
+        return own + max(rest(context), 1e-12) * chance(context[1:], word)
+
+    for context in sorted(following, key=len):
+        next_, size = following[context], runs[context]
+        gain = sum(n * np.log(inside(context, w) / chance(context[1:], w)) for w, n in next_.items())
+        gain += (size - sum(next_.values())) * np.log(max(rest(context), 1e-12))
+        kept[context] = gain > len(next_) * np.log(max(size, 2)) / 2
+    out = []
+    for w in map(split, texts):
+        out.append(sum(np.log10(chance(tuple(w[max(0, i - depth):i]), w[i])) for i in range(len(w))))
+    return out, sum(kept.values())
+
+
+def test_suffix_tables_equal_brute_force_with_any_head(spark):
+    random.seed(14)
+    phrases = ["the cat sat on the mat", "a dog ran to the park", "the end of the day", "on the day"]
+    texts = [" ".join(random.choice(phrases) if random.random() < 0.8 else f"rare{random.randint(0, 60)}" for _ in range(30))
+             for _ in range(60)] + ["", None, "The unseen WORDS"]
+    expected, kept = brute_scores(texts[:40], texts)
+    assert kept > 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    model = train_suffix_tables(docs.where("id < 40"))
+    for head, tree_head in ((1 << 18, 1 << 20), (5, 9)):  # the head is a shortcut only
+        rows = {r.id: r for r in score_texts(docs, model, head=head, tree_head=tree_head).collect()}
+        assert max(abs(rows[k].score - expected[k]) for k in range(len(texts))) < 1e-6
+
+
+def test_suffix_tree_keeps_rare_contexts_of_a_large_corpus(spark):
+    rng = np.random.default_rng(15)
+    filler = [" ".join(f"w{k}" for k in rng.permutation(20_000)) for _ in range(110)]  # over 2^21 tokens and 2^14 words
+    docs = spark.createDataFrame([*enumerate(filler), *((1000 + k, "zig zag zog") for k in range(10))],
+                                 "doc_id long, text string").repartition(8)
+    rows = {r.id: r for r in language_model_scores(docs, lambda key: F.col(key) != 1009).where("id >= 1000").collect()}
+    assert rows[1009].score > rows[1009].base_score + 10
+
+
 # --- 9: licences ----------------------------------------------------------------------------
 
 def test_license_scan(spark):
