@@ -21,7 +21,7 @@ from pricelode.llm.bytescan import ALNUM, utf8, word_hashes, words  # noqa: E402
 from pricelode.llm.components import components  # noqa: E402
 from pricelode.llm.decontamination import Phrases, find_contamination  # noqa: E402
 from pricelode.llm.hilbert_shards import assign_shards, hilbert_index  # noqa: E402
-from pricelode.llm.license_scan import scan_licenses  # noqa: E402
+from pricelode.llm.license_scan import scan_licenses, train_licenses  # noqa: E402
 from pricelode.llm.line_quality import line_quality  # noqa: E402
 from pricelode.llm.piece_ids import Chunks, encode_pieces  # noqa: E402
 from pricelode.llm.pretokens import Pretokens, prepared  # noqa: E402
@@ -499,3 +499,32 @@ def test_license_scan(spark):
     assert all(found[k].n_licensed == 0 for k in [*range(100, 130), 200, 201, None])
     assert scan_licenses(odd_docs(spark)).count() == len(ODD_TEXTS) + 2
     assert scan_licenses(empty_docs(spark)).count() == 0
+
+
+def test_license_scan_reads_wrapped_notices_and_versions(spark):
+    random.seed(16)
+    filler = [" ".join(random.choice(["stone", "river", "walk", "lamp", "green", "of", "the"]) for _ in range(12))
+              for _ in range(12)]
+    wrapped = ("    This program is free software: you can redistribute it and/or modify\n"
+               "    it under the terms of the GNU General Public License as published by\n"
+               "    the Free Software Foundation, either version 3 of the License, or\n"
+               "    (at your option) any later version.")
+    notices = {1: (wrapped, "GPL-3.0"), 2: (wrapped.replace("version 3", "version 2"), ""),
+               3: ("This work is licensed under the GNU General Public License, version 2.", ""),
+               4: ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+               5: ("Licensed under the Apache License, Version 1.1.", ""),
+               6: ("Licensed under the\nApache License, Version 2.0.", "Apache-2.0")}
+    rows = [(k, f"{filler[k]}\n\n{text}\n \n{filler[-k]}") for k, (text, _) in notices.items()]
+    found = {r.id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: found[k].families for k in notices} == {k: family for k, (_, family) in notices.items()}
+    assert [x.place for x in found[1].licenses] == [2] and [x.place for x in found[4].licenses] == [2]
+
+
+def test_license_threshold_comes_from_held_out_candidates(spark):
+    near = [f"He has a licence of the town and version {k} of the general public map" for k in range(40)]
+    docs = spark.createDataFrame([(0, "no stem in this text")], "doc_id long, text string")
+    for lines in (near, []):
+        found = spark.createDataFrame([(x,) for x in lines], "paragraph string")
+        weights, _, least = train_licenses(docs, found, sample=10)
+        grams = {r.gram for r in weights.where("family = 'unknown'").select("gram").collect()}
+        assert ("licence of the" in grams or "town" in grams or "map" in grams) == bool(lines) and 0.5 <= least <= 0.95
