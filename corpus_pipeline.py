@@ -32,6 +32,8 @@ from pricelode.session import stage_table
 
 PIECE_MODEL = "piece_bpe_32k.model"
 TOXIC_FROM = 0.5
+#: From so many characters on, phrases and separators are judged by their share of the line.
+LONG_LINE = 200
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -62,7 +64,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # The row number keeps the verdict from being pushed into the plan a second time.
-    judged = line_quality(_packed(docs)).withColumn("row_number", F.monotonically_increasing_id())
+    judged = line_quality(_packed(docs), share_from=LONG_LINE).withColumn("row_number", F.monotonically_increasing_id())
     return _unpacked(judged.where("kept AND row_number >= 0"), docs, "cleaned")
 
 

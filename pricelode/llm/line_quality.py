@@ -57,7 +57,7 @@ def _count(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(_without(text, characters))
 
 
-def line_fails(line: Column, size: Column, odd: Column, notices: bool) -> Column:
+def line_fails(line: Column, size: Column, odd: Column, notices: bool, share_from: int | None = None) -> Column:
     """Whether one line is to go; False for lines without words. `size` and `odd` are its `line_facts`.
 
     * punctuation: over 30 % of its characters outside white space (12 or more) are no letters or
@@ -66,10 +66,21 @@ def line_fails(line: Column, size: Column, odd: Column, notices: bool) -> Column
     * navigation: it has at most 8 blanks and begins like a menu entry, or it has three or more
       separators of a menu or a table;
     * boilerplate: a phrase of site notices (not sought unless `notices`, the whole text has one).
+
+    In lines of `share_from` characters or more, separators must also be over 2 % of the characters
+    and phrases over 10 %; one of either says nothing about a long line.
     """
     boilerplate = _phrase(F.lower(line)) if notices else F.lit(False)
+    separators = _count(odd, SEPARATORS) >= 3
+    if share_from is not None:
+        short = size < share_from
+        separators = separators & (short | (_count(odd, SEPARATORS) * 50 > size))
+        if notices:
+            low = F.lower(line)
+            spoken = sum((F.length(low) - F.length(F.replace(low, F.lit(x), F.lit(""))) for x in BOILERPLATE), F.lit(0))
+            boilerplate = boilerplate & (short | (spoken * 10 > size))
     return (size > 0) & (((size >= 12) & (F.length(odd) * 10 > size * 3)) | ~line.rlike(r"\p{L}")
-                         | (_count(odd, SYMBOLS) * 100 > size * 8) | (_count(odd, SEPARATORS) >= 3)
+                         | (_count(odd, SYMBOLS) * 100 > size * 8) | separators
                          | ((_count(line, " ") <= 8) & line.rlike(NAVIGATION)) | boilerplate)
 
 
@@ -88,8 +99,11 @@ def repeated_words(windows: Column) -> Column:
 
 def line_quality(docs: DataFrame, text: str = "text", cleaned: str = "cleaned",
                  min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT,
-                 max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
-    """Adds the base counts, base_failed, lost_chars, kept and the text of the lines that stay."""
+                 max_lost_percent: int = MAX_LOST_PERCENT, share_from: int | None = None) -> DataFrame:
+    """Adds the base counts, base_failed, lost_chars, kept and the text of the lines that stay.
+
+    Without `share_from` the rules are those of the comparison SQL, whatever a line's length.
+    """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
              "lost_chars", "kept", cleaned]
     # Work in a struct column beside the row, so no name of the input can clash.
@@ -111,7 +125,7 @@ def line_quality(docs: DataFrame, text: str = "text", cleaned: str = "cleaned",
     def judged(notices: bool) -> Column:
         return F.transform("lines", lambda x: F.struct(
             x["x"].alias("x"), x["size"].alias("size"), _count(x["odd"], SYMBOLS).alias("symbols"),
-            line_fails(x["x"], x["size"], x["odd"], notices).alias("fails")))
+            line_fails(x["x"], x["size"], x["odd"], notices, share_from).alias("fails")))
 
     work = work.select("r", "raw", "t", "n_words", "w", "runs", F.when(
         F.col("notices"), judged(True)).otherwise(judged(False)).alias("lines"))

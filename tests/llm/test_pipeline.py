@@ -53,3 +53,13 @@ def test_run_over_a_small_table(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     documents = spark.read.parquet(f"{SF}/documents.parquet").count()
     assert 0.3 * documents < len(rows) < documents and len({r.doc_id for r in rows}) == len(rows)
+
+
+def test_quality_keeps_articles_of_one_line(spark):
+    random.seed(22)
+    prose = " ".join("".join(random.choice(["ba", "ko", "mi", "ra", "tu", "se"]) for _ in range(3)) for _ in range(120))
+    rows = [(1, f"{prose} a cookie and its market share on the street. {prose[::-1]}."),
+            (2, f"{prose}. | {prose[::-1]} | > end."), (3, f"{prose}.\nWe use a cookie here.\nNews | Sport | Mail | Us")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["quality"](spark, docs, SF).collect()}
+    assert left == {1: rows[0][1], 2: rows[1][1], 3: f"{prose}."}
