@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import comparison_sql
 from .common import is_held_out, table
+from .conversation_trie import conversation_trie
 from .decontamination import find_contamination
 from .hilbert_shards import assign_shards, quantised_name, quantised_size
 from .license_scan import scan_licenses
@@ -18,6 +19,7 @@ from .suffix_tree_lm import language_model_scores
 from .token_counts import count_tokens
 from .token_files import token_file_digest
 from .toxicity import score_toxicity, train_toxicity
+from .warc_files import warc_round_trip
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -89,6 +91,15 @@ def op10_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(docs, public_tokenizers.path(PIECE_BPE), digests=True).drop("text")
 
 
+def op11_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc_round_trip(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_decontamination": op2_decontamination,
@@ -100,6 +111,8 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_license_scan": op9_license_scan,
     "op10_piece_ids": op10_piece_ids,
+    "op11_warc_records": op11_warc_records,
+    "op12_conversation_trie": op12_conversation_trie,
 }
 
 #: The others need a library's tokenizer, a trained model or a curve index and have tests instead.
@@ -107,4 +120,6 @@ SQL: dict[str, str] = {
     "op2_decontamination": comparison_sql.DECONTAMINATION,
     "op4_ngram_join": comparison_sql.NGRAM_JOIN,
     "op5_line_quality": comparison_sql.LINE_QUALITY,
+    "op11_warc_records": comparison_sql.WARC_RECORDS,
+    "op12_conversation_trie": comparison_sql.CONVERSATION_TRIE,
 }

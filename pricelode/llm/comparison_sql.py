@@ -75,3 +75,38 @@ counts AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(word_chars AS
 SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
   NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words)
     AND lost_chars * 100 <= word_chars * {MAX_LOST_PERCENT} AS kept FROM counts"""
+
+_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_BASE32 = " || ".join(f"substr('{_DIGITS}', ((v >> {shift}) & 31) + 1, 1)" for shift in (15, 10, 5, 0))
+
+WARC_RECORDS = f"""WITH rows AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+marked AS (SELECT page_id, h, max(page_id) OVER (PARTITION BY h) AS response, count(*) OVER (PARTITION BY h) AS n FROM rows),
+digests AS (SELECT *, list_transform(range(8), lambda k: CAST('0x' || substr(sha1(h), CAST(5 * k + 1 AS BIGINT), 5) AS INTEGER)) AS parts
+  FROM marked)
+SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(parts, lambda v: {_BASE32}), '') AS payload_digest,
+  CASE WHEN n > 1 AND page_id IS DISTINCT FROM response THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n > 1 AND page_id IS DISTINCT FROM response THEN response END AS refers_to FROM digests"""
+
+#: Unsigned crc32 of the decimal text of `c`: a fold over its bytes, eight steps each.
+_CRC32 = "list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), " \
+    "lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: list_reduce(list_prepend(xor(a, b), CAST(range(8) AS BIGINT[])), " \
+    "lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, CAST(3988292384 AS BIGINT)) ELSE v // 2 END))"
+
+CONVERSATION_TRIE = f"""WITH turns AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list({{'r': r, 'x': x}} ORDER BY k) AS w, CAST(xor({_CRC32}, CAST(4294967295 AS BIGINT)) % 9 AS BIGINT) AS h
+  FROM turns GROUP BY c),
+whole AS (SELECT o.c, list_concat(coalesce(b.w, [])[1:o.h], o.w[o.h + 1:]) AS w FROM own o LEFT JOIN own b ON b.c = o.c - o.c % 5),
+rows AS (SELECT c, w, d, w[1:d] AS path FROM (SELECT c, w, unnest(range(len(w) + 1)) AS d FROM whole)),
+nodes AS (SELECT path, d, min(c) AS conv_id, count(*) AS n, list(c ORDER BY c) FILTER (len(w) = d) AS ends FROM rows GROUP BY path, d),
+kids AS (SELECT path[1:d - 1] AS path, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2),
+families AS (SELECT s.*, coalesce(k.n, 0) AS n_children,
+    CASE WHEN d > 0 THEN (s.n - 1) * octet_length(encode(path[d].x)) ELSE 0 END AS weight
+  FROM nodes s LEFT JOIN kids k USING (path, d)),
+above AS (SELECT path[1:e] AS path, e AS d, weight, n_children FROM (SELECT *, unnest(range(d + 1)) AS e FROM families)),
+sums AS (SELECT path, d, sum(weight) AS saved, count(*) FILTER (n_children = 0) AS leaves FROM above GROUP BY 1, 2)
+SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n AS n_convs, f.n_children, leaves AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(array_to_string(f.ends, ','), '')) AS ends_sha256
+FROM families f JOIN sums USING (path, d) LEFT JOIN nodes p ON p.d = f.d - 1 AND p.path = f.path[1:f.d - 1]"""
