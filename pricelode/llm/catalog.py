@@ -16,6 +16,7 @@ from .line_quality import line_quality
 from .ngram_join import ngram_join
 from .piece_ids import encode_pieces
 from .suffix_tree_lm import language_model_scores
+from .token_alignment import aligned_counts
 from .token_counts import count_tokens
 from .token_files import token_file_digest
 from .toxicity import score_toxicity, train_toxicity
@@ -100,6 +101,11 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    return aligned_counts(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_decontamination": op2_decontamination,
@@ -113,6 +119,7 @@ QUERIES = {
     "op10_piece_ids": op10_piece_ids,
     "op11_warc_records": op11_warc_records,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 #: The others need a library's tokenizer, a trained model or a curve index and have tests instead.
