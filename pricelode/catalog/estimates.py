@@ -28,11 +28,45 @@ def by_part(spark, sf_dir):
     return estimator.estimate_prices(obs, None, now=c.NOW, window_days=400, half_life_days=90)
 
 
-def long_window(spark, sf_dir):
-    """Ten years at a half-life of three weeks: many parts have old observations only."""
+#: Days by which the aged products lie behind, and the price of their one new row.
+LATE_DAYS, LATE_PRICE = (1700, 3300), 900_000_000
+
+
+def aged_observations(spark, sf_dir):
+    """Line items by part, once as they are and twice as products of long ago with one new outlier each."""
     obs = c.observations(spark, sf_dir, "p_partkey").withColumn(NAME, F.col(NAME).cast("string"))
-    return estimator.estimate_prices(obs, None, now=c.NOW, window_days=3650, half_life_days=21,
-                                     estimator="weighted_mean")
+    obs = obs.select(NAME, "observed_price", F.col("observed_at").cast("timestamp").alias("observed_at"))
+    parts = c.table(spark, sf_dir, "part")
+    out = obs
+    for days in LATE_DAYS:
+        old = F.col("observed_at") - F.make_dt_interval(F.lit(days - 1000))
+        name = F.concat(F.lit(f"late {days} "), F.col(NAME))
+        newest = F.to_timestamp(F.lit("2001-08-31 00:00:00"))
+        out = out.unionByName(obs.select(name.alias(NAME), "observed_price", old.alias("observed_at")))
+        out = out.unionByName(parts.select(
+            F.concat(F.lit(f"late {days} "), F.col("p_partkey").cast("string")).alias(NAME),
+            F.lit(LATE_PRICE).cast("bigint").alias("observed_price"), newest.alias("observed_at")))
+    return out
+
+
+def long_window(spark, sf_dir):
+    """Ten years at a half-life of three weeks: many parts have old observations only, or those
+    and an outlier far newer than they are."""
+    return estimator.estimate_prices(aged_observations(spark, sf_dir), None, now=c.NOW, window_days=3650,
+                                     half_life_days=21, estimator="weighted_mean")
+
+
+def long_window_median(spark, sf_dir):
+    return estimator.estimate_prices(aged_observations(spark, sf_dir), None, now=c.NOW, window_days=3650, half_life_days=21)
+
+
+def long_window_wide(spark, sf_dir):
+    return estimator.estimate_prices(aged_observations(spark, sf_dir), None, now=c.NOW, window_days=3650,
+                                     half_life_days=21, wide_products=True)
+
+
+def long_window_both(spark, sf_dir):
+    return estimator.estimate_both(aged_observations(spark, sf_dir), now=c.NOW, window_days=3650)
 
 
 def wide(spark, sf_dir):
@@ -62,6 +96,9 @@ QUERIES = {
     "price_estimate_weighted_mean": weighted_mean,
     "price_estimate_by_part": by_part,
     "price_estimate_long_window": long_window,
+    "price_estimate_long_window_median": long_window_median,
+    "price_estimate_long_window_wide": long_window_wide,
+    "price_estimate_long_window_both": long_window_both,
     "price_estimate_wide_products": wide,
     "price_estimate_both": both,
     "price_used_observations": used,
@@ -79,6 +116,34 @@ SELECT e.name AS normalized_product_name,
 FROM est e LEFT JOIN manual m ON e.name = m.name"""
 
 
+_LATE = " UNION ALL ".join(
+    f"""SELECT 'late {days} ' || name, price, seen - INTERVAL {days - 1000} DAY FROM plain
+  UNION ALL SELECT 'late {days} ' || p_partkey, {LATE_PRICE}, TIMESTAMP '2001-08-31 00:00:00' FROM part""" for days in LATE_DAYS)
+
+#: Weights as doubles relative to the newest row that is left, as no fixed digits hold ten years.
+_RELATIVE = f"""WITH plain AS (SELECT CAST(l_partkey AS VARCHAR) AS name,
+  CAST(floor(l.l_extendedprice) AS BIGINT) AS price, CAST(l.l_shipdate AS TIMESTAMP) AS seen
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey), obs AS (SELECT * FROM plain UNION ALL {_LATE})"""
+
+
+def _relative(source: str) -> str:
+    return f"""relative AS (SELECT name, price, seen, pow(0.5, (age - MIN(age) OVER (PARTITION BY name)) / 21.0) AS w
+  FROM {source}),
+prices AS (SELECT name, price, SUM(w) AS w FROM relative GROUP BY name, price),
+running AS (SELECT name, price, SUM(w) OVER (PARTITION BY name ORDER BY price ROWS UNBOUNDED PRECEDING) AS run,
+  SUM(w) OVER (PARTITION BY name) AS total FROM prices),
+medians AS (SELECT name, MIN(price) FILTER (2 * run >= total) AS median FROM running GROUP BY name),
+means AS (SELECT name, COUNT(*) AS n, MIN(seen) AS oldest, MAX(seen) AS newest,
+  CAST(round_even(SUM(price * w) / SUM(w), 0) AS BIGINT) AS mean FROM relative GROUP BY name)"""
+
+
+def _long_report(value: str, label: str) -> str:
+    return f"""{_RELATIVE}, {c.estimate_sql(3650, 21.0)}, {_relative('used')}
+SELECT name AS normalized_product_name, CASE WHEN n >= 5 THEN {value} END AS price,
+  n AS valid_observation_count, CASE WHEN n >= 5 THEN '{label}' ELSE 'manual_fallback' END AS estimator,
+  n >= 5 AS automatic, oldest AS oldest_observed_at, newest AS newest_observed_at FROM means JOIN medians USING (name)"""
+
+
 SQL = {
     "price_estimate_weighted_median": _report("weighted_median"),
     "price_estimate_weighted_mean": _report("weighted_mean"),
@@ -90,16 +155,16 @@ SELECT name AS normalized_product_name, CASE WHEN n >= 5 THEN weighted_median EN
   n AS valid_observation_count,
   CASE WHEN n >= 5 THEN 'weighted_median' ELSE 'manual_fallback' END AS estimator,
   n >= 5 AS automatic, oldest AS oldest_observed_at, newest AS newest_observed_at FROM est""",
-    "price_estimate_long_window": f"""WITH obs AS (SELECT CAST(l_partkey AS VARCHAR) AS name,
-  CAST(floor(l.l_extendedprice) AS BIGINT) AS price, l.l_shipdate AS seen
-  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey), {c.estimate_sql(3650, 21.0)},
-relative AS (SELECT name, price, seen, pow(0.5, (age - MIN(age) OVER (PARTITION BY name)) / 21.0) AS w
-  FROM used),
-means AS (SELECT name, COUNT(*) AS n, MIN(seen) AS oldest, MAX(seen) AS newest,
-  CAST(round_even(SUM(price * w) / SUM(w), 0) AS BIGINT) AS mean FROM relative GROUP BY name)
-SELECT name AS normalized_product_name, CASE WHEN n >= 5 THEN mean END AS price,
-  n AS valid_observation_count, CASE WHEN n >= 5 THEN 'weighted_mean' ELSE 'manual_fallback' END AS estimator,
-  n >= 5 AS automatic, oldest AS oldest_observed_at, newest AS newest_observed_at FROM means""",
+    "price_estimate_long_window": _long_report("mean", "weighted_mean"),
+    "price_estimate_long_window_median": _long_report("median", "weighted_median"),
+    "price_estimate_long_window_wide": _long_report("median", "weighted_median"),
+    "price_estimate_long_window_both": f"""{_RELATIVE}, {c.estimate_sql(3650, 21.0, prefix='a')},
+again AS (SELECT name, price, seen FROM aused),
+{c.estimate_sql(3650, 21.0, source='again', prefix='b')}, {_relative('bused')}
+SELECT a.name AS normalized_product_name, a.n AS used_count, median AS weighted_median, mean AS weighted_mean,
+  greatest(0.0, (epoch_us({c.NOW_SQL}) - epoch_us(a.oldest)) / 86400000000.0) AS oldest_age_days,
+  greatest(0.0, (epoch_us({c.NOW_SQL}) - epoch_us(a.newest)) / 86400000000.0) AS newest_age_days
+FROM aest a JOIN means ON a.name = means.name JOIN medians ON a.name = medians.name""",
     "price_estimate_both": f"""WITH {c.OBS_SQL}, {c.estimate_sql(prefix='a')},
 again AS (SELECT name, price, seen FROM aused),
 {c.estimate_sql(source='again', prefix='b')}

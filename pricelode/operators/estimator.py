@@ -31,6 +31,7 @@ ESTIMATORS = ("weighted_median", "weighted_mean")
 
 #: Weights are kept to scale within blocks of so many half-lives of age.
 BLOCK_HALVINGS = 40
+BLOCK = "age_block"
 
 
 def check_settings(window_days: int, half_life_days: float, minimum_observations: int,
@@ -70,9 +71,9 @@ def price_histogram(observations: DataFrame, now, window_days: int,
                     half_life_days: float) -> DataFrame:
     """Count, decayed weight and time span of every (product, price).
 
-    Weights only matter relative to each other within a product. In windows of more than
-    ``BLOCK_HALVINGS`` half-lives they are summed per block of age and then taken relative to the
-    product's newest block, so a product with old observations only keeps its full weights.
+    In windows of more than ``BLOCK_HALVINGS`` half-lives rows also stand for a block of age,
+    and weights count from the block's start, so that no weight is too small for its digits.
+    ``relative_weights`` brings them to one scale once the outliers are known.
     """
     age = age_days(F.col("observed_at"), now)
     blocks = window_days / half_life_days > BLOCK_HALVINGS
@@ -80,22 +81,34 @@ def price_histogram(observations: DataFrame, now, window_days: int,
     block = F.floor(age / F.lit(float(block_days))) if blocks else F.lit(0)
     weight = decay_weight(age - block * F.lit(float(block_days)) if blocks else age, half_life_days)
     kind = weight_type(window_days, half_life_days)
-    hist = (
+    return (
         recent(observations, now, window_days)
         .select(NAME, F.col("observed_price").cast("bigint").alias("price"), "observed_at",
-                block.alias("_block"), weight.cast(kind).alias("w"))
-        .groupBy(NAME, "price", *(["_block"] if blocks else []))
+                block.alias(BLOCK), weight.cast(kind).alias("w"))
+        .groupBy(NAME, "price", *([BLOCK] if blocks else []))
         .agg(F.count("*").alias("n"), F.sum("w").alias("w"),
              F.min("observed_at").alias("oldest"), F.max("observed_at").alias("newest"))
     )
-    if not blocks:
-        return hist
-    newest = hist.groupBy(NAME).agg(F.min("_block").alias("_newest"))
-    behind = (F.col("_block") - F.col("_newest")) * BLOCK_HALVINGS
-    scaled = hist.join(newest, NAME).withColumn(
-        "w", (F.col("w").cast("double") * F.pow(F.lit(0.5), behind)).cast(T.DecimalType(38, kind.scale)))
-    return scaled.groupBy(NAME, "price").agg(
-        F.sum("n").alias("n"), F.sum("w").alias("w"), F.min("oldest").alias("oldest"), F.max("newest").alias("newest"))
+
+
+def relative_weights(kept: DataFrame, wide_products: bool = False) -> DataFrame:
+    """Weights of a trimmed histogram relative to each product's newest block that is left.
+
+    Weights only matter relative to each other within a product. An outlier may be the newest
+    row by far, so the scale must come from the rows that count.
+    """
+    if BLOCK not in kept.columns:
+        return kept
+    scale = kept.schema["w"].dataType.scale
+    if wide_products:
+        first = kept.groupBy(NAME).agg(F.min(BLOCK).alias("_first"))
+        kept = kept.join(first, NAME)
+    else:
+        kept = kept.withColumn("_first", F.min(BLOCK).over(Window.partitionBy(NAME)))
+    behind = (F.col(BLOCK) - F.col("_first")) * BLOCK_HALVINGS
+    weight = F.col("w").cast("double") * F.pow(F.lit(0.5), behind)
+    return kept.withColumn("w", F.when(behind == 0, F.col("w").cast(T.DecimalType(38, scale)))
+                           .otherwise(weight.cast(T.DecimalType(38, scale)))).drop(BLOCK, "_first")
 
 
 def with_bounds(hist: DataFrame, *carry: str) -> DataFrame:
@@ -175,7 +188,8 @@ def used_observations(observations: DataFrame, *, now, window_days: int = 90) ->
 
 
 def _summary(hist: DataFrame, median: bool, mean: bool, wide_products: bool) -> DataFrame:
-    """Per product: count, time span and the requested estimates of a histogram."""
+    """Per product: count, time span and the requested estimates of a trimmed histogram."""
+    hist = relative_weights(hist, wide_products)
     aggs = [F.sum("n").alias("n"), F.min("oldest").alias("oldest"),
             F.max("newest").alias("newest")]
     if mean:
@@ -248,7 +262,7 @@ def estimate_both(observations: DataFrame, *, now, window_days: int = 90,
     used = used.withColumns({
         "_count": F.sum("n").over(whole), "_old": F.min("oldest").over(whole),
         "_new": F.max("newest").over(whole)})
-    again = trimmed(used)
+    again = relative_weights(trimmed(used))
     upto = whole.orderBy("price").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     again = again.withColumns({"_run": F.sum("w").over(upto), "_all": F.sum("w").over(whole)})
     w = F.col("w").cast("double")

@@ -73,6 +73,25 @@ def test_only_old_observations_keep_their_weights(spark):
             assert got[product] == (mean if name == "weighted_mean" else median)
 
 
+@pytest.mark.parametrize("shift", [1700, 3400])
+@pytest.mark.parametrize("wide", [False, True])
+def test_weights_are_relative_to_the_newest_row_left_after_trimming(spark, shift, wide):
+    """One new outlier, dear as nothing else, must not take the digits of the rows that count."""
+    items = [("a", 10_000_000, 1)] + [("a", p, shift + 30 * k) for k, p in enumerate((330, 280, 310, 300, 290, 320))]
+    obs = _rows(spark, items)
+    kept = _trim([(p, age) for _, p, age in items])
+    weights = sorted((p, 0.5 ** ((age - shift) / 21)) for p, age in kept)
+    total = sum(w for _, w in weights)
+    median = next(p for k, (p, _) in enumerate(weights) if 2 * sum(w for _, w in weights[:k + 1]) >= total)
+    mean = round(sum(p * w for p, w in weights) / total)
+    options = dict(now=NOW, window_days=3650, half_life_days=21)
+    for name, wanted in (("weighted_median", median), ("weighted_mean", mean)):
+        got = _one(estimator.estimate_prices(obs, estimator=name, wide_products=wide, **options))
+        assert (got["price"], got["valid_observation_count"], got["automatic"]) == (wanted, 6, True)
+    both = _one(estimator.estimate_both(obs, **options))
+    assert (both["weighted_median"], both["weighted_mean"], both["used_count"]) == (median, mean, 6)
+
+
 def test_manual_fallback_and_missing_names(spark):
     obs = _rows(spark, [("a", 300_000, 1)] * 4)
     manual = estimator.manual_price_table(spark, {"a": 420_000, "b": 7})
