@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -21,7 +22,7 @@ from pricelode.llm.bytescan import ALNUM, utf8, word_hashes, words  # noqa: E402
 from pricelode.llm.components import components  # noqa: E402
 from pricelode.llm.decontamination import Phrases, find_contamination  # noqa: E402
 from pricelode.llm.hilbert_shards import assign_shards, hilbert_index  # noqa: E402
-from pricelode.llm.license_scan import scan_licenses, train_licenses  # noqa: E402
+from pricelode.llm.license_scan import scan_licenses, train_licenses, with_words  # noqa: E402
 from pricelode.llm.line_quality import line_quality  # noqa: E402
 from pricelode.llm.piece_ids import Chunks, encode_pieces  # noqa: E402
 from pricelode.llm.pretokens import Pretokens, prepared  # noqa: E402
@@ -524,7 +525,19 @@ def test_license_threshold_comes_from_held_out_candidates(spark):
     near = [f"He has a licence of the town and version {k} of the general public map" for k in range(40)]
     docs = spark.createDataFrame([(0, "no stem in this text")], "doc_id long, text string")
     for lines in (near, []):
-        found = spark.createDataFrame([(x,) for x in lines], "paragraph string")
+        found = with_words(spark.createDataFrame([(x,) for x in lines], "paragraph string"))
         weights, _, least = train_licenses(docs, found, sample=10)
         grams = {r.gram for r in weights.where("family = 'unknown'").select("gram").collect()}
         assert ("licence of the" in grams or "town" in grams or "map" in grams) == bool(lines) and 0.5 <= least <= 0.95
+
+
+def test_long_blocks_are_scanned_in_time_in_proportion_to_their_words(spark):
+    """A document without blank lines is one block: 20,000 words in 2,000 lines, with a notice among them."""
+    random.seed(17)
+    lines = [" ".join(random.choice(["stone", "river", "licence", "lamp", "green", "of", "the"]) for _ in range(10)) for _ in range(2000)]
+    lines[1000:1000] = ["Licensed under the", "Apache License, Version 2.0."]
+    docs = spark.createDataFrame([(k, "\n".join(lines)) for k in range(4)], "doc_id long, text string")
+    started = time.monotonic()
+    found = scan_licenses(docs).collect()
+    assert len(found) == 4 and all("Apache-2.0" in r.families for r in found)
+    assert time.monotonic() - started < 120
