@@ -8,7 +8,7 @@ puts the space itself, so both cut the same bytes. Per document:
    `BLOCK` tokens, so dictionaries are bounded.
 2. Consecutive cuts slice both id lists into groups.
 3. Links (A and B tokens whose byte ranges overlap) are expanded per slice: a slice with one token on
-   a side links it to all of the other; slices with several on both sides are walked end by end.
+   a side links it to all of the other; in a slice with several on both sides every end closes a link.
 
 A document leaves its distinct (A id, B id) pairs with their number of links; their sum over all
 documents is one aggregate that combines before the shuffle. To bring the counts back, frequent pairs
@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage_table
 from .bytescan import slices, utf8
+from .chunktable import ChunkTable
 from .common import column, small_batches
 from .piece_ids import MARKER, Chunks
 from .pretokens import Pretokens, prepared
@@ -46,7 +47,7 @@ BLOCK = 1 << 20
 #: Pairs whose counts are sent to all tasks: about 16 MB.
 HEAD_PAIRS = 1 << 20
 #: Distinct pre-tokens and chunks a worker keeps; beyond, its table starts anew.
-KEPT_PRETOKENS, KEPT_CHUNKS = 300_000, 300_000
+KEPT_PRETOKENS, KEPT_CHUNKS = 700_000, 500_000
 
 
 # --- one document --------------------------------------------------------------------------------
@@ -74,16 +75,12 @@ def links(last_a: np.ndarray, last_b: np.ndarray, ends_a: np.ndarray, ends_b: np
     one_a = np.flatnonzero(size_a[of_b] == 1)
     one_b = np.flatnonzero((size_b[of_a] == 1) & (size_a[of_a] > 1))
     left, right = [last_a[of_b[one_a]], one_b], [one_a, last_b[of_a[one_b]]]
-    walked_a, walked_b = [], []
-    for k in np.flatnonzero((size_a > 1) & (size_b > 1)).tolist():
-        a, b = int(last_a[k] - size_a[k] + 1), int(last_b[k] - size_b[k] + 1)
-        while a <= last_a[k] and b <= last_b[k]:
-            walked_a.append(a)
-            walked_b.append(b)
-            step_a, step_b = ends_a[a] <= ends_b[b], ends_b[b] <= ends_a[a]
-            a, b = a + int(step_a), b + int(step_b)
-    left.append(np.array(walked_a, np.int64))
-    right.append(np.array(walked_b, np.int64))
+    # Slices with several tokens on both sides: every end of either side closes one link.
+    many_a = np.flatnonzero((size_a[of_a] > 1) & (size_b[of_a] > 1))
+    many_b = np.flatnonzero((size_a[of_b] > 1) & (size_b[of_b] > 1))
+    closing = np.union1d(ends_a[many_a], ends_b[many_b])
+    left.append(many_a[np.searchsorted(ends_a[many_a], closing)])
+    right.append(many_b[np.searchsorted(ends_b[many_b], closing)])
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -103,7 +100,8 @@ class Aligner:
         self.a = Pretokens(spec, classes, known, KEPT_PRETOKENS)
         self.a.tokenizer.encode_special_tokens = True
         self.a.added = []  # their strings are ordinary text here
-        self.b = Chunks(model, KEPT_CHUNKS)
+        self.b = Chunks(model)
+        self.b.table = ChunkTable(KEPT_CHUNKS, None, lambda ids: b"")  # ids alone, without their decimals
         decoder = byte_decoder()
         vocab = json.loads(spec)["model"]["vocab"]
         size = max(vocab.values()) + 1
