@@ -67,6 +67,21 @@ def recent(observations: DataFrame, now, window_days: int) -> DataFrame:
     return rows.where((F.col("observed_at") >= start) & (F.col("observed_price") > 0))
 
 
+def age_blocks(age: Column, window_days: int, half_life_days: float) -> tuple[Column, float]:
+    """The block of an age, and the days of a block; short windows are one block."""
+    block_days = float(half_life_days * BLOCK_HALVINGS)
+    if window_days / half_life_days <= BLOCK_HALVINGS:
+        return F.lit(0), block_days
+    return F.floor(age / F.lit(block_days)), block_days
+
+
+def utc(now: dt.datetime | str) -> dt.datetime:
+    """``now`` as a UTC time without zone; naive values are UTC."""
+    if isinstance(now, str):
+        now = dt.datetime.fromisoformat(now.replace("Z", "+00:00"))
+    return now.astimezone(dt.timezone.utc).replace(tzinfo=None) if now.tzinfo else now
+
+
 def price_histogram(observations: DataFrame, now, window_days: int,
                     half_life_days: float) -> DataFrame:
     """Count, decayed weight and time span of every (product, price).
@@ -77,9 +92,8 @@ def price_histogram(observations: DataFrame, now, window_days: int,
     """
     age = age_days(F.col("observed_at"), now)
     blocks = window_days / half_life_days > BLOCK_HALVINGS
-    block_days = half_life_days * BLOCK_HALVINGS
-    block = F.floor(age / F.lit(float(block_days))) if blocks else F.lit(0)
-    weight = decay_weight(age - block * F.lit(float(block_days)) if blocks else age, half_life_days)
+    block, block_days = age_blocks(age, window_days, half_life_days)
+    weight = decay_weight(age - block * F.lit(block_days) if blocks else age, half_life_days)
     kind = weight_type(window_days, half_life_days)
     return (
         recent(observations, now, window_days)
@@ -224,14 +238,24 @@ def estimate_prices(observations: DataFrame, manual: DataFrame | None = None, *,
     """
     check_settings(window_days, half_life_days, minimum_observations, estimator)
     if names is not None:
-        names = names.select(NAME).where(F.col(NAME).isNotNull()).distinct()
-        observations = observations.join(names, NAME, "left_semi")
-    hist = trimmed(price_histogram(observations, now, window_days, half_life_days),
-                   wide_products)
-    found = _summary(hist, estimator == "weighted_median", estimator == "weighted_mean",
+        observations = observations.join(_listed(names), NAME, "left_semi")
+    hist = price_histogram(observations, now, window_days, half_life_days)
+    return histogram_estimates(hist, manual, minimum_observations=minimum_observations, estimator=estimator,
+                               names=names, wide_products=wide_products)
+
+
+def _listed(names: DataFrame) -> DataFrame:
+    return names.select(NAME).where(F.col(NAME).isNotNull()).distinct()
+
+
+def histogram_estimates(hist: DataFrame, manual: DataFrame | None = None, *, minimum_observations: int = 5,
+                        estimator: str = "weighted_median", names: DataFrame | None = None,
+                        wide_products: bool = False) -> DataFrame:
+    """`estimate_prices` from a histogram in the layout of `price_histogram`."""
+    found = _summary(trimmed(hist, wide_products), estimator == "weighted_median", estimator == "weighted_mean",
                      wide_products)
     if names is not None:
-        found = names.join(found, NAME, "left")
+        found = _listed(names).join(found, NAME, "left")
     if manual is not None:
         found = found.join(
             manual.select(NAME, F.col("price").cast("bigint").alias("_manual")), NAME, "left")

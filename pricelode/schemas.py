@@ -75,6 +75,7 @@ DELIVERIES_DDL = "id bigint, delivered_at timestamp, channel string, listing_cou
 _TYPES = {
     "bigint": T.LongType(), "int": T.IntegerType(), "string": T.StringType(),
     "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(),
+    "date": T.DateType(),
 }
 
 
