@@ -235,10 +235,10 @@ def overlap_reread(marks: VersionedTable, admitted: AppendedBatches, overlap_day
                    ) -> Callable[[DataFrame, int], None]:
     """Admit rows up to an overlap behind each source's mark, once per product and fingerprint.
 
-    Rows newer than the mark of their source always count; older ones, back to the overlap, are read
-    again and dropped if the same content of the product was admitted inside the overlap, or earlier in
-    the batch; rows further back are late. Marks advance when the batch is through. ``batch``:
-    product keys, source_key, search_fingerprint, updated_at, record_no.
+    Rows further behind the mark of their source than the overlap are late. All others are read, and
+    dropped if the same content of the product was admitted by an earlier batch inside the overlap of the
+    source it came from, or stands before them in the batch. Marks advance when the batch is through.
+    ``batch``: product keys, source_key, search_fingerprint, updated_at, record_no.
     """
     keys = [*merge.PRODUCT, "search_fingerprint"]
 
@@ -258,7 +258,9 @@ def overlap_reread(marks: VersionedTable, admitted: AppendedBatches, overlap_day
         before = before.join(reach, ["marketplace", "source_key"], "left").where(
             F.col("reach").isNull() | (F.col("updated_at") >= F.col("reach"))).select(*keys).distinct()
         admitted.write(first.join(before, keys, "left_anti"), batch_id)
-        marks.write(merge.merge_watermarks(stored, changes.high_watermarks(batch)), batch_id)
+        # A batch of late rows alone must not take a mark back.
+        both = stored.unionByName(changes.high_watermarks(batch).select(*stored.columns))
+        marks.write(both.groupBy("marketplace", "source_key").agg(F.max("updated_at").alias("updated_at")), batch_id)
     return handle
 
 
