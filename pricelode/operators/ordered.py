@@ -7,8 +7,11 @@ carries the state across chunk borders, and is joined back where rows need it.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import functools
+import itertools
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -176,37 +179,101 @@ def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFr
             .withColumn(name, place + F.col("_base")).drop("_mid", "_pid", "_base"))
 
 
-def first_wins(df: DataFrame, keys: Sequence[Sequence[str]], order: Sequence[Column]) -> DataFrame:
+def component_labels(edges: DataFrame) -> DataFrame:
+    """(node, label) of every node of the edges (a, b): the least node of its connected component.
+
+    Each round hangs all neighbours of a node on its least one, from above and from below, so
+    distances shrink geometrically and the rounds are the logarithm of the longest path.
+    """
+    def state(rows: DataFrame) -> tuple:
+        return tuple(rows.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    current = cut_lineage(edges.where("a <> b").select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = None
+    while (now := state(current)) != before:
+        before = now
+        both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
+        hung = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        lowest = hung.groupBy("a").agg(F.min("b").alias("least"))
+        below = hung.join(lowest, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        current = cut_lineage(below.unionByName(lowest.select("a", F.col("least").alias("b"))).distinct())
+    labels = current.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node")
+    return labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
+
+
+def _one_round(todo: DataFrame, keys: list[list[str]]) -> tuple[DataFrame, DataFrame]:
+    """(rows that are first under all their keys, rows that none of these blocks)."""
+    state = todo
+    for i, key in enumerate(keys):
+        firsts = todo.dropna(subset=key).groupBy(*key).agg(F.min("_rank").alias(f"_first{i}"))
+        state = state.join(firsts, key, "left")
+    wins = F.lit(True)
+    for i in range(len(keys)):
+        wins = wins & F.coalesce(F.col(f"_first{i}") == F.col("_rank"), F.lit(True))
+    state = cut_lineage(state.withColumn("_wins", wins).drop(*[f"_first{i}" for i in range(len(keys))]))
+    won, rest = state.where("_wins").drop("_wins"), state.where("not _wins").drop("_wins")
+    for key in keys:
+        rest = rest.join(won.select(*key), key, "left_anti")
+    return won, cut_lineage(rest)
+
+
+def _greedy_inserts(width: int):
+    """Rows (label, row, keys) in insertion order per component: the rows that are accepted."""
+    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, taken = None, [set() for _ in range(width)]
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            out = []
+            for label, row, *values in zip(*columns, strict=True):
+                if label != held:
+                    held, taken = label, [set() for _ in range(width)]
+                if not any(v in seen for v, seen in zip(values, taken, strict=True)):
+                    out.append(row)
+                    for v, seen in zip(values, taken, strict=True):
+                        if v is not None:
+                            seen.add(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["_row"])
+    return accept
+
+
+def first_wins(df: DataFrame, keys: Sequence[Sequence[str]], order: Sequence[Column],
+               largest: int = 1_000_000) -> DataFrame:
     """Insert-or-ignore on several independent unique keys: earlier accepted rows win.
 
-    ``order`` must be total.  Rows that are first under every key are accepted, rows that
-    share a key with an accepted row are dropped, and the rest is tried again until no
-    row is left, so a dropped row never blocks another.  Null keys never conflict.
+    ``order`` must be total; null keys never conflict. Rows that are first under every key are
+    accepted and what they block is dropped. Two such rounds leave only rows that hang together in
+    chains; these are split into connected components, found in rounds that grow with the logarithm of
+    the longest chain, and each component is inserted row by row in one streaming pass. Components of
+    more than ``largest`` rows go on in rounds, so no task holds more keys than that.
     """
-    rank = F.struct(*order)
     spark_keys = [list(k) for k in keys]
-    todo = cut_lineage(df.withColumn("_rank", rank))
-    accepted: DataFrame | None = None
-    while True:
-        state = todo
-        for i, key in enumerate(spark_keys):
-            complete = F.lit(True)
-            for c in key:
-                complete = complete & F.col(c).isNotNull()
-            firsts = (todo.where(complete).groupBy(*key)
-                      .agg(F.min("_rank").alias(f"_first{i}")))
-            state = state.join(firsts, key, "left")
-        wins = F.lit(True)
-        for i in range(len(spark_keys)):
-            wins = wins & F.coalesce(F.col(f"_first{i}") == F.col("_rank"), F.lit(True))
-        state = state.withColumn("_wins", wins).drop(*[f"_first{i}"
-                                                       for i in range(len(spark_keys))])
-        state = cut_lineage(state)
-        won = state.where("_wins").drop("_wins")
-        rest = state.where("not _wins").drop("_wins")
-        accepted = won if accepted is None else accepted.unionByName(won)
-        for key in spark_keys:
-            rest = rest.join(won.select(*key), key, "left_anti")
-        todo = cut_lineage(rest)
+    todo = cut_lineage(df.withColumn("_rank", F.struct(*order)))
+    accepted: list[DataFrame] = []
+    for step in itertools.count():
+        won, todo = _chained(todo, spark_keys, largest) if step == 2 else _one_round(todo, spark_keys)
+        accepted.append(won)
         if todo.isEmpty():
-            return accepted.drop("_rank").select(*df.columns)
+            return functools.reduce(DataFrame.unionByName, accepted).select(*df.columns)
+
+
+def _chained(todo: DataFrame, keys: list[list[str]], largest: int) -> tuple[DataFrame, DataFrame]:
+    """(accepted rows of all components of at most ``largest`` rows, rows of the other components)."""
+    rows = cut_lineage(todo.withColumn("_row", F.monotonically_increasing_id()))
+    linked = rows
+    for i, key in enumerate(keys):  # the least row of a key stands for the key
+        firsts = rows.dropna(subset=key).groupBy(*key).agg(F.min("_row").alias(f"_key{i}"))
+        linked = linked.join(firsts, key, "left")
+    names = [f"_key{i}" for i in range(len(keys))]
+    linked = cut_lineage(linked)
+    edges = linked.select(F.col("_row").alias("a"), F.explode(F.array(*names)).alias("b")).where("b IS NOT NULL")
+    labels = component_labels(edges)
+    marked = linked.join(labels, linked["_row"] == labels["node"], "left").withColumn("_label", F.coalesce("label", "_row"))
+    marked = cut_lineage(marked.drop("node", "label"))
+    big = marked.groupBy("_label").agg(F.count("*").alias("_size")).where(F.col("_size") > largest).select("_label")
+    small = marked.join(big, "_label", "left_anti")
+    inserts = (small.repartition("_label").sortWithinPartitions("_label", "_rank").select("_label", "_row", *names)
+               .mapInArrow(_greedy_inserts(len(keys)), "_row bigint"))
+    won = cut_lineage(small.join(inserts, "_row", "left_semi").drop("_row", "_label", *names))
+    return won, cut_lineage(marked.join(big, "_label", "left_semi").drop("_row", "_label", *names))

@@ -27,6 +27,32 @@ def test_first_wins_matches_sequential_inserts(spark):
     assert got == _greedy(rows)
 
 
+def test_long_conflict_chains_take_few_rounds(spark, monkeypatch):
+    """Each row of a chain shares one key with the next: 1,000 links, and rows are accepted in turn."""
+    rows = [(i, (i + 1) // 2, i // 2 + 5000) for i in range(1001)] + [(5000 + k, 9000 + k // 2, None) for k in range(6)]
+    df = spark.createDataFrame(rows, "i int, x int, y int").repartition(4)
+    rounds = []
+    inner = ordered.cut_lineage
+    monkeypatch.setattr(ordered, "cut_lineage", lambda rows: rounds.append(1) or inner(rows))
+    for largest in (10_000, 3):  # with a small bound, the chain is too large and goes on in rounds
+        if largest == 3:
+            rows = rows[:40] + rows[-6:]
+            df = spark.createDataFrame(rows, "i int, x int, y int").repartition(4)
+        got = sorted(r["i"] for r in ordered.first_wins(df, [["x"], ["y"]], [F.col("i")], largest).collect())
+        assert got == _greedy(rows)
+        if largest != 3:
+            assert len(rounds) <= 24
+
+
+def test_component_labels(spark):
+    edges = [(k, k + 1) for k in range(300) if k % 50] + [(7, 7), (1000, 900), (900, 950)]
+    got = {r.node: r.label for r in ordered.component_labels(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    want = {}
+    for k in range(1, 301):
+        want[k] = (k - 1) // 50 * 50 + 1
+    assert got == want | {1000: 900, 950: 900, 900: 900}
+
+
 def test_cut_after_run_crosses_chunks(spark):
     rng = random.Random(11)
     rows = [(k, i, rng.random() < 0.6) for k in range(12) for i in range(rng.randint(1, 40))]
