@@ -170,6 +170,16 @@ def cards(spark, sf_dir):
                       "description")
 
 
+def rejected_pages(spark, sf_dir):
+    """Stored pages with a listing link each, some with markup that no parser takes."""
+    p = c.table(spark, sf_dir, "pages")
+    broken = F.when(F.col("page_id") % 3 == 0, "<![x]]>").when(F.col("page_id") % 3 == 1, "<![ x").otherwise("")
+    rows = p.select("page_id", "url", F.concat(F.lit('<a href="/articles/1">x</a>'), broken, "html").alias("html"),
+                    F.lit("index").alias("source_type"), F.lit("").alias("default_location"))
+    return pg.page_rejects(pg.link_facts(rows)).select(
+        "page_id", "url", F.substring_index("reject", ":", 1).alias("reject"))
+
+
 def descriptions(spark, sf_dir):
     """Item-list descriptions written into the stored pages, two blocks per page, one malformed."""
     p = c.table(spark, sf_dir, "pages")
@@ -199,7 +209,7 @@ QUERIES = {
     "stream_change_detection": change_detection, "stream_lifecycle": transitions,
     "stream_watermarks": watermarks, "stream_price_refresh": price_refresh,
     "stream_backfill": backfill, "stream_duplicates": duplicates, "stream_alerts": alerts,
-    "stream_work_queue": queue, "html_cards": cards, "page_descriptions": descriptions,
+    "stream_work_queue": queue, "html_cards": cards, "page_rejects": rejected_pages, "page_descriptions": descriptions,
     "meta_descriptions": meta,
 }
 
@@ -249,6 +259,7 @@ d AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) AS position, url, title, price,
   location, split_part(url, '/', -2) AS listing_id, '' AS description FROM d
 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY k) <= 5""",
+    "page_rejects": """SELECT page_id, url, 'unreadable markup' AS reject FROM pages WHERE page_id % 3 < 2""",
     "page_descriptions": """SELECT page_id, 'https://www.example.com/kr/buy-sell/p-' || page_id
   || '/' AS url, 'text of ' || url AS description FROM pages""",
     "meta_descriptions": """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'a & b ' || page_id

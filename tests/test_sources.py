@@ -63,6 +63,18 @@ def test_cards_and_descriptions(spark):
     assert pages.meta_descriptions(df).first()["description"] == "page text"
 
 
+def test_unreadable_pages_are_rejected_and_the_rest_is_read(spark):
+    link = '<li><a href="/articles/9"><h3>Card</h3></a><span>7원</span></li>'
+    rows = [(1, link), (2, link + "<![x]]>"), (3, "<![ x" + link), (4, '<a href="/articles/1">' * 5000 + link), (5, None),
+            (6, "<p>no link <![x]]>"), (7, '<a href="http://[bad/articles/1">x</a>'), (8, link + "<p>" * 5000)]
+    df = spark.createDataFrame([(k, "https://www.example.com/x", html, "index", "Home") for k, html in rows],
+                               "page_id bigint, url string, html string, source_type string, default_location string")
+    facts = pages.link_facts(df)
+    rejects = {r["page_id"]: r["reject"].split(":")[0] for r in pages.page_rejects(facts).collect()}
+    assert rejects == {2: "unreadable markup", 3: "unreadable markup", 4: "links nested too deep", 7: "unreadable link"}
+    assert [r["page_id"] for r in pages.listing_cards(df, facts=facts).orderBy("page_id").collect()] == [1, 8]
+
+
 GOOD = {"normalized_product_name": "RTX 3070", "exact_product": True, "condition": "normal",
         "confidence": 0.95, "reason": "ok", "scope": "standalone", "sale_status": "active",
         "model_mismatch": False, "price_bait": False, "hidden_price_condition": False,
