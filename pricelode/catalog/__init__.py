@@ -1,8 +1,8 @@
 """Registered queries over the shared test tables, each with its comparison SQL."""
 
-from . import changes, deals, estimates, maintenance, quality, streams, texts, timed_streams, verdicts
+from . import changes, deals, estimates, maintenance, quality, scans, streams, texts, timed_streams, verdicts
 
-_FAMILIES = (estimates, deals, texts, changes, maintenance, verdicts, quality, streams, timed_streams)
+_FAMILIES = (estimates, deals, texts, changes, maintenance, verdicts, quality, streams, timed_streams, scans)
 
 
 def all_queries() -> dict:

@@ -61,6 +61,18 @@ def cached_verdict(listings: DataFrame, verdicts: DataFrame, model: str, effort:
     return rows.join(newest, keys, "left").select(*rows.columns, "verdict")
 
 
+def failed_attempts(waiting: DataFrame, verdicts: DataFrame, model: str, effort: str, version: str) -> DataFrame:
+    """Rows without a usable verdict whose newest attempt on the same content failed.
+
+    ``waiting``: product keys and classification_fingerprint.
+    """
+    keys = [*PRODUCT, "classification_fingerprint"]
+    tried = verdicts.where((F.col("model") == model) & (F.col("reasoning_effort") == effort)
+                           & (F.col("classifier_version") == version))
+    failed = latest_per_key(tried, keys, "id", ["success"]).where(~F.col("success")).select(*keys)
+    return waiting.join(failed, keys, "left_semi")
+
+
 def apply_verdicts(listings: DataFrame, threshold: float,
                    failure: Column | str = fixed.VERDICT_REASONS["failed"]) -> DataFrame:
     """Project listings through their ``verdict`` struct; null verdicts fail closed."""

@@ -15,7 +15,7 @@ from ..operators import changes, deals, estimator, merge, quality, verdict_flow
 from ..operators.ordered import beside
 from ..schemas import LISTING_DEFAULTS, LISTINGS, conform
 from ..session import stage_table
-from ..sources import search
+from ..sources import search, tables
 from .settings import Settings
 
 
@@ -30,6 +30,7 @@ class ScanResult:
     deals: DataFrame
     counters: DataFrame
     watermarks: DataFrame
+    metrics: DataFrame
     anomaly: DataFrame
 
 
@@ -126,8 +127,67 @@ def run_scan(payloads: DataFrame, details: DataFrame, listings: DataFrame,
     metrics = counters.agg(
         F.coalesce(F.sum("records_fetched"), F.lit(0)).alias("search_records"),
         F.coalesce(F.sum("price_observations"), F.lit(0)).alias("valid_observations"))
-    metrics = beside(metrics, quality.prior_valid_observations(runs), judged_rows.agg(
-        F.count("*").alias("ai_candidates"), F.lit(0).alias("ai_failures"),
-        F.lit(0).alias("parsing_anomalies")))
+    failures = verdict_flow.failed_attempts(waiting, verdicts, settings.model, settings.effort, settings.classifier_version)
+    unread = payloads.where(F.col("payload").isNotNull() & F.try_parse_json("payload").isNull())
+    metrics = beside(metrics, quality.prior_valid_observations(runs), judged_rows.agg(F.count("*").alias("ai_candidates")),
+                     failures.agg(F.count("*").alias("ai_failures")), unread.agg(F.count("*").alias("parsing_anomalies")))
+    metrics = stage_table(metrics, "scan-metrics")
     return ScanResult(rows, processed, stored, fresh, waiting, estimates, found, counters, marks,
-                      quality.assess_anomalies(moves, metrics))
+                      metrics, quality.assess_anomalies(moves, metrics))
+
+
+@dataclass(frozen=True)
+class ScanReview:
+    reviewed: DataFrame
+    passed: DataFrame
+    log: DataFrame
+
+
+def review_scan(result: ScanResult, details: DataFrame, reviews: DataFrame, settings: Settings) -> ScanReview:
+    """Second review of a scan's deals on their current details.
+
+    ``passed`` is empty when the scan's anomaly calls for a halt; the review log is kept either way.
+    """
+    reviewed = verdict_flow.review_gate(
+        result.deals, details, reviews, minimum_discount_percent=settings.minimum_discount_percent,
+        threshold=settings.review_threshold, model=settings.model, effort=settings.effort)
+    reviewed = stage_table(reviewed, "scan-reviewed")
+    halt = stage_table(result.anomaly, "scan-anomaly")
+    # One row: a scan either halts or it doesn't.
+    halted = bool(halt.first()["safety_halt"])
+    return ScanReview(reviewed, reviewed.where(F.col("passed") & ~F.lit(halted)),
+                      verdict_flow.review_record(reviewed, settings.model, settings.effort))
+
+
+@dataclass(frozen=True)
+class ScanClosed:
+    sent: DataFrame
+    listings: DataFrame
+    delivery: DataFrame
+    run: DataFrame
+
+
+def close_scan(result: ScanResult, review: ScanReview, send: Callable[[DataFrame], None], *, now,
+               channel: str = "email") -> ScanClosed:
+    """Deliver what passed, mark it, and write the delivery's and the run's log rows.
+
+    Deals that were notified before aren't sent again. ``send`` is called once, with a stored table, and
+    only if there is something to send; an error of it is raised before any state changes. A halted scan
+    sends nothing, and its run says so.
+    """
+    pending = merge.notification_candidates(review.passed, result.listings)
+    columns = [c for c in pending.columns if c != "first_seen_at"]
+    pending = stage_table(pending.select(*columns), "scan-pending")
+    count = pending.count()
+    listings = result.listings
+    if count:
+        send(pending)
+        listings = merge.mark_notified(listings, pending, now)
+    at = instant(now)
+    totals = beside(result.metrics, result.anomaly)
+    delivery = pending.agg(F.count("*").alias("listing_count")).where("listing_count > 0").select(
+        F.lit(channel).alias("channel"), at.alias("delivered_at"), "listing_count")
+    run = totals.select(
+        at.alias("completed_at"), F.lit("success").alias("status"), "search_records", "valid_observations", "ai_candidates",
+        "ai_failures", "safety_halt", F.array_join("reasons", ",").alias("detail"))
+    return ScanClosed(pending, listings, tables.delivery_rows(delivery)[0], tables.run_rows(run))
