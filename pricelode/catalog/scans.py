@@ -12,14 +12,14 @@ from ..operators.estimator import NAME
 from ..plans import jobs, scan
 from ..plans.settings import Settings
 from ..schemas import LISTING_DEFAULTS, LISTINGS, OBSERVATIONS, RUNS, VERDICT_LOG, conform, table_schema
-from ..session import fresh_path
+from ..session import fresh_path, stage_table
 from ..sources import search, tables
 from . import common as c
 from . import maintenance
 
 NOW = "2024-02-01T00:00:00Z"
 SETTINGS = Settings(model="m", effort="e", classifier_version="v", record_limit=None)
-SOURCES = 7
+SOURCES = 3
 TITLES = ("RTX 3070", "RTX 3060 Ti")
 
 
@@ -39,7 +39,7 @@ def _records(spark, sf_dir):
 
 
 def payloads(spark, sf_dir):
-    """Search pages of sixty records each, dealt to seven sources; purchases are sold, errors are advertisements."""
+    """Search pages of sixty records each, dealt to three sources; purchases are sold, errors are advertisements."""
     record = F.struct(
         F.lit("PRODUCT").alias("type"), (F.col("event_type") == "error").alias("ad"), F.col("record_no").alias("pid"),
         F.col("title").alias("name"), _price().cast("string").alias("price"),
@@ -97,8 +97,9 @@ def second_verdicts(deals):
 
 def _scanned(spark, sf_dir, halting: bool):
     """(result, details, log of sent tables) of one scan; a halting one finds all prices fallen and most attempts failed."""
-    pages, found = payloads(spark, sf_dir), details(spark, sf_dir)
-    log = verdicts(spark, sf_dir, pages, found, 9 if halting else 2)
+    pages = stage_table(payloads(spark, sf_dir), "payloads")
+    found = stage_table(details(spark, sf_dir), "details")
+    log = stage_table(verdicts(spark, sf_dir, pages, found, 9 if halting else 2), "verdicts")
     stored = spark.createDataFrame([], LISTINGS)
     if halting:
         rows, _ = scan.candidates_of(pages, SETTINGS)

@@ -80,8 +80,8 @@ def run_scan(payloads: DataFrame, details: DataFrame, listings: DataFrame,
     rows, judged = candidates_of(payloads, settings)
     if settings.record_limit is not None:
         rows = changes.limit_per_source(rows, settings.record_limit)
-    rows = changes.candidate_state(rows, listings, verdicts)
-    # The state of every record is read by several outputs; store it once.
+    # Payloads are parsed once, not once a source; what the sources keep is read by several outputs.
+    rows = stage_table(changes.candidate_state(rows, listings, verdicts), "scan-candidates")
     rows = stage_table(read_sources(rows, payloads, watermarks, settings.overlap_pages), "scan-records")
 
     todo = rows.where(~F.col("duplicate") & (F.col("state") != "unchanged"))
@@ -104,8 +104,8 @@ def run_scan(payloads: DataFrame, details: DataFrame, listings: DataFrame,
 
     stored = merge.merge_processed(listings, processed.drop("normalized_name"), now)
     wanted = changes.should_observe(processed, observations, "normalized_name")
-    fresh = merge.observe(wanted.where("should_observe"), stored, observations,
-                          "normalized_name", instant(now))
+    fresh = stage_table(merge.observe(wanted.where("should_observe"), stored, observations,
+                                      "normalized_name", instant(now)), "scan-observations")
     evidence = observations.unionByName(fresh, allowMissingColumns=True)
     estimates = estimator.estimate_prices(
         evidence, manual, now=now, names=deals.reference_names(processed),
