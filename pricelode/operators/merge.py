@@ -34,6 +34,10 @@ CLASSIFICATION = ["condition_status", "ai_is_computer_part", "ai_normalized_prod
                   "ai_usable_for_market_price"]
 
 
+#: Of several changes of one product the newest counts.
+NEWEST = ("updated_at", "id")
+
+
 def old(column: str) -> Column:
     return F.col(f"t.{column}")
 
@@ -42,22 +46,47 @@ def new(column: str) -> Column:
     return F.col(f"s.{column}")
 
 
+def one_per_key(source: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """The last row of every key by ``order``, ties by a hash of the row; rows with a null key stay as they are.
+
+    The aggregate is partitioned by the keys, as the merge's join is, so it costs no shuffle of its own.
+    """
+    whole = F.lit(True)
+    for key in keys:
+        whole = whole & F.col(key).isNotNull()
+    rest = [c for c in source.columns if c not in keys]
+    if not rest:
+        return source.where(whole).distinct().unionByName(source.where(~whole))
+    last = F.max_by(F.struct(*rest), F.struct(*order, F.xxhash64(*rest)))
+    kept = source.where(whole).groupBy(*keys).agg(last.alias("_row")).select(
+        *keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest]).select(*source.columns)
+    return kept.unionByName(source.where(~whole))
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
            matched: Mapping[str, Column], missing: Mapping[str, Column] | None,
            extra: Mapping[str, Column] | None = None,
-           guard: Column | None = None) -> DataFrame:
+           guard: Column | None = None, insert_if: Column | None = None,
+           order: Sequence[str] | None = None) -> DataFrame:
     """Target rows with ``matched`` columns replaced where the source has the key.
 
-    ``missing`` builds rows for unknown keys (None = unknown keys are ignored); ``guard``
-    limits which matched rows change.  Null keys never match.
+    ``missing`` builds rows for unknown keys (None = unknown keys are ignored), ``insert_if`` limits
+    which; ``guard`` limits which matched rows change.  Null keys never match.  The target is read once,
+    by one join on its own key columns, so a target that is stored bucketed by them isn't shuffled.
+    Of several source rows of a key the last by ``order`` counts; without ``order`` the caller gives
+    one row a key.
     """
-    t = target.select(F.struct(*target.columns).alias("t"))
-    s = source.select(F.struct(*source.columns).alias("s"))
+    if order is not None:
+        source = one_per_key(source, keys, [c for c in order if c in source.columns])
+    t = target.select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)], F.struct(*target.columns).alias("t"))
+    s = source.select(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(keys)], F.struct(*source.columns).alias("s"))
     on = F.lit(True)
-    for key in keys:
-        on = on & (old(key) == new(key))
+    for i in range(len(keys)):
+        on = on & (F.col(f"_t{i}") == F.col(f"_s{i}"))
     joined = t.join(s, on, "left" if missing is None else "full_outer")
     has_t, has_s = F.col("t").isNotNull(), F.col("s").isNotNull()
+    if insert_if is not None:
+        joined = joined.where(has_t | insert_if)
     change = has_s if guard is None else has_s & guard
     out = []
     for name in target.columns:
@@ -121,17 +150,14 @@ def merge_processed(listings: DataFrame, processed: DataFrame, now) -> DataFrame
     matched.update(_lifecycle(now, processed))
     matched["notified_at"] = F.when(~F.coalesce(dropped, F.lit(False)), old("notified_at"))
     columns = [*PRODUCT, *CONTENT, *PRICING]
-    known = listings.select(*PRODUCT).distinct()
-    fresh = todo.where(F.col("state") == "new")
-    changed = todo.where(F.col("state") != "new").join(known, PRODUCT, "left_semi")
-    return upsert(listings, fresh.unionByName(changed), PRODUCT, matched,
-                  _inserted(now, processed, columns), guard=new("state") != "new")
+    return upsert(listings, todo, PRODUCT, matched, _inserted(now, processed, columns),
+                  guard=new("state") != "new", insert_if=new("state") == "new", order=NEWEST)
 
 
 def merge_backfill(listings: DataFrame, incoming: DataFrame, now) -> DataFrame:
     """Store backfill rows; notification, lifecycle and effective price stay as they are."""
     return upsert(listings, incoming, PRODUCT, {c: new(c) for c in CONTENT},
-                  _inserted(now, incoming, [*PRODUCT, *CONTENT, *PRICING]))
+                  _inserted(now, incoming, [*PRODUCT, *CONTENT, *PRICING]), order=NEWEST)
 
 
 def merge_backlog(listings: DataFrame, incoming: DataFrame, now) -> DataFrame:
@@ -139,7 +165,7 @@ def merge_backlog(listings: DataFrame, incoming: DataFrame, now) -> DataFrame:
     matched = {c: new(c) for c in [*CONTENT, *PRICING]}
     matched.update(_lifecycle(now, incoming, keep_given=False))
     return upsert(listings, incoming, PRODUCT, matched, None,
-                  guard=old("notified_at").isNull())
+                  guard=old("notified_at").isNull(), order=NEWEST)
 
 
 def merge_repair(listings: DataFrame, repaired: DataFrame) -> DataFrame:
@@ -166,7 +192,7 @@ def merge_checks(listings: DataFrame, checks: DataFrame, now) -> DataFrame:
         .otherwise(old("first_sold_seen_at")),
     }
     became = (old("listing_status") == "active") & (new("listing_status") == "sold")
-    return upsert(listings, checks, PRODUCT, matched, None, extra={"became_sold": became})
+    return upsert(listings, checks, PRODUCT, matched, None, extra={"became_sold": became}, order=NEWEST)
 
 
 def mark_unavailable(listings: DataFrame, failures: DataFrame, now) -> DataFrame:
@@ -177,7 +203,7 @@ def mark_unavailable(listings: DataFrame, failures: DataFrame, now) -> DataFrame
                 "ai_sale_status": F.lit("unknown"), "ai_usable_for_market_price": F.lit(False),
                 "ai_usable_price": F.lit(False)}
     return upsert(listings, gone, PRODUCT, {"listing_status": F.lit("unavailable")},
-                  {**defaults, **_inserted(now, gone, [*PRODUCT, *CONTENT, *PRICING])})
+                  {**defaults, **_inserted(now, gone, [*PRODUCT, *CONTENT, *PRICING])}, order=NEWEST)
 
 
 def error_category(http_status: Column, exception_type: Column) -> Column:

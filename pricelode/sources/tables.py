@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +39,39 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+class BucketedTable:
+    """A table in generations, bucketed and sorted by its keys, so that merges join it where it lies.
+
+    Each generation is a saved table of the session's warehouse. A merge reads the newest one by buckets,
+    shuffles its changes alone, and writes the next one task by bucket; a failed merge leaves no
+    generation behind that a reader would take, and `drop_before` removes old ones.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, keys: Sequence[str], buckets: int):
+        self.spark, self.name, self.keys, self.buckets = spark, name, list(keys), buckets
+
+    def _table(self, generation: int) -> str:
+        return f"{self.name}_g{generation}"
+
+    def read(self, generation: int) -> DataFrame:
+        return self.spark.table(self._table(generation))
+
+    def write(self, df: DataFrame, generation: int) -> None:
+        (df.write.mode("overwrite").bucketBy(self.buckets, *self.keys).sortBy(*self.keys).format("parquet")
+         .saveAsTable(self._table(generation)))
+
+    def merge(self, generation: int, step: Callable[[DataFrame], DataFrame]) -> int:
+        """Write ``step`` of a generation (one of `operators.merge`) as the next one; returns its number."""
+        self.write(step(self.read(generation)), generation + 1)
+        return generation + 1
+
+    def drop_before(self, generation: int) -> None:
+        for (name,) in self.spark.sql("SHOW TABLES").select("tableName").collect():
+            number = name.removeprefix(f"{self.name.lower()}_g")
+            if number != name and number.isdigit() and int(number) < generation:
+                self.spark.sql(f"DROP TABLE {name}")
+
+
 def run_rows(runs: DataFrame) -> DataFrame:
     """Pipeline runs in log layout; the detail text is cut to 2,000 characters."""
     return conform(runs, RUNS, {"detail": "", "safety_halt": False}).withColumn(
