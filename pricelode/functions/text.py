@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -82,6 +82,11 @@ def replaced(text: Column, pattern: str, by: str) -> Column:
     return F.regexp_replace(text, F.lit(_DIALECT + pattern), F.lit(by))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is evaluated once, however often ``then`` reads it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def squeezed(text: Column) -> Column:
     return F.trim(replaced(text, r"\s+", " "))
 
@@ -197,12 +202,16 @@ def condition_from_folded(text: Column, description: Column,
     table = fixed.CONDITION_RULES if rules is None else check_rules(rules)
     for pattern in table["normal_overrides"]:
         text = replaced(text, f"(?i){pattern}" if re.search("[A-Z]", pattern) else pattern, " ")
-    described = F.coalesce(squeezed(description) != "", F.lit(False))
+    described = F.coalesce(description.rlike(_DIALECT + r"\S"), F.lit(False))
     seen = inspected if isinstance(inspected, Column) else F.lit(inspected)
-    chain = F.when(F.lit(False), F.lit(None).cast("string"))
-    for group in ("broken", "risky", "unknown"):
-        chain = chain.when(any_of(text, table[group]), F.lit(group))
-    return chain.when(seen & described, "normal").otherwise("unknown")
+
+    def group(cleaned: Column) -> Column:
+        chain = F
+        for name in ("broken", "risky", "unknown"):
+            chain = chain.when(any_of(cleaned, table[name]), F.lit(name))
+        return chain
+
+    return F.coalesce(once(text, group), F.when(seen & described, "normal").otherwise("unknown"))
 
 
 # --- scope -----------------------------------------------------------------

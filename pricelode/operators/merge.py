@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import fixed
 from ..functions.text import (
@@ -49,17 +50,16 @@ def new(column: str) -> Column:
 def one_per_key(source: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """The last row of every key by ``order``, ties by a hash of the row; rows with a null key stay as they are.
 
-    The aggregate is partitioned by the keys, as the merge's join is, so it costs no shuffle of its own.
+    Ranks need the partitioning and sort that the merge's join needs anyway, and only the best row of
+    a key leaves a task, so a key with very many rows is reduced before the shuffle.
     """
     whole = F.lit(True)
     for key in keys:
         whole = whole & F.col(key).isNotNull()
     rest = [c for c in source.columns if c not in keys]
-    if not rest:
-        return source.where(whole).distinct().unionByName(source.where(~whole))
-    last = F.max_by(F.struct(*rest), F.struct(*order, F.xxhash64(*rest)))
-    kept = source.where(whole).groupBy(*keys).agg(last.alias("_row")).select(
-        *keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest]).select(*source.columns)
+    last = [*(F.col(c).desc_nulls_last() for c in order), F.xxhash64(*rest).desc()] if rest else [F.lit(0)]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*last))
+    kept = source.where(whole).withColumn("_place", place).where("_place = 1").drop("_place")
     return kept.unionByName(source.where(~whole))
 
 
