@@ -45,14 +45,22 @@ def reference_names(listings: DataFrame) -> DataFrame:
     return comparable_listings(listings).select(F.col("normalized_name").alias(NAME)).distinct()
 
 
+def left_join_named(rows: DataFrame, facts: DataFrame, name: str, on: str) -> DataFrame:
+    """Left join on a product name that many rows lack: those are dealt out under keys that match nothing.
+
+    ``facts`` has the name as ``on``; a null key would send all unnamed rows to one task.
+    """
+    nothing = F.concat(F.lit("\0"), (F.xxhash64(*rows.columns) % 4096).cast("string"))
+    keyed = rows.withColumn("_name_key", F.coalesce(F.col(name), nothing))
+    return keyed.join(facts.where(F.col(on).isNotNull()).withColumnRenamed(on, "_name_key"), "_name_key", "left").drop("_name_key")
+
+
 def audit_rows(listings: DataFrame, estimates: DataFrame,
                minimum_discount_percent: float) -> DataFrame:
     """Final pricing decision of every classified listing."""
     named = listings.withColumn("normalized_name", comparable_name())
-    joined = named.join(
-        estimates.select(F.col(NAME).alias("normalized_name"),
-                         F.col("price").alias("_estimate"), F.col("automatic").alias("_auto")),
-        "normalized_name", "left")
+    joined = left_join_named(named, estimates.select(
+        NAME, F.col("price").alias("_estimate"), F.col("automatic").alias("_auto")), "normalized_name", NAME)
     compared = F.col("normalized_name").isNotNull()
     priced = compared & F.col("_estimate").isNotNull()
     discount = ((F.col("_estimate") - F.col("effective_price")).cast("double")

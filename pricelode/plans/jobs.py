@@ -136,10 +136,8 @@ def backlog_digest(listings: DataFrame, details: DataFrame, observations: DataFr
     names = marked.where("_ok").select(F.col("ai_normalized_product_name").alias(NAME))
     estimates = stage_table(estimator.estimate_prices(
         observations, manual, now=now, names=names, **settings.estimation()), "backlog-prices")
-    priced = marked.join(
-        estimates.select(F.col(NAME).alias("ai_normalized_product_name"),
-                         F.col("price").alias("_reference")),
-        "ai_normalized_product_name", "left")
+    priced = deals.left_join_named(marked, estimates.select(NAME, F.col("price").alias("_reference")),
+                                   "ai_normalized_product_name", NAME)
     base = F.coalesce(F.nullif("effective_price", F.lit(0)), "price")
     gate = (F.when(~F.col("_ok"), "stored_first_stage_ineligible")
             .when(F.col("_reference").isNull(), "no_trusted_reference_price")

@@ -1,3 +1,4 @@
+import dataclasses
 import datetime as dt
 import json
 
@@ -5,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricelode.catalog.common import TEXTS  # noqa: F401
-from pricelode.functions.prints import classification_fingerprint
-from pricelode.operators import lifecycle, merge
+from pricelode.catalog import scans
+from pricelode.functions.prints import classification_fingerprint, review_fingerprint
+from pricelode.operators import deals, lifecycle, merge
 from pricelode.plans import jobs, scan
 from pricelode.plans.settings import Settings
 from pricelode.schemas import (
@@ -104,6 +106,59 @@ def test_scan_end_to_end(spark):
     assert third.processed.count() == 0
 
 
+def _deal_scan(spark, halting):
+    """A scan with one deal among six verdicts, whose stored prices were far higher if it must halt."""
+    records = [(i, 200_000 if i == 1 else 300_000, "2026-01-09T02:00:00Z") for i in range(1, 7)]
+    payloads = spark.createDataFrame([("a", 0, 0, _payload(records))], "source_key string, source_order int, "
+                                                                       "page_no bigint, payload string")
+    details = spark.createDataFrame([(str(i), "RTX 3070", "정상 작동 RTX 3070", p, "SELLING", None) for i, p, _ in records],
+                                    "product_id string, name string, description string, price bigint, saleStatus string, status string")
+    stored = _listings(spark, [_listing(i, price=4 * p, ai_is_computer_part=True) for i, p, _ in records]) if halting \
+        else spark.createDataFrame([], LISTINGS)
+    runs = spark.createDataFrame([(1, AT, "success", 9, 100, 9, 0, False, "")], RUNS)
+    runs = runs if halting else runs.limit(0)
+    tables = (spark.createDataFrame([], OBSERVATIONS), spark.createDataFrame([], VERDICT_LOG),
+              spark.createDataFrame([], table_schema("marketplace string, source_key string, updated_at timestamp")))
+    options = dict(now=NOW, settings=SETTINGS)
+    first = scan.run_scan(payloads, details, stored, tables[0], tables[1], tables[2], None, runs, **options)
+    log = _verdict_log(spark, first.processed.withColumn("id", F.col("product_id").cast("bigint")))
+    return scan.run_scan(payloads, details, stored, tables[0], log, tables[2], None, runs, **options), details
+
+
+@pytest.mark.parametrize("halting", [False, True])
+def test_scan_ends_in_halt_review_and_once_only_delivery(spark, halting):
+    result, details = _deal_scan(spark, halting)
+    reviews = scans.second_verdicts(result.deals.withColumn("product_id", F.lit("4"))).withColumn("product_id", F.lit("1"))
+    reviews = reviews.withColumn("review_fingerprint", F.lit(result.deals.select(review_fingerprint()).first()[0]))
+    reviews = reviews.withColumns({"model": F.lit("m"), "reasoning_effort": F.lit("e")})
+    review = scan.review_scan(result, details, reviews, SETTINGS)
+    assert [(r.product_id, r.review_status) for r in review.reviewed.collect()] == [("1", "approved")]
+    assert review.log.first()["success"] is True
+    assert review.passed.count() == (0 if halting else 1)
+    sent = []
+
+    def broken(rows):
+        raise OSError("down")
+
+    if not halting:
+        with pytest.raises(OSError):
+            scan.close_scan(result, review, broken, now=NOW)
+    closed = scan.close_scan(result, review, lambda rows: sent.append([r.product_id for r in rows.collect()]), now=NOW)
+    assert sent == ([] if halting else [["1"]])
+    assert closed.listings.where("notified_at IS NOT NULL").count() == len(sent) == closed.delivery.count()
+    run = closed.run.first()
+    assert (run.safety_halt, run.detail, run.search_records) == (halting, "valid_observations_collapsed" if halting else "", 6)
+    again = scan.close_scan(dataclasses.replace(result, listings=closed.listings), review, sent.append, now=NOW)
+    assert again.sent.count() == 0 and len(sent) == (0 if halting else 1)
+
+
+def test_unnamed_rows_are_dealt_out_and_keep_no_price(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, None), (4, "b")], "id int, name string")
+    facts = spark.createDataFrame([("a", 5), (None, 6)], "n string, price int")
+    got = {r.id: (r.name, r.price) for r in deals.left_join_named(rows, facts, "name", "n").collect()}
+    assert got == {1: ("a", 5), 2: (None, None), 3: (None, None), 4: ("b", None)}
+
+
 def test_price_drop_reopens_and_rise_does_not(spark):
     stored = _listings(spark, [_listing(1, notified_at=AT), _listing(2, notified_at=AT)])
     new = stored.withColumns({
