@@ -64,7 +64,7 @@ latest AS (SELECT * FROM stored QUALIFY row_number() OVER (
 
 
 def _verdicts(spark, sf_dir):
-    return c.event_records(spark, sf_dir).where(F.pmod("record_no", F.lit(3)) == 1).select(
+    return c.elsewhere(c.event_records(spark, sf_dir), F.pmod("record_no", F.lit(3)) == 1).select(
         F.col("record_no").alias("id"), "marketplace", "product_id",
         (F.pmod("record_no", F.lit(8)) != 0).alias("success"))
 

@@ -62,6 +62,11 @@ TEXTS = _combined()
 TEXT_COUNT = len(TEXTS)
 
 
+def elsewhere(rows: DataFrame, mine, key: str = "product_id") -> DataFrame:
+    """All rows, those that aren't ``mine`` under a product of another name: they take part and match nothing."""
+    return rows.withColumn(key, F.when(mine, F.col(key)).otherwise(F.concat(F.lit("other "), F.col(key))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

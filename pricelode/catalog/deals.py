@@ -42,8 +42,8 @@ def reference_estimates(spark, sf_dir):
 def _reviews(spark, sf_dir):
     o = c.table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
-    return o.where(F.pmod(key, F.lit(3)) == 0).select(
-        key.cast("string").alias("product_id"),
+    return c.elsewhere(o.withColumn("product_id", key.cast("string")), F.pmod(key, F.lit(3)) == 0).select(
+        "product_id",
         F.when(F.pmod(key, F.lit(2)) == 0, (F.pmod(key, F.lit(200)) / F.lit(200.0)))
         .alias("second_stage_confidence"),
         F.when(F.pmod(key, F.lit(5)) != 1, F.col("o_orderpriority")).otherwise("  ")

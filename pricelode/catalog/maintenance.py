@@ -174,7 +174,7 @@ obs AS (SELECT id, marketplace,
 
 
 def _verdict_versions(spark, sf_dir):
-    rows = c.listings(spark, sf_dir).where(_MOD("id", F.lit(3)) == 0)
+    rows = c.elsewhere(c.listings(spark, sf_dir), _MOD("id", F.lit(3)) == 0)
     return rows.select("id", "marketplace", "product_id", F.lit(True).alias("success"),
                        F.when(_MOD("id", F.lit(9)) == 0, "old").otherwise("v6")
                        .alias("classifier_version"))
@@ -280,11 +280,11 @@ def recovered(spark, sf_dir):
 
 
 def finished(spark, sf_dir):
-    results = c.listings(spark, sf_dir).where(_MOD("id", F.lit(4)) == 2).select(
+    results = c.elsewhere(c.listings(spark, sf_dir), _MOD("id", F.lit(4)) == 2).select(
         "marketplace", "product_id",
         F.when(_MOD("id", F.lit(5)) == 1, F.repeat(F.lit("x"), 1200)).alias("error"))
-    started = merge.start_work(_jobs(spark, sf_dir), c.listings(spark, sf_dir).where(
-        _MOD("id", F.lit(16)) == 4), c.NOW)
+    started = merge.start_work(_jobs(spark, sf_dir), c.elsewhere(
+        c.listings(spark, sf_dir), _MOD("id", F.lit(16)) == 4), c.NOW)
     return merge.finish_work(started, results, c.NOW).select(*_JOB_COLS, "completed_at")
 
 
