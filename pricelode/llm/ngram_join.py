@@ -15,11 +15,15 @@ Words are ``[^\x20\x09-\x0D]+`` in lower ASCII case; a text's set is its distinc
    band also sign for the next one. Two linked sets always share as many signatures as the smaller
    of their spares, however frequent their tokens are.
 4. Signatures held by one node only go, then nodes with fewer signatures left than any partner
-   would share with them. Among the rest, a node is first compared with the one node that most of
-   its signatures point to, then components are formed; this is done twice with other pivots. Then
-   *all* pairs that share enough signatures and aren't yet in one component are compared, so a
-   group of near copies costs a few comparisons a member and no link is lost.
-5. Comparisons are exact intersections of the whole sets, made from the two texts.
+   would share with them. Among the rest, a node is compared with one hub: of the holders that
+   most of its signatures point to, the one with the longest lists. Then components are formed; this
+   goes on with other hubs as long as enough comparisons link, so a group of near copies costs a few
+   comparisons a member.
+5. Nodes of different components that share signatures get a second prefix, over their whole sets, by
+   exact token counts among these nodes and bounds for their sizes; *all* pairs that share a token of
+   it are compared. Tokens that all members of a group hold come last there, so what isn't linked to
+   a hub meets few others, and no link is lost.
+6. Comparisons are exact intersections of the whole sets, made from the two texts.
 
 Defined cases: null and wordless texts have an empty set and are linked with nothing; rows with a
 null id keep their count, have no component and link nothing; repeated rows and equal texts share
@@ -44,6 +48,8 @@ WIDTH = 5
 CLASSES = 1 << 18
 #: A class is frequent from so many standard deviations above the mean count on.
 FREQUENT = 6
+#: Hubs are compared as long as one of so many comparisons links.
+HUB_ROUNDS = 8
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -240,13 +246,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
 
 
 def _labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Shared postings with the component of their node, of signatures that span several components."""
+    """Postings with the component of their node and the length of their list, where it spans components."""
     if labels is None:
         known = shared.withColumn("label", F.col("node"))
     else:
         known = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    spans = known.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    return known.join(spans.where("low < high").select("sig"), "sig")
+    spans = known.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"),
+                                     F.count(F.lit(1)).alias("held"), F.min("n").alias("least"))
+    return known.join(spans.where("low < high").select("sig", "held", "least"), "sig")
 
 
 def _spare(size: Column) -> Column:
@@ -260,25 +267,68 @@ def _held_twice(postings: DataFrame) -> DataFrame:
     return both.where("low < high").select("sig", "node", "n")
 
 
-def _pivot_pairs(open_: DataFrame, percent: int, highest: bool) -> DataFrame:
-    """For each node the node that most of its open signatures point to; at most one pair a node."""
-    pick = F.max if highest else F.min
-    pivots = open_.groupBy("sig").agg(pick(F.struct("label", "node", "n")).alias("p"))
-    met = open_.join(pivots, "sig").where(F.col("label") != F.col("p.label"))
+def _pivot_pairs(open_: DataFrame, tested: DataFrame | None, percent: int) -> DataFrame:
+    """For each node the hub that most of its open signatures point to; at most one pair a node.
+
+    The hub of a signature is the holder whose signatures have the longest lists together: the text
+    in the middle of a group of near copies, whose own edits share nothing, comes last.
+    """
+    score = open_.groupBy("node").agg(F.sum("held").alias("score"))
+    scored = open_.join(score, "node")
+    hubs = scored.groupBy("sig").agg(F.max(F.struct("score", "node", "label", "n")).alias("p"))
+    met = open_.join(hubs, "sig").where(F.col("label") != F.col("p.label"))
     met = met.where(_fits(F.col("n"), F.col("p.n"), percent))
-    often = met.groupBy("node", F.col("p.node").alias("pivot")).agg(F.count(F.lit(1)).alias("k"))
-    best = often.groupBy("node").agg(F.max_by("pivot", F.struct("k", "pivot")).alias("pivot"))
-    return best.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    often = met.groupBy("node", F.col("p.node").alias("hub")).agg(F.count(F.lit(1)).alias("k"))
+    often = often.withColumn("a", F.least("node", "hub")).withColumn("b", F.greatest("node", "hub"))
+    if tested is not None:
+        often = often.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    best = often.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("k", "hub")).alias("p"))
+    return best.select("p.a", "p.b").distinct()
+
+
+def _tokens(texts: DataFrame, width: int) -> DataFrame:
+    """(node, token) of the whole sets of (node, text)."""
+    def make(ids, node, doc, token):
+        return {"node": ids.take(pa.array(doc)), "token": pa.array(token.view(np.int64))}
 
+    return _scan(texts.withColumnRenamed("node", "id"), width, make, "node long, token long")
 
-def _open_pairs(open_: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """All pairs that share enough signatures, may be similar by size, and aren't in one component yet."""
-    other = open_.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-    pairs = open_.withColumnRenamed("node", "a").join(other, "sig").where(F.col("a") < F.col("b"))
-    pairs = pairs.where(F.col("label") != F.col("other")).where(_fits(F.col("n"), F.col("m"), percent))
-    enough = _spare(F.least(F.min("n"), F.min("m")))
-    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), enough.alias("enough"))
-    return pairs.where("k >= enough").select("a", "b").join(tested, ["a", "b"], "left_anti")
+
+def _shared_least(n: Column, m: Column, percent: int) -> Column:
+    """How many tokens linked sets of these sizes share at least."""
+    return F.ceil(percent * (n + m) / (100 + percent))
+
+
+def _open_pairs(open_: DataFrame, texts: DataFrame, tested: DataFrame, percent: int, width: int) -> DataFrame:
+    """All pairs of different components that may still be linked, by prefixes of exact counts.
+
+    Only nodes that keep enough signatures take part. Their whole sets are ordered by how many of
+    these nodes hold a token. A set of n tokens can miss n - ceil(6 n / 7) of a partner of its size
+    or more, and n - ceil(3 (n + m) / 7) of a smaller one, m being the least size that fits in its
+    signature lists; one token more is its prefix in either role. Linked sets share a prefix token:
+    of the prefix that ends first one token at least is in the other set, and so in its prefix.
+    """
+    near = F.min(F.greatest("least", F.ceil(F.col("n") * percent / 100))).alias("near")
+    nodes = open_.groupBy("node").agg(F.first("n").alias("n"), F.first("label").alias("label"), near,
+                                      F.count(F.lit(1)).alias("k"))
+    nodes = nodes.where(F.col("k") >= _spare(F.floor(F.col("n") * 0.75))).drop("k")
+    nodes = stage_table(nodes, "ngram-open")
+    tokens = _tokens(texts.join(nodes.select("node"), "node", "left_semi").select("node", "text"), width)
+    tokens = stage_table(tokens.join(nodes.select("node", "label"), "node"), "ngram-tokens")
+    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min("label").alias("low"),
+                                       F.max("label").alias("high"))
+    order = Window.partitionBy("node").orderBy("held", "token")
+    ranked = tokens.join(held, "token").withColumn("place", F.row_number().over(order)).where("low < high")
+    ranked = ranked.select("node", "token", "place").join(nodes, "node")
+    n = F.col("n")
+    ranked = ranked.where(F.col("place") <= n - _shared_least(n, F.col("near"), percent) + 1)
+    ranked = ranked.withColumn("small", F.col("place") <= n - _shared_least(n, n, percent) + 1)
+    prefixes = stage_table(ranked.select("token", "node", "n", "label", "small"), "ngram-prefixes")
+    one = prefixes.where("small").select("token", F.col("node").alias("x"), n.alias("m"), F.col("label").alias("other"))
+    pairs = one.join(prefixes, "token").where(F.col("label") != F.col("other"))
+    pairs = pairs.where("m < n OR m = n AND x < node").where(_fits(F.col("m"), n, percent))
+    pairs = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    return pairs.join(tested, ["a", "b"], "left_anti")
 
 
 def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -299,13 +349,17 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     texts = stage_table(_texts(docs, width, shared.select("node").distinct()), "ngram-texts")
 
     tested = labels = None
-    for step in range(3):
+    hubs = True
+    while True:
         open_ = _labelled(shared, labels)
-        pairs = _pivot_pairs(open_, percent, step == 1) if step < 2 else _open_pairs(open_, tested, percent)
+        pairs = _pivot_pairs(open_, tested, percent) if hubs else _open_pairs(open_, texts, tested, percent, width)
         found = stage_table(_verified(pairs, texts, percent, width), "ngram-tested")
         tested = found if tested is None else tested.unionByName(found)
-        links = tested.where("linked").select("a", "b")
-        labels = components(links)
+        labels = components(tested.where("linked").select("a", "b"))
+        if not hubs:
+            break
+        many, linked = found.agg(F.count(F.lit(1)), F.count_if("linked")).first()
+        hubs = linked * HUB_ROUNDS > many
     return _named(rows, labels)
 
 

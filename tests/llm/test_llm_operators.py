@@ -282,6 +282,23 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch):
         assert found == expected
 
 
+def test_ngram_join_of_a_large_near_copy_group(spark):
+    random.seed(21)
+    base = [f"w{random.randint(0, 400)}" for _ in range(90)]
+    other = base[:70] + [f"v{k}" for k in range(20)]
+    rows = []
+    for k in range(500):
+        text = list(other if k % 3 == 0 else base)
+        for _ in range(random.randint(0, 7)):
+            at = random.randrange(len(text))
+            text[at:at + random.randint(0, 1)] = random.choice(([], [f"e{random.randint(0, 40)}"]))
+        rows.append((k, " ".join(text)))
+    expected = brute_components(rows)
+    assert len({c for _, c in expected.values()}) > 20  # copies far from all others stay alone
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.id: (r.n_shingles, r.component_id) for r in nj.ngram_join(docs).collect()} == expected
+
+
 def test_prefix_signatures_always_meet():
     random.seed(9)
     rng = np.random.default_rng(9)
