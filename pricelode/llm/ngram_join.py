@@ -19,10 +19,11 @@ Words are ``[^\x20\x09-\x0D]+`` in lower ASCII case; a text's set is its distinc
    most of its signatures point to, the one with the longest lists. Then components are formed; this
    goes on with other hubs as long as enough comparisons link, so a group of near copies costs a few
    comparisons a member.
-5. Nodes of different components that share signatures get a second prefix, over their whole sets, by
-   exact token counts among these nodes and bounds for their sizes; *all* pairs that share a token of
-   it are compared. Tokens that all members of a group hold come last there, so what isn't linked to
-   a hub meets few others, and no link is lost.
+5. Of nodes of different components, those with short lists on the average are compared with *all*
+   that share enough signatures. The others get a second prefix, over their whole sets, by exact
+   token counts among them and bounds for their sizes; all pairs that share a token of it are
+   compared. Tokens that all members of a group hold come last there, so what isn't linked to a hub
+   meets few others. Both ways are exact, and no link is lost.
 6. Comparisons are exact intersections of the whole sets, made from the two texts.
 
 Defined cases: null and wordless texts have an empty set and are linked with nothing; rows with a
@@ -50,6 +51,8 @@ CLASSES = 1 << 18
 FREQUENT = 6
 #: Hubs are compared as long as one of so many comparisons links.
 HUB_ROUNDS = 8
+#: Signature lists longer than this on the average of a node give way to its second prefix.
+LONG_LIST = 16
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -300,19 +303,38 @@ def _shared_least(n: Column, m: Column, percent: int) -> Column:
 
 
 def _open_pairs(open_: DataFrame, texts: DataFrame, tested: DataFrame, percent: int, width: int) -> DataFrame:
-    """All pairs of different components that may still be linked, by prefixes of exact counts.
+    """All pairs of different components that may still be linked.
 
-    Only nodes that keep enough signatures take part. Their whole sets are ordered by how many of
-    these nodes hold a token. A set of n tokens can miss n - ceil(6 n / 7) of a partner of its size
-    or more, and n - ceil(3 (n + m) / 7) of a smaller one, m being the least size that fits in its
-    signature lists; one token more is its prefix in either role. Linked sets share a prefix token:
-    of the prefix that ends first one token at least is in the other set, and so in its prefix.
+    Only nodes that keep enough signatures take part. Those whose lists are short on the average meet
+    all holders of their signatures; pairs of the others are found by `_prefix_pairs`.
     """
     near = F.min(F.greatest("least", F.ceil(F.col("n") * percent / 100))).alias("near")
     nodes = open_.groupBy("node").agg(F.first("n").alias("n"), F.first("label").alias("label"), near,
-                                      F.count(F.lit(1)).alias("k"))
-    nodes = nodes.where(F.col("k") >= _spare(F.floor(F.col("n") * 0.75))).drop("k")
+                                      F.count(F.lit(1)).alias("k"), F.sum("held").alias("load"))
+    nodes = nodes.where(F.col("k") >= _spare(F.floor(F.col("n") * 0.75)))
+    nodes = nodes.select("node", "n", "label", "near", (F.col("load") > LONG_LIST * F.col("k")).alias("heavy"))
     nodes = stage_table(nodes, "ngram-open")
+    known = open_.select("sig", "node", "n", "label").join(nodes.select("node", "heavy"), "node")
+    light = known.where("NOT heavy").select("sig", F.col("node").alias("x"), F.col("n").alias("m"),
+                                            F.col("label").alias("other"))
+    met = light.join(known, "sig").where(F.col("label") != F.col("other")).where("heavy OR x < node")
+    met = met.where(_fits(F.col("n"), F.col("m"), percent))
+    often = met.groupBy(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).agg(
+        F.count(F.lit(1)).alias("k"), _spare(F.min(F.least("n", "m"))).alias("enough"))
+    pairs = often.where("k >= enough").select("a", "b")
+    pairs = pairs.unionByName(_prefix_pairs(nodes.where("heavy").drop("heavy"), texts, percent, width))
+    return pairs.join(tested, ["a", "b"], "left_anti")
+
+
+def _prefix_pairs(nodes: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Pairs of (node, n, label, near) that may be linked, by prefixes of their whole sets.
+
+    Sets are ordered by how many of these nodes hold a token. A set of n tokens can miss
+    n - ceil(6 n / 7) of a partner of its size or more, and n - ceil(3 (n + m) / 7) of a smaller
+    one, m = near being the least size that fits in its signature lists; one token more is its prefix
+    in either role. Linked sets share a prefix token: of the prefix that ends first one token at
+    least is in the other set, and so in its prefix.
+    """
     tokens = _tokens(texts.join(nodes.select("node"), "node", "left_semi").select("node", "text"), width)
     tokens = stage_table(tokens.join(nodes.select("node", "label"), "node"), "ngram-tokens")
     held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min("label").alias("low"),
@@ -327,8 +349,7 @@ def _open_pairs(open_: DataFrame, texts: DataFrame, tested: DataFrame, percent:
     one = prefixes.where("small").select("token", F.col("node").alias("x"), n.alias("m"), F.col("label").alias("other"))
     pairs = one.join(prefixes, "token").where(F.col("label") != F.col("other"))
     pairs = pairs.where("m < n OR m = n AND x < node").where(_fits(F.col("m"), n, percent))
-    pairs = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
+    return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
 def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
