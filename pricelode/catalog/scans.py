@@ -39,9 +39,12 @@ def _records(spark, sf_dir):
 
 
 def payloads(spark, sf_dir):
-    """Search pages of sixty records each, dealt to three sources; purchases are sold, errors are advertisements."""
+    """Search pages of sixty records each, dealt to three sources; purchases are sold, errors are advertisements.
+
+    Ids are text: a payload's number 0 is no id, and record 0 has one.
+    """
     record = F.struct(
-        F.lit("PRODUCT").alias("type"), (F.col("event_type") == "error").alias("ad"), F.col("record_no").alias("pid"),
+        F.lit("PRODUCT").alias("type"), (F.col("event_type") == "error").alias("ad"), F.col("product_id").alias("pid"),
         F.col("title").alias("name"), _price().cast("string").alias("price"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updatedAt"),
         F.when(F.col("event_type") == "purchase", "SOLD_OUT").otherwise("SELLING").alias("status"))

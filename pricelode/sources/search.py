@@ -39,8 +39,9 @@ def _kind(path: str) -> Column:
 
 
 def _truthy(path: str) -> Column:
-    """A field that is present and neither empty, zero, false nor null."""
-    return ~F.coalesce(_text(path), F.lit("")).isin("", "0", "false")
+    """A field that is present and neither empty, zero, false nor null; the text "0" is none of these."""
+    raw = F.coalesce(_text(path), F.lit(""))
+    return F.when(_kind(path) == "STRING", raw != "").otherwise(~raw.isin("", "0", "false"))
 
 
 def _price() -> Column:
