@@ -538,6 +538,16 @@ def test_license_scan_reads_wrapped_notices_and_versions(spark):
     assert [x.place for x in found[1].licenses] == [2] and [x.place for x in found[4].licenses] == [2]
 
 
+def test_license_scan_reads_every_window_of_a_line(spark):
+    mit, apache, cc = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: CC-BY-4.0"
+    fill = " ".join(f"stone{k % 50} river{k % 7} lamp" for k in range(60))
+    rows = [(1, f"{mit} {apache}"), (2, f"{mit} {fill} {apache} {fill} {cc}"), (3, f"{fill} {mit} {fill}"), (4, fill),
+            (5, "Licensed under the GNU Lesser General Public License, version 3.")]
+    found = {r.id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[k].families for k in range(1, 6)] == ["Apache-2.0,MIT", "Apache-2.0,CC-BY-4.0,MIT", "MIT", "", "LGPL-3.0"]
+    assert found[2].n_licensed == 3 and found[2].n_candidates == 1
+
+
 def test_license_threshold_comes_from_held_out_candidates(spark):
     near = [f"He has a licence of the town and version {k} of the general public map" for k in range(40)]
     docs = spark.createDataFrame([(0, "no stem in this text")], "doc_id long, text string")
