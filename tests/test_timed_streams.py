@@ -199,3 +199,12 @@ def test_histogram_prices_equal_the_estimator_and_read_no_history(spark):
                                                half_life_days=2, estimator=name)
             assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
     assert max(sizes) <= 6 and table.days.read(5).count() <= 6
+
+
+def test_alerts_read_records_without_a_price(spark, tmp_path):
+    rows = [("m", "a", 1, 10), ("m", "a", 2, 8), ("m", "a", 3, None)]
+    spark.createDataFrame(rows, "marketplace string, product_id string, record_no bigint, price bigint").coalesce(1).write.parquet(f"{tmp_path}/in")
+    log = spark.readStream.schema("marketplace string, product_id string, record_no bigint, price bigint").parquet(f"{tmp_path}/in")
+    with processors.state_in_rocksdb(spark):
+        found = batches.drain_to_table(processors.alerts(log, log.where("price IS NOT NULL")), "unpriced").collect()
+    assert sorted((r["record_no"], r["epoch"]) for r in found) == [(1, 0), (2, 1)]
