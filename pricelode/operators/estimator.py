@@ -33,6 +33,9 @@ ESTIMATORS = ("weighted_median", "weighted_mean")
 BLOCK_HALVINGS = 40
 BLOCK = "age_block"
 
+#: Histogram rows of a product up to which its prices are ordered in one task, also with ``wide_products``.
+WIDE_ROWS = 1_000_000
+
 
 def check_settings(window_days: int, half_life_days: float, minimum_observations: int,
                    estimator: str) -> None:
@@ -132,12 +135,15 @@ def with_bounds(hist: DataFrame, *carry: str) -> DataFrame:
     the median, running counts by deviation the median absolute deviation.  Deviations
     are doubled so that half-way medians stay whole numbers.
     """
-    whole = Window.partitionBy(NAME)
-
     def middle(rows: DataFrame, value: str, low: str, high: str) -> DataFrame:
-        ordered = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        rows = rows.withColumns({"_run": F.sum("n").over(ordered),
-                                 "_n": F.sum("n").over(whole)})
+        # Frames of one order share a window operator; the total needs no second one.
+        ordered = Window.partitionBy(NAME).orderBy(value)
+        upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        counts = {"_run": F.sum("n").over(upto)}
+        if "_n" not in rows.columns:
+            counts["_n"] = F.sum("n").over(whole)
+        rows = rows.withColumns(counts)
         run, total = F.col("_run"), F.col("_n")
         return rows.withColumns({
             low: F.min(F.when(half_reached(run, total), F.col(value))).over(whole),
@@ -211,8 +217,9 @@ def _summary(hist: DataFrame, median: bool, mean: bool, wide_products: bool) ->
         aggs.append(F.bround(F.try_divide(F.sum(F.col("price") * w), F.sum(w)))
                     .cast("bigint").alias("weighted_mean"))
     if median and not wide_products:
-        whole = Window.partitionBy(NAME)
-        upto = whole.orderBy("price").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ordered = Window.partitionBy(NAME).orderBy("price")
+        upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         hist = hist.withColumns({"_run": F.sum("w").over(upto), "_all": F.sum("w").over(whole)})
         aggs.append(F.min(F.when(half_reached(F.col("_run"), F.col("_all")), F.col("price")))
                     .alias("weighted_median"))
@@ -233,8 +240,8 @@ def estimate_prices(observations: DataFrame, manual: DataFrame | None = None, *,
     ``names`` lists products to report (column ``normalized_product_name``); products
     without a recent observation then appear too, with the manual price or null.
     ``wide_products`` also splits the ordering *inside* a product over many tasks, for
-    products with millions of distinct prices; it stores the small intermediate tables
-    in the shared folder.
+    products of more than ``WIDE_ROWS`` distinct prices; it stores the histogram and the small
+    intermediate tables in the shared folder.
     """
     check_settings(window_days, half_life_days, minimum_observations, estimator)
     if names is not None:
@@ -252,8 +259,19 @@ def histogram_estimates(hist: DataFrame, manual: DataFrame | None = None, *, min
                         estimator: str = "weighted_median", names: DataFrame | None = None,
                         wide_products: bool = False) -> DataFrame:
     """`estimate_prices` from a histogram in the layout of `price_histogram`."""
-    found = _summary(trimmed(hist, wide_products), estimator == "weighted_median", estimator == "weighted_mean",
-                     wide_products)
+    wanted = estimator == "weighted_median", estimator == "weighted_mean"
+    if wide_products:
+        hist = stage_table(hist, "histogram")
+        large = stage_table(hist.groupBy(NAME).agg(F.count("*").alias("_rows"))
+                            .where(F.col("_rows") > WIDE_ROWS).select(NAME), "wide-names")
+        if large.isEmpty():
+            found = _summary(trimmed(hist), *wanted, False)
+        else:
+            few = _summary(trimmed(hist.join(large, NAME, "left_anti")), *wanted, False)
+            many = trimmed(hist.join(large, NAME, "left_semi"), True)
+            found = few.unionByName(_summary(many, *wanted, True))
+    else:
+        found = _summary(trimmed(hist), *wanted, False)
     if names is not None:
         found = _listed(names).join(found, NAME, "left")
     if manual is not None:
@@ -287,8 +305,10 @@ def estimate_both(observations: DataFrame, *, now, window_days: int = 90,
         "_count": F.sum("n").over(whole), "_old": F.min("oldest").over(whole),
         "_new": F.max("newest").over(whole)})
     again = relative_weights(trimmed(used))
-    upto = whole.orderBy("price").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    again = again.withColumns({"_run": F.sum("w").over(upto), "_all": F.sum("w").over(whole)})
+    ordered = whole.orderBy("price")
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    again = again.withColumns({"_run": F.sum("w").over(upto), "_all": F.sum("w").over(total)})
     w = F.col("w").cast("double")
     reached = half_reached(F.col("_run"), F.col("_all"))
     return again.groupBy(NAME).agg(

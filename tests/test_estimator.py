@@ -186,3 +186,17 @@ def test_hot_price_histogram_is_small(spark):
         F.lit(NOW).cast("timestamp").alias("observed_at"))
     assert estimator.price_histogram(obs, NOW, 90, 21).count() == 7
     assert _one(estimator.estimate_prices(obs, now=NOW))["price"] == 103
+
+
+@pytest.mark.parametrize("largest", [0, 5, 1_000_000])
+def test_only_products_of_many_prices_are_split(spark, monkeypatch, largest):
+    """Products of few prices are ordered in one task each; split or not, the estimates are the same."""
+    calls = []
+    split = estimator.split_bounds
+    monkeypatch.setattr(estimator, "split_bounds", lambda hist: calls.append(1) or split(hist))
+    monkeypatch.setattr(estimator, "WIDE_ROWS", largest, raising=False)
+    items = [(n, 300 + 7 * k, 20 * k) for n, many in (("a", 4), ("b", 12), ("c", 5)) for k in range(many)] + [("b", 900_000, 0)]
+    options = dict(now=NOW, window_days=3650, half_life_days=21, minimum_observations=1)
+    wide = estimator.estimate_prices(_rows(spark, items), wide_products=True, **options).collect()
+    plain = estimator.estimate_prices(_rows(spark, items), **options).collect()
+    assert sorted(wide) == sorted(plain) and len(calls) == (largest < 13)
