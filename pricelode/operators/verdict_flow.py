@@ -218,12 +218,16 @@ def review_record(reviews: DataFrame, model: str, effort: str) -> DataFrame:
 def cheap_decisions(listings: DataFrame) -> DataFrame:
     """Add ``cheap_scope``, ``cheap_reason`` and ``standalone_name`` from text rules alone."""
     columns = listings.columns
-    rows = with_text_names(listings).withColumn(
-        "cheap_scope", listing_scope(F.col("title"), F.col("description")))
-    text = joined_text(F.col("title"), F.col("description"))
-    rows = rows.withColumn("cheap_reason", rejection_reason(
-        F.col("listing_status"), F.col("condition_status"), F.col("cheap_scope"), text,
-        F.col("_title_name"), F.col("_desc_name")))
+    rows = listings.withColumn("cheap_scope", listing_scope(F.col("title"), F.col("description")))
+    text, unnamed = joined_text(F.col("title"), F.col("description")), F.lit(None).cast("string")
+    rows = rows.withColumn("_early", rejection_reason(
+        F.col("listing_status"), F.col("condition_status"), F.col("cheap_scope"), text, unnamed, unnamed))
+    # Names only matter to rows that nothing else rejects.
+    still = F.col("_early").isNull()
+    rows = rows.withColumns({"_title_name": F.when(still, product_name(F.col("title"))),
+                             "_desc_name": F.when(still, product_name(F.col("description")))})
+    rows = rows.withColumn("cheap_reason", F.coalesce("_early", F.when(
+        F.col("_title_name") != F.col("_desc_name"), F.lit(fixed.RULE_REASONS["mismatch"]))))
     return rows.select(*columns, "cheap_scope", "cheap_reason", standalone_name(
         F.col("cheap_reason"), F.col("_title_name"), F.col("_desc_name"))
         .alias("standalone_name"))

@@ -81,3 +81,19 @@ def test_exact_percent_text(spark):
     rows = spark.createDataFrame([(v,) for v in values], "v double")
     assert [r["t"] for r in rows.select(one_decimal(F.col("v")).alias("t")).collect()] == \
         ["%.1f" % v for v in values]
+
+
+def test_patterns_run_only_where_their_needles_occur(spark):
+    """The byte search before a pattern never hides a match, and is there for all but one signal."""
+    assert tx.needles(fixed.LAPTOP_TERMS) == {"노트북", "laptop", "macbook", "맥북"}
+    assert tx.needles(r"as[ -]?is") == {"asis", "as is", "as-is"}
+    assert tx.needles(r"(?:É|x)y*") is None and tx.needles(r"a*[0-9]{3}") is None
+    patterns = [fixed.LAPTOP_TERMS, fixed.LAPTOP_MODEL, fixed.TITLE_COMPLETE_PC, fixed.COMPLETE_PC, fixed.BUNDLE,
+                fixed.COMPONENT_LABEL, fixed.PART_TERMS, *fixed.SPEC_SIGNALS.values(), *(p for p, _ in fixed.NAME_PATTERNS)]
+    assert [p for p in patterns if tx.needles(p) is None] == [fixed.SPEC_SIGNALS["board"]]
+    texts = [x for pair in TEXTS for x in pair[1:]]
+    texts = texts + [x.upper() for x in texts] + [x.swapcase() for x in texts] + ["RTX 3070 ßİΣ", "M.B: x", "mb: y", "AS-IS"]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string")
+    t, low = F.col("t"), F.lower("t")
+    differing = [F.sum((tx.found(t, p) != tx.found(t, p, low)).cast("int")) for p in patterns]
+    assert set(rows.agg(*differing).first()) == {0}
