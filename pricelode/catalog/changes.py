@@ -291,9 +291,8 @@ def first_wins(spark, sf_dir):
     lines = c.table(spark, sf_dir, "lineitem")
     rows = lines.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate",
                         "l_extendedprice", "l_quantity", "l_tax", "l_discount").distinct()
-    total = [F.col(x) for x in ("l_shipdate", "l_orderkey", "l_partkey", "l_suppkey",
-                                "l_linenumber", "l_extendedprice", "l_quantity", "l_tax",
-                                "l_discount")]
+    total = ["l_shipdate", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice",
+             "l_quantity", "l_tax", "l_discount"]
     return ordered.first_wins(rows, [["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey"]],
                               total)
 

@@ -238,24 +238,27 @@ def _greedy_inserts(width: int):
     return accept
 
 
-def first_wins(df: DataFrame, keys: Sequence[Sequence[str]], order: Sequence[Column],
+def first_wins(df: DataFrame, keys: Sequence[Sequence[str]], order: Sequence[Column | str],
                largest: int = 1_000_000) -> DataFrame:
     """Insert-or-ignore on several independent unique keys: earlier accepted rows win.
 
-    ``order`` must be total; null keys never conflict. Rows that are first under every key are
+    ``order`` must be total; null keys never conflict. Columns that it gives by name are carried once, in the
+    rank. Rows that are first under every key are
     accepted and what they block is dropped. Two such rounds leave only rows that hang together in
     chains; these are split into connected components, found in rounds that grow with the logarithm of
     the longest chain, and each component is inserted row by row in one streaming pass. Components of
     more than ``largest`` rows go on in rounds, so no task holds more keys than that.
     """
     spark_keys = [list(k) for k in keys]
-    todo = cut_lineage(df.withColumn("_rank", F.struct(*order)))
+    packed = {c for c in order if isinstance(c, str)}.difference(*spark_keys)
+    todo = cut_lineage(df.withColumn("_rank", F.struct(*order)).drop(*packed))
+    columns = [F.col("_rank")[c].alias(c) if c in packed else F.col(c) for c in df.columns]
     accepted: list[DataFrame] = []
     for step in itertools.count():
         won, todo = _chained(todo, spark_keys, largest) if step == 2 else _one_round(todo, spark_keys)
         accepted.append(won)
         if todo.isEmpty():
-            return functools.reduce(DataFrame.unionByName, accepted).select(*df.columns)
+            return functools.reduce(DataFrame.unionByName, accepted).select(*columns)
 
 
 def _chained(todo: DataFrame, keys: list[list[str]], largest: int) -> tuple[DataFrame, DataFrame]:

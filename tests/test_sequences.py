@@ -161,3 +161,16 @@ def test_sources_are_cut_before_duplicates_are_marked(spark):
     kept = {(r["source_key"], r["product_id"]): r["duplicate"] for r in read_sources(rows, payloads, marks, 1).collect()}
     assert kept == {("a", "p1"): False, ("a", "p2"): False, ("a", "p3"): False, ("b", "q1"): False, ("b", "q2"): False,
                     ("c", "y"): False, ("c", "p3"): True}
+
+
+def test_first_wins_carries_named_order_columns_once(spark, monkeypatch):
+    """Columns of the order needn't be stored beside the rank that holds them."""
+    stored = []
+    cut = ordered.cut_lineage
+    monkeypatch.setattr(ordered, "cut_lineage", lambda df: stored.append(df.columns) or cut(df))
+    rows = spark.createDataFrame([(3, 1, 1, "x"), (1, 1, 2, "y"), (2, 2, 2, "z"), (4, None, None, None), (5, 3, 1, "w")],
+                                 "at int, a int, b int, note string")
+    got = ordered.first_wins(rows, [["a"], ["b"]], ["at", "note"])
+    assert got.columns == rows.columns
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1, 2, "y"), (4, None, None, None), (5, 3, 1, "w")]
+    assert stored[0] == ["a", "b", "_rank"]
