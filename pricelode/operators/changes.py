@@ -53,8 +53,11 @@ def candidate_state(candidates: DataFrame, listings: DataFrame,
         F.col("ai_is_computer_part").alias("_was_part"), F.lit(True).alias("_stored"))
     last = latest_per_key(verdicts, PRODUCT, "id", ["success"]).withColumnRenamed(
         "success", "_success")
-    rows = (with_known(candidates, listings)
-            .join(stored, PRODUCT, "left").join(last, PRODUCT, "left"))
+    # Only rows without a product id ask whether their listing id or URL is stored.
+    named = candidates.where(F.col("product_id").isNotNull()).withColumn("known", F.lit(False))
+    unnamed = with_known(candidates.where(F.col("product_id").isNull()), listings)
+    rows = named.join(stored, PRODUCT, "left").join(last, PRODUCT, "left")
+    rows = rows.unionByName(unnamed, allowMissingColumns=True)
     changed = ~(
         F.col("_was_updated").eqNullSafe(comparison_value(F.col("updated_at"), seen_time))
         & F.col("_was_price").eqNullSafe(F.col("price"))
@@ -164,6 +167,13 @@ def stop_at_watermark(records: DataFrame, watermarks: DataFrame, overlap_pages:
     Works on one small row per page; a run reads a configured number of pages per source.
     ``pages_read`` (source_key, page_no) adds pages without a usable record, which end a run.
     """
+    kept = pages_before_stop(records, watermarks, overlap_pages, pages_read)
+    return records.join(kept, ["source_key", "page_no"])
+
+
+def pages_before_stop(records: DataFrame, watermarks: DataFrame, overlap_pages: int = 1,
+                      pages_read: DataFrame | None = None) -> DataFrame:
+    """(source_key, page_no, stopped_at_watermark) of the pages that `stop_at_watermark` keeps."""
     pages = page_facts(records, watermarks)
     if pages_read is not None:
         pages = pages_read.select("source_key", "page_no").distinct().join(
@@ -172,9 +182,7 @@ def stop_at_watermark(records: DataFrame, watermarks: DataFrame, overlap_pages:
         "_boundary", F.coalesce(F.col("all_old") & F.col("monotonic"), F.lit(False)))
     kept = cut_after_run(pages, ["source_key"], page_chunk(), [F.col("page_no")], "_boundary",
                          overlap_pages + 1)
-    return records.join(kept.select("source_key", "page_no",
-                                    F.col("stopped").alias("stopped_at_watermark")),
-                        ["source_key", "page_no"])
+    return kept.select("source_key", "page_no", F.col("stopped").alias("stopped_at_watermark"))
 
 
 def scan_counters(records: DataFrame) -> DataFrame:

@@ -80,9 +80,16 @@ def _printed(path: str) -> Column:
 def listings_of(judged: DataFrame, marketplace: str = SEARCH_MARKETPLACE,
                 link: str = fixed.PRODUCT_LINK) -> DataFrame:
     """Accepted records as listing candidates; sold and reserved ones are kept too."""
+    rows = record_rows(judged.where(F.col("reject_reason").isNull()), marketplace, link)
+    return rows.drop("source_order", "reject_reason")
+
+
+def record_rows(judged: DataFrame, marketplace: str = SEARCH_MARKETPLACE,
+                link: str = fixed.PRODUCT_LINK) -> DataFrame:
+    """All judged records as listing rows, rejected ones too, with their place and ``reject_reason``."""
     url = F.format_string(link, F.col("product_id"))
-    rows = judged.where(F.col("reject_reason").isNull()).withColumn("product_id", _text("pid"))
-    carried = [c for c in ("source_key", "page_no") if c in judged.columns]
+    rows = judged.withColumn("product_id", _text("pid"))
+    carried = [c for c in ("source_key", "source_order", "page_no") if c in judged.columns]
     return rows.select(
         *carried, "pos", F.lit(marketplace).alias("marketplace"), "product_id",
         F.concat(F.lit(f"{marketplace}:"), F.col("product_id")).alias("listing_id"),
@@ -92,7 +99,7 @@ def listings_of(judged: DataFrame, marketplace: str = SEARCH_MARKETPLACE,
         _text("updatedAt").alias("updated_at"),
         search_fingerprint(_printed("name"), _printed("status"), _printed("category"))
         .alias("search_fingerprint"),
-        listing_status(_text("status")).alias("listing_status"))
+        listing_status(_text("status")).alias("listing_status"), "reject_reason")
 
 
 def page_counters(judged: DataFrame, keys: list[str]) -> DataFrame:
