@@ -40,10 +40,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stage_table
+from ..session import drop_tables, stage_table
 from .bytescan import SPACED, lowered, mixed, shingle_hashes, slices, utf8, word_hashes, words
 from .common import column, small_batches
 from .components import components
+from .suffix_tree_lm import Bits
 
 WIDTH = 5
 CLASSES = 1 << 18
@@ -53,6 +54,8 @@ FREQUENT = 6
 HUB_ROUNDS = 8
 #: Signature lists longer than this on the average of a node give way to its second prefix.
 LONG_LIST = 16
+#: Words of 64 bits in the bit table of wanted nodes (4 MB).
+NODE_BITS = 1 << 19
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -194,8 +197,13 @@ def _postings(docs: DataFrame, width: int, counts: np.ndarray) -> DataFrame:
 
 
 def _texts(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
-    """(node, text) of the wanted nodes, one text each."""
+    """(node, text) of the wanted nodes, one text each.
+
+    A bit table of fixed size drops most other texts in the task that reads them, so they aren't
+    shuffled; the join is exact.
+    """
     small_batches(docs.sparkSession)
+    bits = Bits(wanted.select(F.col("node").alias("key")), NODE_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,7 +211,9 @@ def _texts(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
             nodes = [_sets(lowered(data[offsets[a]:offsets[b]]), offsets[a:b + 1] - offsets[a], width)[0]
                      for a, b in slices(offsets)]
             nodes = np.concatenate(nodes) if nodes else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), batch.column(0)], names=["node", "text"])
+            may = pa.array(bits.may(nodes))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)).filter(may), batch.column(0).filter(may)],
+                                             names=["node", "text"])
 
     named = docs.where("id IS NOT NULL").select("text").mapInArrow(run, "node long, text string")
     return named.join(wanted, "node", "left_semi").dropDuplicates(["node"])
@@ -362,11 +372,12 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     rows = stage_table(_rows(docs, width), "ngram-rows")
     counts = _class_counts(docs, width)
     postings = _postings(docs, width, counts)
-    shared = stage_table(_held_twice(postings).distinct(), "ngram-postings")
+    held = stage_table(_held_twice(postings).distinct(), "ngram-postings")
     # A partner has at least 75 % of the size, so it shares this many signatures or more.
-    wanted = shared.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
+    wanted = held.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
     wanted = wanted.where(F.col("k") >= _spare(F.floor(F.col("n") * 0.75))).select("node")
-    shared = stage_table(_held_twice(shared.join(wanted, "node", "left_semi")), "ngram-shared")
+    shared = stage_table(_held_twice(held.join(wanted, "node", "left_semi")), "ngram-shared")
+    drop_tables(held)
     texts = stage_table(_texts(docs, width, shared.select("node").distinct()), "ngram-texts")
 
     tested = labels = None

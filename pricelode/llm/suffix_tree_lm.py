@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage_table
+from ..session import drop_tables, stage_table
 from .bytescan import SPACED, lowered, mixed, slices, utf8, word_hashes, words
 from .common import column, small_batches
 
@@ -377,15 +377,15 @@ def _runs(tokens: np.ndarray, borders: np.ndarray, depth: int) -> tuple[list[np.
 class Bits:
     """A bit table of keys, of fixed size: False only for keys that aren't among them."""
 
-    def __init__(self, keys: DataFrame):
-        word = F.shiftrightunsigned("key", 6).bitwiseAND(F.lit(_BIT_WORDS - 1))
+    def __init__(self, keys: DataFrame, size: int = _BIT_WORDS):
+        word = F.shiftrightunsigned("key", 6).bitwiseAND(F.lit(size - 1))
         bit = F.expr("shiftleft(1L, cast(key & 63 AS int))")
         rows = keys.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-        self.bits = np.zeros(_BIT_WORDS, np.uint64)
+        self.bits = np.zeros(size, np.uint64)
         self.bits[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
 
     def may(self, keys: np.ndarray) -> np.ndarray:
-        word = self.bits[((keys >> np.uint64(6)) & np.uint64(_BIT_WORDS - 1)).astype(np.int64)]
+        word = self.bits[((keys >> np.uint64(6)) & np.uint64(len(self.bits) - 1)).astype(np.int64)]
         return (word >> (keys & np.uint64(63))) & np.uint64(1) > 0
 
 
@@ -402,15 +402,6 @@ def _met(rows: DataFrame, table: DataFrame, on: str, most: str) -> DataFrame:
     return near.where("_near").select(names).unionByName(far.select(names))
 
 
-def _dropped(*tables: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more."""
-    for table in tables:
-        spark = table.sparkSession
-        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def _entries(docs: DataFrame, d: int, wide: Bits, seen: Bits) -> DataFrame:
     """(prefix, suffix, n) of the runs of d + 1 tokens; runs that can't be kept are left out if the bit tables tell."""
     def add(state: dict) -> None:
@@ -494,7 +485,7 @@ def train_suffix_tables(docs: DataFrame, depth: int = DEPTH, least_context: int
         rows = stage_table(rows.select(
             "key", "n", F.when(F.col("retained"), F.col("log")).otherwise(F.col("lower")).alias("log"),
             F.when(F.col("retained"), F.col("log") - F.col("handed") - F.col("lower")).alias("value")), "tree-level")
-        _dropped(found, sizes, fitted)
+        drop_tables(found, sizes, fitted)
         contexts = judged.where("retained").select(
             F.col("prefix").bitwiseXOR(F.lit(int(_CONTEXT.astype(np.int64)))).alias("key"),
             F.col("size").alias("n"), F.lit(0.0).alias("plus"), F.col("handed").alias("value"))
