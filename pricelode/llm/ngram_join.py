@@ -258,15 +258,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
     return joined.mapInArrow(run, "a long, b long, linked boolean")
 
 
-def _labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Postings with the component of their node and the length of their list, where it spans components."""
+    known = postings.select("sig", "node", "n")
     if labels is None:
-        known = shared.withColumn("label", F.col("node"))
+        known = known.withColumn("label", F.col("node"))
     else:
-        known = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    spans = known.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"),
-                                     F.count(F.lit(1)).alias("held"), F.min("n").alias("least"))
-    return known.join(spans.where("low < high").select("sig", "held", "least"), "sig")
+        known = known.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    same = Window.partitionBy("sig")
+    spans = known.select("*", F.min("label").over(same).alias("low"), F.max("label").over(same).alias("high"),
+                         F.count(F.lit(1)).over(same).alias("held"), F.min("n").over(same).alias("least"))
+    return spans.where("low < high").drop("low", "high")
 
 
 def _spare(size: Column) -> Column:
@@ -286,10 +288,10 @@ def _pivot_pairs(open_: DataFrame, tested: DataFrame | None, percent: int) -> Da
     The hub of a signature is the holder whose signatures have the longest lists together: the text
     in the middle of a group of near copies, whose own edits share nothing, comes last.
     """
-    score = open_.groupBy("node").agg(F.sum("held").alias("score"))
-    scored = open_.join(score, "node")
-    hubs = scored.groupBy("sig").agg(F.max(F.struct("score", "node", "label", "n")).alias("p"))
-    met = open_.join(hubs, "sig").where(F.col("label") != F.col("p.label"))
+    by_node, by_sig = Window.partitionBy("node"), Window.partitionBy("sig")
+    scored = open_.withColumn("score", F.sum("held").over(by_node))
+    met = scored.withColumn("p", F.max(F.struct("score", "node", "label", "n")).over(by_sig))
+    met = met.where(F.col("label") != F.col("p.label"))
     met = met.where(_fits(F.col("n"), F.col("p.n"), percent))
     often = met.groupBy("node", F.col("p.node").alias("hub")).agg(F.count(F.lit(1)).alias("k"))
     often = often.withColumn("a", F.least("node", "hub")).withColumn("b", F.greatest("node", "hub"))
@@ -376,14 +378,14 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     # A partner has at least 75 % of the size, so it shares this many signatures or more.
     wanted = held.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
     wanted = wanted.where(F.col("k") >= _spare(F.floor(F.col("n") * 0.75))).select("node")
-    shared = stage_table(_held_twice(held.join(wanted, "node", "left_semi")), "ngram-shared")
+    # Closed lists stay closed, so each round goes on from the open postings of the last one.
+    open_ = stage_table(_labelled(held.join(wanted, "node", "left_semi"), None), "ngram-open-postings")
     drop_tables(held)
-    texts = stage_table(_texts(docs, width, shared.select("node").distinct()), "ngram-texts")
+    texts = stage_table(_texts(docs, width, open_.select("node").distinct()), "ngram-texts")
 
-    tested = labels = None
+    tested = None
     hubs = True
     while True:
-        open_ = _labelled(shared, labels)
         pairs = _pivot_pairs(open_, tested, percent) if hubs else _open_pairs(open_, texts, tested, percent, width)
         found = stage_table(_verified(pairs, texts, percent, width), "ngram-tested")
         tested = found if tested is None else tested.unionByName(found)
@@ -392,6 +394,9 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
             break
         many, linked = found.agg(F.count(F.lit(1)), F.count_if("linked")).first()
         hubs = linked * HUB_ROUNDS > many
+        last, open_ = open_, stage_table(_labelled(open_, labels), "ngram-open-postings")
+        drop_tables(last)
+    drop_tables(open_, texts)
     return _named(rows, labels)
 
 
