@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import drop_tables, stage_table
+from ..session import drop_tables, fetched, stage_table
 from .bytescan import SPACED, lowered, mixed, slices, utf8, word_hashes, words
 from .common import column, small_batches
 
@@ -224,7 +224,7 @@ def _indexed(tree: SuffixTree):
 
 def _columns(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The columns key and n of a bounded table, without Python objects for its rows."""
-    found = rows.select("key", "n").toArrow()
+    found = fetched(rows.select("key", "n"))
     return found["key"].to_numpy(), found["n"].to_numpy()
 
 
@@ -236,11 +236,12 @@ def _often(counts: DataFrame, head: int, n: str = "n") -> Column:
     """
     step = F.floor(F.log2(F.col(n).cast("double")) * 16)
     held, bar = 0, None
-    for row in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True):
-        held += row.k
+    steps = fetched(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")))
+    for value, k in sorted(zip(steps["step"].to_pylist(), steps["k"].to_pylist(), strict=True), reverse=True):
+        held += k
         if held >= head:
             break
-        bar = row.step
+        bar = value
     return step >= bar if bar is not None else F.lit(False)
 
 
@@ -380,7 +381,7 @@ class Bits:
     def __init__(self, keys: DataFrame, size: int = _BIT_WORDS):
         word = F.shiftrightunsigned("key", 6).bitwiseAND(F.lit(size - 1))
         bit = F.expr("shiftleft(1L, cast(key & 63 AS int))")
-        rows = keys.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        rows = fetched(keys.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")))
         self.bits = np.zeros(size, np.uint64)
         self.bits[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
 
@@ -506,7 +507,7 @@ def score_texts(docs: DataFrame, model: SuffixTables, depth: int = DEPTH, head:
     bits = Bits(every.select("key"))
     parts = [(rows, (F.col("key") == end) | _often(rows, many))
              for rows, many in ((model.counts, head), (model.tree, tree_head))]
-    sent = [rows.where(often).select("key", "plus", "value").toArrow() for rows, often in parts]
+    sent = [fetched(rows.where(often).select("key", "plus", "value")) for rows, often in parts]
     keys = np.concatenate([x["key"].to_numpy() for x in sent]).view(np.uint64)
     plus_of = np.concatenate([x["plus"].to_numpy() for x in sent])
     value_of = np.concatenate([x["value"].to_numpy() for x in sent])
@@ -518,7 +519,7 @@ def score_texts(docs: DataFrame, model: SuffixTables, depth: int = DEPTH, head:
             _indexes.clear()
             _indexes[name] = HashIndex(keys)
         index = _indexes[name]
-        value, left, whose = np.zeros(len(tokens)), [], []
+        value, left, whose = np.zeros(len(tokens)), [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
 
         def look(at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """The tokens for which the model may have the key, and the head's row or -1."""
@@ -528,9 +529,18 @@ def score_texts(docs: DataFrame, model: SuffixTables, depth: int = DEPTH, head:
             whose.append(at[able[row < 0]])
             return able, row
 
+        def listed(whose: list[np.ndarray], left: list[np.ndarray]) -> pa.Array:
+            """The keys by text."""
+            owner, rare = np.concatenate(whose), np.concatenate(left)
+            order = np.argsort(owner, kind="stable")
+            ends = np.searchsorted(owner[order], borders).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(rare[order].view(np.int64)))
+
         runs, place = _runs(tokens, borders, depth + 1)
         able, row = look(np.arange(len(tokens)), tokens)
         known = able[row >= 0]
+        lists = [listed(whose, left)]
+        del whose[1:], left[1:]
         plus = np.zeros(len(tokens))
         plus[known] = plus_of[row[row >= 0]]
         for d in range(1, depth + 1):
@@ -542,27 +552,30 @@ def score_texts(docs: DataFrame, model: SuffixTables, depth: int = DEPTH, head:
             at = at[able]
             value[at[row >= 0]] += value_of[row[row >= 0]]
 
+        lists.append(listed(whose, left))
+
         def per_text(values: np.ndarray) -> np.ndarray:
             return np.diff(np.concatenate([[0.0], np.cumsum(values)])[borders])
 
-        owner, rare = np.concatenate(whose), np.concatenate(left)
-        order = np.argsort(owner, kind="stable")
-        ends = np.searchsorted(owner[order], borders)
         return [ids, pa.array(np.diff(borders)),
                 pa.array(np.diff(np.searchsorted(known, borders))), pa.array(per_text(plus)),
-                pa.array(per_text(value)),
-                pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(rare[order].view(np.int64)))]
+                pa.array(per_text(value)), *lists]
 
-    scanned = _scan(docs, make, "id long, n_tokens long, known long, plus double, value double, rare array<bigint>")
+    schema = "id long, n_tokens long, known long, plus double, value double, rare array<bigint>, runs array<bigint>"
+    scanned = _scan(docs, make, schema)
     scanned = stage_table(scanned.withColumn("row", F.monotonically_increasing_id()), "scored-texts")
-    rare = scanned.select("row", F.explode("rare").alias("key"))
-    others = parts[0][0].where(~parts[0][1]).unionByName(parts[1][0].where(~parts[1][1]))
-    # Token keys alone have a logarithm of their own.
-    met = rare.join(others, "key").groupBy("row").agg(
-        F.sum((F.col("plus") > 0).cast("long")).alias("rare_known"), F.sum("plus").alias("rare_plus"),
-        F.sum("value").alias("rare_value"))
+    # One join after the other, each stored, so only the shuffle files of one are there at a time.
+    met = []
+    for rare, (rows, often), sums in (
+            ("rare", parts[0], [F.count(F.lit(1)).alias("rare_known"), F.sum("plus").alias("rare_plus")]),
+            ("runs", parts[1], [F.sum("value").alias("rare_value")])):
+        asked = scanned.select("row", F.explode(rare).alias("key"))
+        column_ = "plus" if rare == "rare" else "value"
+        found = asked.join(rows.where(~often).select("key", column_), "key").groupBy("row").agg(*sums)
+        met.append(stage_table(found, "scored-rare"))
     base = float(np.log10(model.total + model.distinct + 1))
-    joined = scanned.drop("rare").join(met, "row", "left").fillna(0, ["rare_known", "rare_plus", "rare_value"])
+    joined = scanned.drop("rare", "runs").join(met[0], "row", "left").join(met[1], "row", "left")
+    joined = joined.fillna(0, ["rare_known", "rare_plus", "rare_value"])
     score = F.col("plus") + F.col("rare_plus") - F.col("n_tokens") * base
     return joined.select("id", "n_tokens", (F.col("known") + F.col("rare_known")).alias("n_known"),
                          score.alias("base_score"), (score + F.col("value") + F.col("rare_value")).alias("score"))
@@ -574,4 +587,5 @@ def language_model_scores(docs: DataFrame, learn_from: Callable[[str], Column],
     rows = docs.select(column(docs, key).alias("id"), column(docs, text).cast("string").alias("text"))
     model = train_suffix_tables(rows.where(learn_from("id")))
     scored = score_texts(rows.select(F.col("id").cast("long").alias("id"), "text"), model)
+    drop_tables(model.counts, model.tree)  # the scores are joined by now
     return scored.withColumn("train_tokens", F.lit(model.total).cast("long"))
