@@ -15,7 +15,7 @@ suffix of what stands before it.
 Contexts and entries are Spark tables keyed by the hash of their words; entries meet their context
 and their suffix's entry by joins. A score is a sum over keys: the token's base logarithm, for each
 retained context in front of it the logarithm of the mass it hands down, and for each kept entry
-what it adds to that. So scoring is one join of (text, key, count) with the model.
+what it adds to that. So scoring is a join of (text, key) with the tokens and one with the tree.
 
 Shortcuts of a fixed size change the cost and never a result: the `HEAD` most frequent tokens and
 `TREE_HEAD` most frequent tree keys are sent to the tasks, all others are joined; bit tables tell
