@@ -15,12 +15,15 @@ suffix of what stands before it.
 Contexts and entries are Spark tables keyed by the hash of their words; entries meet their context
 and their suffix's entry by joins. A score is a sum over keys: the token's base logarithm, for each
 retained context in front of it the logarithm of the mass it hands down, and for each kept entry
-what it adds to that. So scoring is a join of (text, key) with the tokens and one with the tree.
+what it adds to that. Each occurrence of a run of words is an entry's and, if not at its text's end,
+a context's, so one key asks for both. Counts of runs and the keys that texts ask for leave a task
+sorted and packed by range of keys; texts are asked in `SLICES`, so only one slice's keys are on disk.
 
 Shortcuts of a fixed size change the cost and never a result: the `HEAD` most frequent tokens and
-`TREE_HEAD` most frequent tree keys are sent to the tasks, all others are joined; bit tables tell
-most keys that no table has. Counting passes combine inside their task before the shuffle, and the
-joins broadcast the `JOIN_HEAD` keys with most rows, so no key that is shuffled is hot.
+`TREE_HEAD` most frequent tree keys are sent to the tasks, all others are asked for; bit tables tell
+most keys that no table has. Counting passes combine inside their task before the shuffle, runs of a
+`HOT` context are dealt by what follows, and the joins broadcast the `JOIN_HEAD` keys with most rows,
+so no key that is shuffled is hot.
 
 `train_suffix_tree` is the same tree in the driver's memory, over the most frequent tokens and with
 thresholds that are shares of the corpus; scoring doesn't use it.
@@ -35,9 +38,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +55,10 @@ SYMBOLS = 1 << 14
 HEAD = 1 << 18
 TREE_HEAD = 1 << 20
 JOIN_HEAD = 1 << 18
+#: Occurrences from which the runs of a context are dealt by what follows.
+HOT = 1 << 20
+#: Slices of the texts that are scored one after the other.
+SLICES = 4
 DEPTH = 3
 CONTEXT_SHARE, LEAST_CONTEXT = 2.0 ** -17, 8
 ENTRY_SHARE, LEAST_ENTRY = 2.0 ** -19, 2
@@ -56,7 +66,7 @@ DISCOUNT = 0.75
 
 #: The end token's hash; no word has it, as word hashes of this value are moved by one.
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
-_WAITING = 2_000_000
+_WAITING = 1_200_000
 
 
 class HashIndex:
@@ -116,6 +126,8 @@ def _scan(docs: DataFrame, make: Callable, schema: str, finish: Callable | None
             made = finish(state)
             if made is not None:
                 yield pa.RecordBatch.from_arrays(made, names=names)
+        state.clear()
+        pa.default_memory_pool().release_unused()  # the worker goes on with other tasks
 
     return docs.select("id", "text").mapInArrow(run, schema)
 
@@ -340,8 +352,6 @@ def _suffixes(tree: SuffixTree, depth: int) -> np.ndarray:
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (
     0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-#: Tells a context's key from the key of the same words as an entry.
-_CONTEXT = np.uint64(0x5DEECE66D1234567)
 #: Words of 64 bits in a bit table (16 MB).
 _BIT_WORDS = 1 << 21
 
@@ -403,28 +413,92 @@ def _met(rows: DataFrame, table: DataFrame, on: str, most: str) -> DataFrame:
     return near.where("_near").select(names).unionByName(far.select(names))
 
 
-def _entries(docs: DataFrame, d: int, wide: Bits, seen: Bits) -> DataFrame:
-    """(prefix, suffix, n) of the runs of d + 1 tokens; runs that can't be kept are left out if the bit tables tell."""
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of 64 bits, the first sorted, as compressed bytes: steps of the first, bytes of one place together."""
+    rows = np.stack([x.view(np.uint64) for x in columns])
+    rows[0, 1:] -= rows[0, :-1].copy()
+    planes = rows.view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1)
+    return pa.compress(np.ascontiguousarray(planes), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, size: int, many: int) -> list[np.ndarray]:
+    """The `many` columns of `size` rows that `_packed` was given."""
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * size * many, codec="zstd", asbytes=True), np.uint8)
+    rows = np.ascontiguousarray(planes.reshape(many, 8, size).transpose(0, 2, 1)).view(np.uint64).reshape(many, size)
+    return [np.cumsum(rows[0], dtype=np.uint64), *rows[1:]]
+
+
+#: Rows of `_dealt` and their kinds, and the sums of texts.
+_DEALT = "part int, kind int, size int, data binary"
+_MODEL, _TEXTS, _ASKED = range(3)
+_SUMS = "row long, id long, n_tokens long, known long, plus double, value double"
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The range of 64-bit keys, of `parts` equal ones, in which each key lies."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _dealt(part: np.ndarray, columns: list[np.ndarray], parts: int, kind: int = _MODEL) -> list[tuple]:
+    """A packed row for each part; the rows are in the order of their parts and, within each, of the first column."""
+    at = np.searchsorted(part, np.arange(parts + 1))
+    return [(int(k), kind, int(at[k + 1] - at[k]), _packed([x[at[k]:at[k + 1]] for x in columns]))
+            for k in np.flatnonzero(np.diff(at))]
+
+
+def _arrays(rows: list[tuple]) -> list[pa.Array]:
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    return [pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, types, strict=True)]
+
+
+def _joined(parts: list) -> list[np.ndarray]:
+    """The columns of all parts; the list is emptied, so they aren't held twice."""
+    columns = [list(x) for x in zip(*parts, strict=True)]
+    parts.clear()
+    return [np.concatenate(columns.pop(0)) for _ in range(len(columns))]
+
+
+def _summed(parts: list) -> tuple[np.ndarray, ...]:
+    """Each run (prefix, suffix) once, with the sum of its counts."""
+    prefix, suffix, n = _joined(parts)
+    key = gram_keys(prefix, suffix)
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
+    at = order[first]
+    return prefix[at], suffix[at], np.add.reduceat(n[order], first) if len(first) else n
+
+
+def _entries(docs: DataFrame, d: int, bits: Broadcast, hot: np.ndarray, least: int) -> DataFrame:
+    """(prefix, suffix, n) of the runs of d + 1 tokens with n >= `least`, save those that can't be kept if the bit tables (of prefixes, of suffixes) tell.
+
+    Counts of a task go to a range of prefixes, those of a `hot` prefix to a range of suffixes.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = np.sort(hot)
+
     def add(state: dict) -> None:
         if len(state.get("parts", [])) > 1:
-            prefix, suffix, n = (np.concatenate(x) for x in zip(*state["parts"], strict=True))
-            _, first, at = np.unique(gram_keys(prefix, suffix), return_index=True, return_inverse=True)
-            state["parts"] = [(prefix[first], suffix[first], np.bincount(at, weights=n).astype(np.int64))]
+            state["parts"] = [_summed(state["parts"])]
         state["size"] = len(state["parts"][0][0]) if state.get("parts") else 0
 
     def rows(state: dict):
         prefix, suffix, n = state["parts"].pop()
         state["size"] = 0
-        order = np.lexsort((suffix, prefix))
-        return [pa.array(x[order].view(np.int64)) for x in (prefix, suffix, n)]
+        often = hot[np.searchsorted(hot, prefix).clip(0, len(hot) - 1)] == prefix if len(hot) else np.zeros(len(prefix), bool)
+        by = np.where(often, suffix, prefix)
+        order = np.argsort(by)
+        return _arrays(_dealt(_part(by[order], parts), [x[order] for x in (prefix, suffix, n)], parts))
 
     def make(state: dict, ids, tokens, borders):
+        _indexes.clear()
+        wide, seen = bits.value
         keys, place = _runs(tokens, borders, d)
         at = np.flatnonzero(place >= d)
         prefix, suffix = keys[-1][at - 1], keys[-1][at]
         kept = wide.may(prefix) & seen.may(suffix)
         prefix, suffix = prefix[kept], suffix[kept]
-        state.setdefault("parts", []).append((prefix, suffix, np.ones(len(prefix), np.int64)))
+        state.setdefault("parts", []).append((prefix, suffix, np.ones(len(prefix), np.uint64)))
         state["size"] = state.get("size", 0) + len(prefix)
         if state["size"] > _WAITING:
             add(state)
@@ -436,34 +510,53 @@ def _entries(docs: DataFrame, d: int, wide: Bits, seen: Bits) -> DataFrame:
         add(state)
         return rows(state) if state.get("parts") else None
 
-    made = _scan(docs, make, "prefix long, suffix long, n long", finish)
-    return made.groupBy("prefix", "suffix").agg(F.sum("n").alias("n"))
+    def fold(table: pa.Table) -> pa.Table:
+        found = [_unpacked(data.as_py(), size.as_py(), 3) for size, data in zip(table["size"], table["data"], strict=True)]
+        prefix, suffix, n = _summed(found)
+        at = np.flatnonzero(n.view(np.int64) >= least)
+        at = at[np.argsort(prefix[at])]  # a context's entries lie together
+        return pa.table([pa.array(prefix[at].view(np.int64)), pa.array(suffix[at].view(np.int64)), pa.array(n[at].view(np.int64))],
+                        names=["prefix", "suffix", "n"])
+
+    made = _scan(docs, make, _DEALT, finish)
+    return made.groupBy("part").applyInArrow(fold, "prefix long, suffix long, n long")
 
 
 @dataclass
 class SuffixTables:
-    """The trained model: (key, n, plus, value) of all tokens and of the tree's contexts and entries."""
+    """The trained model: (key, n, plus, value) of runs of words, where the rows of a key add up.
+
+    `counts` has all tokens and contexts of one word, `tree` the entries and longer contexts; `contexts` has the keys of
+    all contexts. A run has one key as an entry and as a context, as each of its occurrences is both.
+    """
 
     total: int
     distinct: int
     counts: DataFrame
     tree: DataFrame
+    contexts: DataFrame
 
 
 def train_suffix_tables(docs: DataFrame, depth: int = DEPTH, least_context: int = LEAST_CONTEXT,
                         least_entry: int = LEAST_ENTRY) -> SuffixTables:
     """The tree over all words as Spark tables; `docs` has columns id and text."""
-    counts = stage_table(_counted(docs, lambda tokens, borders: tokens), "token-counts")
+    def single(tokens: np.ndarray, borders: np.ndarray) -> np.ndarray:
+        _indexes.clear()  # an earlier model's, in a worker that is used again
+        return tokens
+
+    counts = stage_table(_counted(docs, single), "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     base = float(np.log10(total + distinct + 1))
     plus = F.log10(F.col("n") + 1.0)
     below = counts.select("key", "n", (plus - base).alias("log"))
-    tree = []
+    tree, words_, every = [], [counts.select("key", "n", plus.alias("plus"), F.lit(0.0).alias("value"))], []
     for d in range(1, depth + 1):
         wide = below.where(F.col("n") >= least_context)
-        bits = Bits(wide.select("key")), Bits(below.where(F.col("n") >= least_entry).select("key"))
-        found = _entries(docs, d, *bits).where(F.col("n") >= least_entry)
-        found = stage_table(found, "tree-entries")
+        bits = docs.sparkSession.sparkContext.broadcast(
+            (Bits(wide.select("key")), Bits(below.where(F.col("n") >= least_entry).select("key"))))
+        hot = fetched(wide.where(F.col("n") >= HOT).select("key"))["key"].to_numpy().view(np.uint64)
+        found = stage_table(_entries(docs, d, bits, hot, least_entry), "tree-entries")
+        bits.destroy()
         sizes = found.groupBy("prefix").agg(F.count(F.lit(1)).alias("kept"), F.sum("n").alias("held"))
         sizes = sizes.join(wide.select(F.col("key").alias("prefix"), F.col("n").alias("size")), "prefix")
         rest = (DISCOUNT * F.col("kept") + F.col("size") - F.col("held")) / F.col("size")
@@ -488,97 +581,170 @@ def train_suffix_tables(docs: DataFrame, depth: int = DEPTH, least_context: int
             F.when(F.col("retained"), F.col("log") - F.col("handed") - F.col("lower")).alias("value")), "tree-level")
         drop_tables(found, sizes, fitted)
         contexts = judged.where("retained").select(
-            F.col("prefix").bitwiseXOR(F.lit(int(_CONTEXT.astype(np.int64)))).alias("key"),
-            F.col("size").alias("n"), F.lit(0.0).alias("plus"), F.col("handed").alias("value"))
+            F.col("prefix").alias("key"), F.col("size").alias("n"), F.lit(0.0).alias("plus"), F.col("handed").alias("value"))
         entries = rows.where("value IS NOT NULL").select("key", "n", F.lit(0.0).alias("plus"), "value")
-        tree += [contexts, entries]
+        (words_ if d == 1 else tree).append(contexts)
+        tree.append(entries)
+        every.append(contexts.select("key"))
         below = rows.select("key", "n", "log")
-    made = tree[0]
-    for part in tree[1:]:
-        made = made.unionByName(part)
-    return SuffixTables(total, distinct, counts.select("key", "n", plus.alias("plus"), F.lit(0.0).alias("value")), made)
+    made = [reduce(DataFrame.unionByName, parts) for parts in (words_, tree, every)]
+    return SuffixTables(total, distinct, *made)
 
 
-def score_texts(docs: DataFrame, model: SuffixTables, depth: int = DEPTH, head: int = HEAD,
-                tree_head: int = TREE_HEAD) -> DataFrame:
-    """(id, n_tokens, n_known, base_score, score) of every row of `docs` (id, text)."""
-    end = int(END.astype(np.int64))
-    every = model.counts.unionByName(model.tree)
-    bits = Bits(every.select("key"))
-    parts = [(rows, (F.col("key") == end) | _often(rows, many))
-             for rows, many in ((model.counts, head), (model.tree, tree_head))]
-    sent = [fetched(rows.where(often).select("key", "plus", "value")) for rows, often in parts]
-    keys = np.concatenate([x["key"].to_numpy() for x in sent]).view(np.uint64)
-    plus_of = np.concatenate([x["plus"].to_numpy() for x in sent])
-    value_of = np.concatenate([x["value"].to_numpy() for x in sent])
+#: Rows of an Arrow batch of the model, which are short.
+_MODEL_ROWS = 1 << 16
+
+
+def _model_rows(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows (key, plus, value) of the model, dealt by key."""
+    names = [part.split()[0] for part in _DEALT.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[list[np.ndarray]] = []
+
+        def handed() -> pa.RecordBatch:
+            columns = [np.concatenate(x) for x in zip(*waiting, strict=True)]
+            waiting.clear()
+            order = np.argsort(columns[0])
+            columns = [x[order] for x in columns]
+            return pa.RecordBatch.from_arrays(_arrays(_dealt(_part(columns[0], parts), columns, parts)), names=names)
+
+        for batch in batches:
+            waiting.append([x.to_numpy().view(np.uint64) for x in batch.columns])
+            if len(waiting) * _MODEL_ROWS > _WAITING:
+                yield handed()
+        if waiting:
+            yield handed()
+
+    return rows.select("key", "plus", "value").mapInArrow(run, _DEALT)
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """Rows of sums by text: those known already and those of what the model has for the keys asked in a part."""
+    size, kind = table["size"].to_numpy(), table["kind"].to_numpy()
+
+    def parts(wanted: int, many: int) -> Iterator[list[np.ndarray]]:
+        return (_unpacked(table["data"][int(k)].as_py(), int(size[k]), many) for k in np.flatnonzero(kind == wanted))
+
+    none = np.empty(0, np.uint64)
+    key, plus, value = (np.concatenate([none, *x]) for x in zip([none] * 3, *parts(_MODEL, 3), strict=True))
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
+    plus, value = (np.add.reduceat(x.view(np.float64)[order], first) if len(key) else np.empty(0) for x in (plus, value))
+    key = key[first]
+    made = []
+    for row, id_, has, n_tokens, known, plus_, value_ in parts(_TEXTS, 7):
+        made.append([pa.array(row.view(np.int64)), pa.array(id_.view(np.int64), mask=has == 0), pa.array(n_tokens.view(np.int64)),
+                     pa.array(known.view(np.int64)), pa.array(plus_.view(np.float64)), pa.array(value_.view(np.float64))])
+    for asked, row in parts(_ASKED, 2) if len(key) else ():
+        at = np.searchsorted(key, asked).clip(0, len(key) - 1)
+        hit = np.flatnonzero(key[at] == asked)
+        at, least = at[hit], row.min()
+        of = (row[hit] - least).astype(np.int64)  # a task's rows follow each other
+        row = np.flatnonzero(np.bincount(of))
+        known, plus_, value_ = (np.bincount(of, x[at])[row] for x in (plus > 0, plus, value))
+        row = row.astype(np.uint64) + least
+        made.append([pa.array(row.view(np.int64)), pa.nulls(len(row), pa.int64()), pa.array(np.zeros(len(row), np.int64)),
+                     pa.array(known.astype(np.int64)), pa.array(plus_, pa.float64()), pa.array(value_, pa.float64())])
+    names = [part.split()[0] for part in _SUMS.split(", ")]
+    types = [pa.int64()] * 4 + [pa.float64()] * 2
+    return pa.table([pa.chunked_array(x, t) for x, t in zip(zip(*made, strict=True), types, strict=True)]
+                    if made else [pa.array([], t) for t in types], names=names)
+
+
+def _asked(docs: DataFrame, head: Broadcast, depth: int, parts: int) -> DataFrame:
+    """Packed sums of each text over the broadcast `head`, and the keys that it must ask for, by the texts' row numbers."""
     name = uuid.uuid4().hex
-    del sent
 
-    def make(state, ids, tokens, borders):
+    def handed(state: dict):
+        columns, (key, row) = _joined(state["texts"]), _joined(state["asked"])
+        state["size"] = 0
+        order = np.argsort(key)
+        key, row = key[order], row[order]
+        part = np.full(len(columns[0]), int(columns[0][0]) % parts)
+        return _arrays(_dealt(part, columns, parts, _TEXTS) + _dealt(_part(key, parts), [key, row], parts, _ASKED))
+
+    def make(state: dict, ids, tokens, borders):
+        keys, plus_of, value_of, contexts, entries = head.value
         if name not in _indexes:
             _indexes.clear()
             _indexes[name] = HashIndex(keys)
         index = _indexes[name]
-        value, left, whose = np.zeros(len(tokens)), [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-
-        def look(at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """The tokens for which the model may have the key, and the head's row or -1."""
-            able = np.flatnonzero(bits.may(key))
-            row = index.find(key[able])
-            left.append(key[able[row < 0]])
-            whose.append(at[able[row < 0]])
-            return able, row
-
-        def listed(whose: list[np.ndarray], left: list[np.ndarray]) -> pa.Array:
-            """The keys by text."""
-            owner, rare = np.concatenate(whose), np.concatenate(left)
-            order = np.argsort(owner, kind="stable")
-            ends = np.searchsorted(owner[order], borders).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(rare[order].view(np.int64)))
+        first = state.setdefault("row", (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33)
+        state["row"] += len(ids)
+        rows = np.arange(first, first + len(ids), dtype=np.uint64)
+        owner = np.repeat(rows, np.diff(borders))
+        plus, value = np.zeros(len(tokens)), np.zeros(len(tokens))
+
+        def look(at: np.ndarray, key: np.ndarray) -> None:
+            row = index.find(key)
+            hit, miss = np.flatnonzero(row >= 0), np.flatnonzero(row < 0)
+            value[at[hit]] += value_of[row[hit]]
+            if key is tokens:  # longer runs have no own logarithm
+                plus[at[hit]] = plus_of[row[hit]]
+            state.setdefault("asked", []).append((key[miss], owner[at[miss]]))
+            state["size"] = state.get("size", 0) + len(miss)
 
         runs, place = _runs(tokens, borders, depth + 1)
-        able, row = look(np.arange(len(tokens)), tokens)
-        known = able[row >= 0]
-        lists = [listed(whose, left)]
-        del whose[1:], left[1:]
-        plus = np.zeros(len(tokens))
-        plus[known] = plus_of[row[row >= 0]]
+        look(np.arange(len(tokens)), tokens)
+        may = contexts.may(tokens)
         for d in range(1, depth + 1):
             at = np.flatnonzero(place >= d)
-            able, row = look(at, runs[d - 1][at - 1] ^ _CONTEXT)
-            at = at[able]
-            value[at[row >= 0]] += value_of[row[row >= 0]]
-            able, row = look(at, runs[d][at])
-            at = at[able]
-            value[at[row >= 0]] += value_of[row[row >= 0]]
-
-        lists.append(listed(whose, left))
+            key = runs[d][at]
+            wanted = may[at - 1] & entries.may(key)
+            if d < depth:
+                longer = contexts.may(key)
+                wanted |= longer
+                may = np.zeros(len(tokens), bool)
+                may[at] = longer
+            look(at[wanted], key[wanted])
 
         def per_text(values: np.ndarray) -> np.ndarray:
-            return np.diff(np.concatenate([[0.0], np.cumsum(values)])[borders])
-
-        return [ids, pa.array(np.diff(borders)),
-                pa.array(np.diff(np.searchsorted(known, borders))), pa.array(per_text(plus)),
-                pa.array(per_text(value)), *lists]
-
-    schema = "id long, n_tokens long, known long, plus double, value double, rare array<bigint>, runs array<bigint>"
-    scanned = _scan(docs, make, schema)
-    scanned = stage_table(scanned.withColumn("row", F.monotonically_increasing_id()), "scored-texts")
-    # One join after the other, each stored, so only the shuffle files of one are there at a time.
-    met = []
-    for rare, (rows, often), sums in (
-            ("rare", parts[0], [F.count(F.lit(1)).alias("rare_known"), F.sum("plus").alias("rare_plus")]),
-            ("runs", parts[1], [F.sum("value").alias("rare_value")])):
-        asked = scanned.select("row", F.explode(rare).alias("key"))
-        column_ = "plus" if rare == "rare" else "value"
-        found = asked.join(rows.where(~often).select("key", column_), "key").groupBy("row").agg(*sums)
-        met.append(stage_table(found, "scored-rare"))
+            return np.add.reduceat(values, borders[:-1])  # each text has a token, its end
+
+        has = pc.is_valid(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+        known = per_text((plus > 0).astype(np.int64))
+        state.setdefault("texts", []).append([
+            rows, pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), has, np.diff(borders), known, per_text(plus), per_text(value)])
+        return handed(state) if 2 * state["size"] > _WAITING else None
+
+    return _scan(docs, make, _DEALT, lambda state: handed(state) if state.get("texts") else None)
+
+
+def score_texts(docs: DataFrame, model: SuffixTables, depth: int = DEPTH, head: int = HEAD,
+                tree_head: int = TREE_HEAD, last_use: bool = False) -> DataFrame:
+    """(id, n_tokens, n_known, base_score, score) of every row of `docs` (id, text); the `last_use` of a model deletes it."""
+    spark = docs.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    end = int(END.astype(np.int64))
+    bits = Bits(model.contexts), Bits(model.tree.select("key"))
+    split = [(rows.select("key", "n", "plus", "value"), (F.col("key") == end) | _often(rows, many))
+             for rows, many in ((model.counts, head), (model.tree, tree_head))]
+    sent = [fetched(rows.where(often).drop("n")) for rows, often in split]
+    key, plus, value = (np.concatenate([x[c].to_numpy() for x in sent]) for c in ("key", "plus", "value"))
+    key, of = np.unique(key.view(np.uint64), return_inverse=True)
+    shared = spark.sparkContext.broadcast((key, np.bincount(of, plus, len(key)), np.bincount(of, value, len(key)), *bits))
+    del sent, key, plus, value, of, bits
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(_MODEL_ROWS))
+    rest = stage_table(reduce(DataFrame.unionByName, [_model_rows(rows.where(~often), parts) for rows, often in split]), "model-rows")
+    small_batches(spark)
+    if last_use:
+        drop_tables(model.counts, model.tree)
     base = float(np.log10(model.total + model.distinct + 1))
-    joined = scanned.drop("rare", "runs").join(met[0], "row", "left").join(met[1], "row", "left")
-    joined = joined.fillna(0, ["rare_known", "rare_plus", "rare_value"])
-    score = F.col("plus") + F.col("rare_plus") - F.col("n_tokens") * base
-    return joined.select("id", "n_tokens", (F.col("known") + F.col("rare_known")).alias("n_known"),
-                         score.alias("base_score"), (score + F.col("value") + F.col("rare_value")).alias("score"))
+    slice_ = F.pmod(F.xxhash64("id", "text"), F.lit(SLICES))
+    made = []
+    # A slice of the texts after the other, each stored, so only the shuffle files of one are there at a time.
+    for k in range(SLICES):
+        asked = _asked(docs.where(slice_ == k), shared, depth, parts)
+        sums = asked.unionByName(rest).groupBy("part").applyInArrow(_answered, _SUMS).groupBy("row").agg(
+            F.max("id").alias("id"), *(F.sum(c).alias(c) for c in ("n_tokens", "known", "plus", "value")))
+        score = F.col("plus") - F.col("n_tokens") * base
+        made.append(stage_table(sums.select("id", "n_tokens", F.col("known").alias("n_known"), score.alias("base_score"),
+                                            (score + F.col("value")).alias("score")), "scored-texts"))
+    drop_tables(rest)
+    shared.destroy()
+    return reduce(DataFrame.unionByName, made)
 
 
 def language_model_scores(docs: DataFrame, learn_from: Callable[[str], Column], key: str = "doc_id",
@@ -586,6 +752,5 @@ def language_model_scores(docs: DataFrame, learn_from: Callable[[str], Column],
     """Train on the rows for which `learn_from("id")` holds and score all rows."""
     rows = docs.select(column(docs, key).alias("id"), column(docs, text).cast("string").alias("text"))
     model = train_suffix_tables(rows.where(learn_from("id")))
-    scored = score_texts(rows.select(F.col("id").cast("long").alias("id"), "text"), model)
-    drop_tables(model.counts, model.tree)  # the scores are joined by now
+    scored = score_texts(rows.select(F.col("id").cast("long").alias("id"), "text"), model, last_use=True)
     return scored.withColumn("train_tokens", F.lit(model.total).cast("long"))
